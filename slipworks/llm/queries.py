@@ -5,11 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slipworks.llm import bpe, components, lookalike, packing, reading, splits
+from slipworks.llm import bpe, components, lookalike, names, packing, reading, splits
 from slipworks.session import Workspace
 from slipworks.sources.tables import once, table
 
 
+def _seller_names(spark: SparkSession, folder: str) -> DataFrame:
+    """(src, row_key, name, merchant_id) of all rows that name a merchant."""
+    receipts = table(spark, folder, "receipts").select(F.lit("receipts").alias("src"), F.col("id").alias("row_key"), F.col("merchant_name").alias("name"))
+    fields = table(spark, folder, "field_results").where("field_key = 'merchant_name'").select(F.lit("field_results").alias("src"), F.col("result_id").cast("string").alias("row_key"), F.col("value").alias("name"))
+    register = names.read_register(table(spark, folder, "merchants"), "merchant_id", "legal_name", "trade")
+    rows = receipts.union(fields).where("row_key is not null and name is not null")
+    return names.linked_names(rows, register, ("src", "row_key")).withColumnRenamed("entity", "merchant_id")
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    legal = table(spark, folder, "merchants").select(F.col("merchant_id").alias("m"), "legal_name").distinct()
+    linked = _seller_names(spark, folder)
+    return linked.join(legal, (F.col("merchant_id") == F.col("m")) & (F.col("name") == F.col("legal_name")), "left_anti").select("src", "row_key", "merchant_id").distinct()
+
+
+def p1_variants(spark: SparkSession, folder: str) -> DataFrame:
+    """How many rows and writings each merchant has."""
+    return _seller_names(spark, folder).groupBy("merchant_id").agg(F.countDistinct("src", "row_key").alias("n_rows"), F.countDistinct("name").alias("writings"))
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     lines = table(spark, folder, "ocr_lines").select(F.col("line_id").alias("row_key"), "text")
     corrections = table(spark, folder, "label_corrections").select(F.col("correction_id").alias("row_key"), "old_text", "new_text")
@@ -93,4 +113,4 @@ def p10_profile(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p2_canonical, p3_found, p3_groups, p4_found, p4_splits, p8_ids, p9_containers, p9_fill, p10_found, p10_profile)}
+    return {f.__name__: f for f in (p1_found, p1_variants, p2_found, p2_canonical, p3_found, p3_groups, p4_found, p4_splits, p8_ids, p9_containers, p9_fill, p10_found, p10_profile)}
