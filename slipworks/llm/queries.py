@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slipworks.llm import bpe, components, lookalike, names, packing, reading, splits
+from slipworks.llm import addresses, bpe, components, lookalike, names, packing, reading, splits
 from slipworks.session import Workspace
 from slipworks.sources.tables import once, table
 
@@ -80,6 +80,18 @@ def p4_splits(spark: SparkSession, folder: str) -> DataFrame:
     return splits.assign_splits(table(spark, folder, "ocr_manifest"), "image_id", "group_id", table(spark, folder, "split_targets"))
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    pairs = addresses.same_place_pairs(table(spark, folder, "receipts"), "id", "merchant_address")
+    return pairs.select(F.col("a").alias("receipt_a"), F.col("b").alias("receipt_b"))
+
+
+def p5_places(spark: SparkSession, folder: str) -> DataFrame:
+    """Each place with its receipts and writings."""
+    rows = table(spark, folder, "receipts").select("id", F.col("merchant_address").alias("address")).where("address is not null").distinct()
+    of = addresses.places(rows)
+    return rows.join(of, "address").groupBy("city", "street", "number", "unit").agg(F.countDistinct("id").alias("receipts"), F.countDistinct("address").alias("writings"))
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode(table(spark, folder, "documents"))
 
@@ -113,4 +125,4 @@ def p10_profile(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_variants, p2_found, p2_canonical, p3_found, p3_groups, p4_found, p4_splits, p8_ids, p9_containers, p9_fill, p10_found, p10_profile)}
+    return {f.__name__: f for f in (p1_found, p1_variants, p2_found, p2_canonical, p3_found, p3_groups, p4_found, p4_splits, p5_found, p5_places, p8_ids, p9_containers, p9_fill, p10_found, p10_profile)}
