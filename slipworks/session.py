@@ -37,6 +37,15 @@ def shared_folder(spark: SparkSession) -> str:
     return "file://" + os.path.abspath(_OWN[app])
 
 
+def reachable(spark: SparkSession) -> None:
+    """Lets Python workers import this package from where the driver has it, if they share its file system."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    environment = spark.sparkContext.environment
+    paths = environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
+
+
 class Workspace:
     """Intermediate tables in the shared folder, so that lineage is cut and a lost executor costs no recomputation.
 
