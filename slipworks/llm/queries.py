@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slipworks.llm import addresses, bpe, components, lookalike, names, packing, reading, splits
+from slipworks.llm import addresses, bpe, components, lookalike, names, overlap, packing, reading, splits
 from slipworks.session import Workspace
 from slipworks.sources.tables import once, table
 
@@ -92,6 +92,23 @@ def p5_places(spark: SparkSession, folder: str) -> DataFrame:
     return rows.join(of, "address").groupBy("city", "street", "number", "unit").agg(F.countDistinct("id").alias("receipts"), F.countDistinct("address").alias("writings"))
 
 
+def _overlaps(spark: SparkSession, folder: str) -> DataFrame:
+    lines = table(spark, folder, "ocr_lines").select("image_id", "line_no", "text")
+    return overlap.overlaps(lines, table(spark, folder, "ocr_manifest").select("image_id", "split", "image_hash"))
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _overlaps(spark, folder).select(F.least("train_id", "other_id").alias("image_a"), F.greatest("train_id", "other_id").alias("image_b"))
+
+
+def p6_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Overlaps with train by split and source: pairs, and photographs that have any."""
+    split = F.lower(F.regexp_replace("split", r"(?U)\s+", ""))
+    of = table(spark, folder, "ocr_manifest").where("image_id is not null").groupBy("image_id").agg(F.min(split).alias("split"), F.min("source").alias("source"))
+    pairs = _overlaps(spark, folder).join(of, F.col("other_id") == F.col("image_id"))
+    return pairs.groupBy("split", "source").agg(F.count(F.lit(1)).alias("pairs"), F.countDistinct("other_id").alias("photographs"))
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode(table(spark, folder, "documents"))
 
@@ -125,4 +142,4 @@ def p10_profile(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_variants, p2_found, p2_canonical, p3_found, p3_groups, p4_found, p4_splits, p5_found, p5_places, p8_ids, p9_containers, p9_fill, p10_found, p10_profile)}
+    return {f.__name__: f for f in (p1_found, p1_variants, p2_found, p2_canonical, p3_found, p3_groups, p4_found, p4_splits, p5_found, p5_places, p6_found, p6_report, p8_ids, p9_containers, p9_fill, p10_found, p10_profile)}
