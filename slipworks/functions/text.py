@@ -1,0 +1,87 @@
+"""Text normalisation as column expressions."""
+
+from __future__ import annotations
+
+import unicodedata
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def accent_table() -> tuple[str, str]:
+    """Precomposed Latin letters and their base letters, from the Unicode data; đ and Đ have no decomposition."""
+    letters, bases = "đĐ", "dD"
+    for code in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]:
+        parts = unicodedata.normalize("NFD", chr(code))
+        if len(parts) > 1 and parts[0].isascii() and all(unicodedata.category(c) == "Mn" for c in parts[1:]):
+            letters, bases = letters + chr(code), bases + parts[0]
+    return letters, bases
+
+
+def nfc(text: Column) -> Column:
+    """Composed form; Spark has no built-in, so this is Arrow-batched Python and is kept off plans that don't need it."""
+
+    @F.pandas_udf("string")
+    def compose(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield batch.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))
+
+    return compose(text)
+
+
+def norm(text: Column) -> Column:
+    """Single blanks, none at either end, '' for null. Text is taken as composed; apply ``nfc`` first where it may not be."""
+    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", " "))
+
+
+def strip_diacritics(text: Column) -> Column:
+    """Base letters without marks."""
+    return F.regexp_replace(F.translate(text, *accent_table()), r"\p{Mn}", "")
+
+
+def fold(text: Column) -> Column:
+    """Lower case without marks; '' for null."""
+    return F.lower(strip_diacritics(F.coalesce(text, F.lit(""))))
+
+
+VARIANTS = {"exact": norm, "nocase": lambda c: F.lower(norm(c)), "nodiac": lambda c: F.lower(strip_diacritics(norm(c)))}
+
+
+def keyword_pattern(words: list[str]) -> str:
+    """One pattern for whole words or phrases; punctuation in them is literal."""
+    special = set(r"\.^$|?*+()[]{}")
+    escaped = ["".join("\\" + c if c in special else c for c in w.strip()) for w in words]
+    return r"(?U)\b(?:" + "|".join(sorted(escaped, key=lambda w: (-len(w), w))) + r")(?!\w)"
+
+
+def has_keyword(folded: Column, words: list[str]) -> Column:
+    return folded.rlike(keyword_pattern(words))
+
+
+def dedup_key(text: Column, least: int, generic: list[str]) -> Column:
+    """Lower case letters, digits and blanks; null if shorter than ``least`` or if a generic phrase is in it."""
+    key = F.trim(F.regexp_replace(F.lower(norm(text)), r"(?U)[^\w ]", ""))
+    plain = F.length(key) >= least
+    for phrase in generic:
+        plain = plain & ~F.contains(key, F.lit(phrase))
+    return F.when(plain, key)
+
+
+def letters(text: Column) -> Column:
+    return F.length(F.regexp_replace(text, r"\P{L}", ""))
+
+
+def capitals(text: Column) -> Column:
+    return F.length(F.regexp_replace(text, r"\P{Lu}", ""))
+
+
+def characters(text: Column) -> Column:
+    """Array of the text's code points."""
+    return F.filter(F.split(text, ""), lambda c: c != "")
+
+
+def outside_charset(text: Column, charset: Column) -> Column:
+    """The distinct characters that a charset (an array) hasn't got."""
+    return F.array_sort(F.array_except(characters(text), charset))
