@@ -12,7 +12,7 @@ def _look(column: str) -> str:
     kana = "ｦｧｨｩｪｫｬｭｮｯｰｱｲｳｴｵｶｷｸｹｺｻｼｽｾｿﾀﾁﾂﾃﾄﾅﾆﾇﾈﾉﾊﾋﾌﾍﾎﾏﾐﾑﾒﾓﾔﾕﾖﾗﾘﾙﾚﾛﾜﾝﾞﾟ", "ヲァィゥェォャュョッーアイウエオカキクケコサシスセソタチツテトナニヌネノハヒフヘホマミムメモヤユヨラリルレロワン゙゚"
     a, b = (x + y + z for x, y, z in zip(shapes, wide, kana))
     a, b = a.replace("'", "''"), b.replace("'", "''")
-    return f"trim(regexp_replace(regexp_replace(nfc_normalize(translate({column}, '{a}', '{b}')), '\\p{{Cf}}', '', 'g'), '[\\s\\p{{Z}}]+', ' ', 'g'))"
+    return f"trim(regexp_replace(nfc_normalize(regexp_replace(translate({column}, '{a}', '{b}'), '\\p{{Cf}}', '', 'g')), '[\\s\\p{{Z}}]+', ' ', 'g'))"
 
 
 def oracle_sql() -> dict[str, str]:
@@ -42,7 +42,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT a.image_id, least(a.image_id, min(b.image_id)) AS root_id
             FROM here a LEFT JOIN reach ON u = a.image_id LEFT JOIN here b ON v = b.image_id GROUP BY a.image_id""",
         "p4_found": f"""
-            SELECT 'g' || lpad({number}, greatest(7, length({number})), '0') AS group_id FROM ocr_manifest
+            SELECT 'g' || lpad({number}, cast(greatest(7, length({number})) AS INT), '0') AS group_id FROM ocr_manifest
             WHERE lower(trim(split)) IN ('train', 'val', 'test') AND {number} <> ''
             GROUP BY 1 HAVING count(DISTINCT lower(trim(split))) > 1""",
     }
