@@ -10,15 +10,20 @@ SEPARATOR_SPACE = r"(?<=\d)[ \x{A0}]*([.,])[ \x{A0}]*(?=\d{3}(?!\d))"
 SPACE_GROUPED = r"(?<![\d.,:/\-])\d{1,3}(?:[ \x{A0}]+\d{3})+(?![\d:/\-]|[.,][ \x{A0}]*\d|[ \x{A0}]+\d)"
 NUMBER = r"\d[\d.,]*"
 DATE_WORDS = r"(?iU)(?=(ng[àa]y\s*\d{1,2}\s*th[áa]ng\s*\d{1,2}\s*n[ăa]m\s*\d{4}))"
-DATE_LONG = r"(?=(?<!\d)(\d{1,2}\s*[/\-.]\s*\d{1,2}\s*[/\-.]\s*\d{4})(?!\d))"
-DATE_SHORT = r"(?=(?<!\d)(\d{1,2}\s*[/\-.]\s*\d{1,2}\s*[/\-.]\s*\d{2})(?!\d|\s*[/\-.]\s*\d))"
-TIME = r"(?<!\d)([01]?\d|2[0-3])\s*[:h]\s*([0-5]\d)(?:\s*:\s*([0-5]\d))?(?!\d)"
+DATE_LONG = r"(?U)(?=(?<!\d)(\d{1,2}\s*[/\-.]\s*\d{1,2}\s*[/\-.]\s*\d{4})(?!\d))"
+DATE_SHORT = r"(?U)(?=(?<!\d)(\d{1,2}\s*[/\-.]\s*\d{1,2}\s*[/\-.]\s*\d{2})(?!\d|\s*[/\-.]\s*\d))"
+TIME = r"(?U)(?<!\d)([01]?\d|2[0-3])\s*[:h]\s*([0-5]\d)(?:\s*:\s*([0-5]\d))?(?!\d)"
+
+
+def _plain_digits(text: Column) -> Column:
+    """The text with digits of full width as plain ones; '' for null."""
+    return F.translate(F.coalesce(text, F.lit("")), "０１２３４５６７８９", "0123456789")
 
 
 def parse_vnd(text: Column) -> Column:
     """Whole amount of the last number: the last separator is a decimal one if both kinds occur, or if a single one isn't
     followed by three digits; half is rounded up; k after it means thousands. Null without digits or beyond 18 digits."""
-    tight = F.regexp_replace(F.coalesce(text, F.lit("")), SEPARATOR_SPACE, "$1")
+    tight = F.regexp_replace(_plain_digits(text), SEPARATOR_SPACE, "$1")
     joined = F.aggregate(F.regexp_extract_all(tight, F.lit(SPACE_GROUPED), F.lit(0)), tight, lambda s, m: F.replace(s, m, F.regexp_replace(m, r"[ \x{A0}]", "")))
     token = F.regexp_replace(F.try_element_at(F.regexp_extract_all(joined, F.lit(NUMBER), F.lit(0)), F.lit(-1)), r"[.,]+$", "")
     thousands = F.when(joined.rlike(r"(?i)\d[.,]*\s*k\b") & F.regexp(joined, F.concat(F.lit(r"(?i)\Q"), token, F.lit(r"\E\s*k\b"))), 1000).otherwise(1)
@@ -38,11 +43,12 @@ def parse_date(text: Column) -> Column:
     possible date of a kind counts, read from every place. Null if there is none."""
 
     def first(pattern: str, short: bool) -> Column:
-        parts = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(1)), lambda m: F.regexp_extract_all(m, F.lit(r"\d+"), F.lit(0)))
+        parts = F.transform(F.regexp_extract_all(_plain_digits(text), F.lit(pattern), F.lit(1)), lambda m: F.regexp_extract_all(m, F.lit(r"(?U)\d+"), F.lit(0)))
 
         def iso(p: Column) -> Column:
-            year = F.concat(F.lit("20"), p[2]) if short else p[2]
-            return F.try_to_timestamp(F.concat_ws("-", year, F.lpad(p[1], 2, "0"), F.lpad(p[0], 2, "0")), F.lit("yyyy-MM-dd")).cast("date")
+            day, month, year = (F.get(p, F.lit(k)) for k in range(3))
+            year = F.concat(F.lit("20"), year) if short else year
+            return F.try_to_timestamp(F.concat_ws("-", year, F.lpad(month, 2, "0"), F.lpad(day, 2, "0")), F.lit("yyyy-MM-dd")).cast("date")
 
         return F.try_element_at(F.filter(F.transform(parts, iso), lambda d: d.isNotNull()), F.lit(1))
 
@@ -51,7 +57,7 @@ def parse_date(text: Column) -> Column:
 
 def parse_time(text: Column) -> Column:
     """The first time of day as HH:mm:ss; null if there is none."""
-    hour, minute, second = (F.regexp_extract(text, TIME, k) for k in (1, 2, 3))
+    hour, minute, second = (F.regexp_extract(_plain_digits(text), TIME, k) for k in (1, 2, 3))
     return F.when(hour != "", F.concat_ws(":", F.lpad(hour, 2, "0"), minute, F.when(second == "", "00").otherwise(second)))
 
 

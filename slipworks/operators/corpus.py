@@ -87,9 +87,9 @@ def ground_truth(regions: DataFrame) -> DataFrame:
 def sample_weights(rows: DataFrame, group: str, most: float = 3.0) -> DataFrame:
     """Adds sample_weight: one over the root of the group's size, of mean 1 before it is limited to ``most``."""
     sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
-    mean = sizes.agg((F.sum(F.sqrt("_n")) / F.sum("_n")).alias("_mean"))
-    joined = rows.join(sizes.withColumnRenamed(group, "_g"), F.col(group).eqNullSafe(F.col("_g"))).join(F.broadcast(mean))  # one row
-    return joined.withColumn("sample_weight", F.round(F.least(1 / F.sqrt("_n") / F.col("_mean"), F.lit(most)), 4)).drop("_n", "_g", "_mean")
+    mean = sizes.agg(F.sum(F.sqrt("_n")) / F.sum("_n")).scalar()
+    joined = rows.join(sizes.withColumnRenamed(group, "_g"), F.col(group).eqNullSafe(F.col("_g")))
+    return joined.withColumn("sample_weight", F.round(F.least(1 / F.sqrt("_n") / mean, F.lit(most)), 4)).drop("_n", "_g")
 
 
 def width_batches(rows: DataFrame, key: str, width: str, height: str, size: int) -> DataFrame:
@@ -113,24 +113,24 @@ def balanced_pool(rows: DataFrame, group: str, text: str, key: str, repeats: int
     with replacement in which a group counts as its size to the power ``alpha``."""
     kept = rows.withColumn("_n", F.row_number().over(Window.partitionBy(group, text).orderBy(F.xxhash64(key), key))).where(F.col("_n") <= repeats)
     sizes = kept.groupBy(group).agg(F.count(F.lit(1)).alias("_k"))
-    total = sizes.agg(F.sum(F.pow("_k", F.lit(alpha))).alias("_t"))
-    joined = kept.join(sizes.withColumnRenamed(group, "_g"), F.col(group).eqNullSafe(F.col("_g"))).join(F.broadcast(total))  # one row
-    return joined.select(key, group, (F.pow("_k", F.lit(alpha)) / F.col("_t") / F.col("_k")).alias("p"))
+    total = sizes.agg(F.sum(F.pow("_k", F.lit(alpha)))).scalar()
+    joined = kept.join(sizes.withColumnRenamed(group, "_g"), F.col(group).eqNullSafe(F.col("_g")))
+    return joined.select(key, group, (F.pow("_k", F.lit(alpha)) / total / F.col("_k")).alias("p"))
 
 
 def balanced_epoch(rows: DataFrame, group: str, text: str, key: str, repeats: int, alpha: float, size: int, seed: int) -> DataFrame:
-    """(key, draws): one epoch of about ``size`` draws; each row's count is drawn for itself (Poisson by its chance), so nothing
-    is gathered. The sizes of epochs vary by the root of ``size``."""
+    """(key, draws): one epoch of about ``size`` draws; each row's count is drawn for itself, its expected count rounded down and
+    a Poisson number for the rest, so nothing is gathered. The sizes of epochs vary by less than the root of ``size``."""
     pool = balanced_pool(rows, group, text, key, repeats, alpha)
     u = (F.shiftrightunsigned(F.xxhash64(F.col(key), F.lit(seed)), 11).cast("double") + 0.5) / float(1 << 53)
-    rate = F.col("p") * size
+    rate = F.col("p") * size - F.floor(F.col("p") * size)
     start = F.struct(F.lit(0).alias("draws"), F.exp(-rate).alias("mass"), F.exp(-rate).alias("total"))
 
     def next_count(a: Column, k: Column) -> Column:
         mass = a["mass"] * rate / k
         return F.struct((a["draws"] + (u > a["total"]).cast("int")).alias("draws"), mass.alias("mass"), (a["total"] + mass).alias("total"))
 
-    draws = F.aggregate(F.sequence(F.lit(1), F.lit(32)), start, next_count, lambda a: a["draws"])
+    draws = F.aggregate(F.sequence(F.lit(1), F.lit(32)), start, next_count, lambda a: a["draws"]) + F.floor(F.col("p") * size)
     return pool.select(key, draws.alias("draws")).where("draws > 0")
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from slipworks.functions.text import capitals, fold, has_keyword, keyword_pattern, letters
 from slipworks.functions.values import parse_date, parse_time, parse_vnd
 from slipworks.session import Workspace
+from slipworks.sources.tables import spread
 
 # Folded words that mark fields, and bounds of amounts.
 LEAST_AMOUNT, MOST_AMOUNT = 1_000, 100_000_000
@@ -57,7 +58,13 @@ def amounts_of(key: Column) -> Column:
         return F.filter(F.transform(F.regexp_extract_all(key, F.lit(pattern), F.lit(1)), parse_vnd), lambda a: a.between(LEAST_AMOUNT, MOST_AMOUNT))
 
     none = F.array().cast("array<bigint>")
-    return F.when(key.rlike(CONTACT), none).when(has_keyword(key, TOTAL_NEVER), found(_amount_pattern(False))).otherwise(found(_amount_pattern(True)))
+    plain = has_keyword(key, TOTAL_NEVER) | ~has_keyword(key, [*TOTAL_STRONG, *TOTAL_MID, *TOTAL_WEAK])
+    return F.when(~key.rlike(r"\d") | key.rlike(CONTACT), none).when(plain, found(_amount_pattern(False))).otherwise(found(_amount_pattern(True)))
+
+
+def with_amounts(lines: DataFrame) -> DataFrame:
+    """Lines in reading order with their amounts."""
+    return lines.withColumn("amounts", amounts_of(F.col("key")))
 
 
 def _first(df: DataFrame, *order: Column) -> DataFrame:
@@ -68,10 +75,10 @@ def _first(df: DataFrame, *order: Column) -> DataFrame:
 def totals(lines: DataFrame) -> DataFrame:
     """(image_id, value, confidence, rule): the amount that a word for the total points at: on its line, else the last amount to
     its right, else the last of the next row at a lower weight; the heaviest, of equals the lowest on the page. Without such a
-    word the largest amount of the page."""
+    word the largest amount of the page. ``lines`` has amounts (``with_amounts``)."""
     key = F.col("key")
     weight = F.when(has_keyword(key, TOTAL_STRONG), 3).when(has_keyword(key, TOTAL_MID), 2).when(has_keyword(key, TOTAL_WEAK), 1).otherwise(0)
-    rows = lines.select("image_id", "row", "pos", "idx", "cx", "score", weight.alias("w"), amounts_of(key).alias("amounts"), (has_keyword(key, TOTAL_NEVER) | key.rlike(DISCOUNT)).alias("never"), has_keyword(key, TOTAL_SELDOM).alias("seldom"))
+    rows = lines.select("image_id", "row", "pos", "idx", "cx", "score", weight.alias("w"), "amounts", (has_keyword(key, TOTAL_NEVER) | key.rlike(DISCOUNT)).alias("never"), has_keyword(key, TOTAL_SELDOM).alias("seldom"))
     rows = rows.withColumn("own", F.try_element_at("amounts", F.lit(-1)))
     value = F.struct(F.col("own").alias("a"), F.col("score").alias("s"), F.col("cx").alias("x"))
     lasts = rows.where("own is not null").groupBy("image_id", "row").agg(F.max_by(value, F.col("pos")).alias("v"))
@@ -156,7 +163,10 @@ def addresses(lines: DataFrame, seller: DataFrame, window: int = 12, span: int =
 
 def extract_fields(lines: DataFrame, today: str) -> DataFrame:
     """One row for each page: its five fields with their confidences, null where a page has none."""
-    lines, _ = Workspace(lines.sparkSession, "pages").write(lines, "lines")  # read by every field
+    work = Workspace(lines.sparkSession, "pages")
+    ordered, _ = work.write(lines, "ordered")
+    lines, _ = work.write(with_amounts(spread(ordered)), "lines")  # read by every field
+    work.drop("ordered")
     s, d = sellers(lines), dates(lines, today)
     out = lines.select("image_id").distinct()
     for name, df in (("merchant_name", s), ("merchant_address", addresses(lines, s)), ("date", d), ("time", times(lines, d)), ("total", totals(lines))):

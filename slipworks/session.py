@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections import defaultdict
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 
@@ -61,11 +62,11 @@ class Workspace:
         if measures:
             watch = Observation()
             df.observe(watch, *measures).write.mode("overwrite").parquet(path)
-            seen = watch.get
+            seen = dict(watch.get)  # may lack all of them if the plan turned out to be empty
         else:
             df.write.mode("overwrite").parquet(path)
         self.paths[name] = path
-        return self.spark.read.schema(df.schema).parquet(path), seen
+        return self.spark.read.schema(df.schema).parquet(path), defaultdict(lambda: None, seen)
 
     def drop(self, *names: str) -> None:
         for name in names:

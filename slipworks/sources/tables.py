@@ -15,3 +15,10 @@ def once(df: DataFrame, *keys: str) -> DataFrame:
     Which of several rows with one key stays is not defined; use it where rows of one key say the same.
     """
     return df.dropDuplicates(list(keys))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores, for work that costs much more than moving them; large tables have more parts than that anyway and
+    are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

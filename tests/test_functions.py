@@ -1,0 +1,113 @@
+import difflib
+import itertools
+import unicodedata
+
+import pytest
+from pyspark.sql import functions as F
+
+from slipworks.functions import edit, geometry, text, values
+
+VND = [
+    ("1.234.567", 1234567), ("1,234,567đ", 1234567), ("16,200.00", 16200), ("150K", 150000), ("100.000 Đ", 100000), ("74,000", 74000),
+    ("Tong so tien thanh toan: 36,490.00", 36490), ("20.900", 20900), ("1.234,50", 1235), ("475000", 475000), ("Tổng tiền:", None), ("", None), (None, None),
+    ("64 000", 64000), ("39 600", 39600), ("CASH(VND) - 156 000", 156000), ("1 234 567", 1234567), ("Tiền Thanh Toán: 554 000", 554000),
+    ("153,000 153,000", 153000), ("14-08-2020 21:31", 31), ("55, 000", 55000), ("55 ,000", 55000), ("55. 000", 55000), ("1, 234, 567", 1234567),
+    ("55, 000", 55000), ("5 116,000", 116000), ("35 000.", 35000), ("1 234 567,", 1234567), ("9" * 25, None),
+]
+DATES = [
+    ("Ngày : 11/08/2020 08:06", "2020-08-11"), ("01-10-26", "2026-10-01"), ("14.08.2020", "2020-08-14"), ("Ngày 01 tháng 10 năm 2026", "2026-10-01"),
+    ("31/02/2020", None), ("Thời gian: 15:16:02 - 14/08/2020", "2020-08-14"), ("THỜI GIAN", None), ("Ngày 18/03/10/2020", "2020-10-03"),
+    ("02 - 14/08/2020", "2020-08-14"), ("18/03/10", "2010-03-18"), ("ngày ２８ tháng ０５ năm ２０２４", "2024-05-28"), ("１３/０４/２０２４", "2024-04-13"), ("١٣/٠٤/٢٠٢٤", None), ("", None), (None, None),
+]
+TIMES = [("Ngày : 11/08/2020 08:06", "08:06:00"), ("20 : 42 : 52", "20:42:52"), ("Thời gian: 17:39", "17:39:00"), ("NGÀY:", None), (None, None)]
+
+
+@pytest.mark.parametrize("f, cases, kind", [(values.parse_vnd, VND, "bigint"), (values.parse_date, DATES, "string"), (values.parse_time, TIMES, "string")])
+def test_parsers(spark, f, cases, kind):
+    rows = spark.createDataFrame(cases, f"t string, e {kind}").select("*", f(F.col("t")).alias("got"))
+    assert [r for r in rows.collect() if r.e != r.got] == []
+
+
+def test_text_forms(spark):
+    cases = [("  Tổng  CỘNG\tĐồng ", "Tổng CỘNG Đồng", "tong cong dong"), (None, "", ""), ("", "", ""), ("Việt".encode().decode(), "Việt", "viet"), (unicodedata.normalize("NFD", "Ngõ Đước"), None, "ngo duoc")]
+    for raw, normal, folded in cases:
+        row = spark.createDataFrame([(raw,)], "t string").select(text.norm(F.col("t")).alias("n"), text.fold(text.norm(F.col("t"))).alias("f"), text.nfc(F.col("t")).alias("c")).first()
+        assert row.f == folded and (normal is None or row.n == normal)
+        assert row.c == (None if raw is None else unicodedata.normalize("NFC", raw))
+
+
+def test_keywords_are_whole_words(spark):
+    rows = spark.createDataFrame([("hotel",), ("tel: 1",), ("tp. hcm",), ("tp hcm",)], "t string")
+    assert [r[0] for r in rows.select(text.has_keyword(F.col("t"), ["tel"])).collect()] == [False, True, False, False]
+    assert [r[0] for r in rows.select(text.has_keyword(F.col("t"), ["tp."])).collect()] == [False, False, True, False]
+
+
+def test_keys_letters_and_charset(spark):
+    row = spark.createDataFrame([("Cà-phê  A1",)], "t string").select(text.dedup_key(F.col("t"), 3, []).alias("k"), text.dedup_key(F.col("t"), 30, []).alias("short"), text.dedup_key(F.col("t"), 3, ["cà"]).alias("generic"), text.letters(F.col("t")).alias("n"), text.capitals(F.col("t")).alias("u"), text.outside_charset(F.col("t"), F.array(F.lit("C"), F.lit("à"))).alias("o")).first()
+    assert (row.k, row.short, row.generic, row.n, row.u) == ("càphê a1", None, None, 6, 2) and row.o == sorted(set("-phê A1"))
+
+
+def _distance(a, b):
+    last = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        now = [i + 1]
+        for j, y in enumerate(b):
+            now.append(min(last[j] + (x != y), last[j + 1] + 1, now[-1] + 1))
+        last = now
+    return last[-1]
+
+
+def test_edits_equal_dynamic_programming(spark):
+    texts = ["tong tien 100", "tong tien 1000", "", "a b c d", "d c b a", "Tổng", "tổng  cộng", None, "x " * 50]
+    pairs = list(itertools.product(texts, texts))
+    rows = spark.createDataFrame([(i, r, h) for i, (r, h) in enumerate(pairs)], "i int, r string, h string").select("i", *edit.score_pair(F.col("r"), F.col("h"))).orderBy("i").collect()
+    plain = lambda t: " ".join((t or "").split())
+    for (r, h), got in zip(pairs, rows):
+        if r is None:
+            assert got.char_err_exact is None and got.exact_match is None
+            continue
+        assert (got.char_err_exact, got.char_len_exact) == (_distance(plain(r), plain(h)), len(plain(r)))
+        assert (got.word_err_exact, got.word_len_exact) == (_distance(plain(r).split(), plain(h).split()), len(plain(r).split()))
+
+
+def test_rate_is_a_ratio_of_sums(spark):
+    rows = spark.createDataFrame([(1, 2), (0, 8)], "e int, n int")
+    assert rows.agg(edit.rate(F.col("e"), F.col("n"))).first()[0] == pytest.approx(0.1)
+    assert rows.limit(0).agg(edit.rate(F.col("e"), F.col("n"))).first()[0] is None
+
+
+def test_geometry(spark):
+    square = [[10.0, 0.0], [10.0, 10.0], [0.0, 10.0], [0.0, 0.0]]
+    p = F.col("p")
+    row = spark.createDataFrame([(square,)], "p array<array<double>>").select(
+        geometry.order_quad(p).alias("q"), geometry.area(p).alias("a"), geometry.text_height(p).alias("h"), geometry.box(p).alias("b"),
+        geometry.apply_homography(p, [[1, 0, 5], [0, 1, 6], [0, 0, 1]]).alias("m"), geometry.rotate(p, F.lit(20.0), F.lit(30.0), True).alias("r"),
+        geometry.clipped_box(p, F.lit(8.0), F.lit(100.0)).alias("c"), geometry.polygon_share(p, F.array(*map(F.lit, (5.0, 0.0, 10.0, 10.0)))).alias("s")).first()
+    assert row.q == [[0, 0], [10, 0], [10, 10], [0, 10]] and row.a == 100 and row.h == 10
+    assert row.m[0] == [15, 6] and row.r[0] == [30, 10] and row.c.bbox == [0, 0, 8, 10] and row.c.bbox_norm == [0, 0, 1000, 100] and row.s == pytest.approx(0.5)
+
+
+def test_slanted_polygons_are_clipped():
+    diamond = [[0, 5], [5, 0], [10, 5], [5, 10]]
+    assert geometry.polygon_in_box(diamond, [0, 0, 5, 10]) == pytest.approx(0.5)
+    assert geometry.polygon_in_box(diamond, [20, 20, 5, 5]) == 0 and geometry.polygon_in_box([[0, 0], [1, 1]], [0, 0, 5, 5]) == 0
+
+
+def test_gradient_hash_and_hamming(spark):
+    pixels = [3, 1, 2, 9, 5, 4]
+    row = spark.createDataFrame([(pixels, 5, -1)], "p array<int>, a bigint, b bigint").select(geometry.gradient_hash(F.col("p"), 3, 2).alias("h"), values.hamming(F.col("a"), F.col("b")).alias("d")).first()
+    assert row.h == 0b1101 and row.d == 62
+
+
+def test_logit_and_schedule(spark):
+    row = spark.range(1).select(values.sigmoid(values.logit(F.lit(0.3))).alias("p"), values.logit(F.lit(0.0)).alias("low"), values.warmup_cosine(F.lit(0), 100, 0.1, 0.0).alias("first"), values.warmup_cosine(F.lit(100), 100, 0.1, 0.0).alias("end"), values.tolerance_limit(F.lit(-1000.0), 1, 0.5).alias("t")).first()
+    assert row.p == pytest.approx(0.3) and row.low == pytest.approx(-6.906755, abs=1e-5) and row.first == pytest.approx(0.1) and row.end == pytest.approx(0.0) and row.t == 500
+
+
+def test_fuzzy_pairs_find_what_brute_force_finds(spark):
+    from slipworks.operators.corpus import fuzzy_pairs
+
+    keys = ["bach hoa xanh", "bach hoa xanhh", "bach hoa do", "tap hoa xanh", "cua hang so mot", "cua hang so mott", "ab", "abc", "", None, "bach hoa xanh"]
+    got = {(r.a, r.b) for r in fuzzy_pairs(spark.createDataFrame([(k, 1) for k in keys], "s string, a int"), "s", 0.86).collect()}
+    real = sorted({k for k in keys if k})
+    assert got == {(a, b) for a, b in itertools.combinations(real, 2) if difflib.SequenceMatcher(None, a, b).ratio() >= 0.86}
