@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from slipworks.llm.names import fold, ratio
 from slipworks.session import Workspace
+from slipworks.sources.tables import spread
 
 #: Entries of a gazetteer that a task holds; a larger one is refused.
 MOST_ENTRIES = 1_000_000
@@ -378,7 +379,7 @@ def build_gazetteer(addresses: DataFrame, column: str, work: Workspace) -> Gazet
         for batch in batches:
             yield pd.DataFrame([plain_parts(a) for a in batch], columns=["street", "ward", "district", "city"], dtype=object)
 
-    found, _ = work.write(addresses.select(parts(F.col(column)).alias("p")).select("p.*"), "parts")
+    found, _ = work.write(spread(addresses).select(parts(F.col(column)).alias("p")).select("p.*"), "parts")
     fields = ("street", "ward", "district", "city")
     named = found.select(F.explode(F.array(*[F.struct(F.lit(c).alias("kind"), F.col(c).alias("name")) for c in fields])).alias("x")).select("x.*").where("name is not null")
     names: dict[str, dict[str, int]] = {c: {} for c in fields}
@@ -427,7 +428,7 @@ def places(addresses: DataFrame, column: str = "address", work: Workspace | None
             rows = [(a, i, *p, g) for a in batch["address"] for i, (p, g) in enumerate(shared.value.resolve(a))]
             yield pd.DataFrame(rows, columns=["address", "choice", "city", "street", "number", "unit", "genuine"])
 
-    choices = distinct.mapInPandas(run, "address string, choice int, city string, street string, number string, unit string, genuine boolean")
+    choices = spread(distinct).mapInPandas(run, "address string, choice int, city string, street string, number string, unit string, genuine boolean")
     choices, _ = work.write(choices, "choices")
     place = ["city", "street", "number", "unit"]
     stated = choices.where("choice = 0").groupBy(*place).agg(F.count(F.lit(1)).alias("n"))

@@ -18,6 +18,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from slipworks.sources.tables import spread
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 # Fixed value: the pattern that splits text before the merges of this public vocabulary.
@@ -184,5 +186,5 @@ def _mapped(documents: DataFrame, key: str, text: str, vocabulary: str, count: b
                 lists = pa.ListArray.from_arrays(pa.array(np.asarray(offsets), pa.int32()), pa.array(np.asarray(flat, dtype=np.int32), pa.int32()))
                 yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["k", "v"])
 
-    out = rows.mapInArrow(run, f"k {kind}, v {'bigint' if count else 'array<int>'}")
+    out = spread(rows).mapInArrow(run, f"k {kind}, v {'bigint' if count else 'array<int>'}")
     return out.select(F.col("k").alias(key), F.col("v").alias("tokens" if count else "ids"))

@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from slipworks.sources.tables import spread
+
 # Letters of other scripts whose shape is that of a Latin letter, and two letters drawn like Đ.
 SAME_SHAPE = {
     "А": "A", "В": "B", "Е": "E", "Ѕ": "S", "І": "I", "Ј": "J", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P",
@@ -170,7 +172,7 @@ def disguised(lines: DataFrame, corrections: DataFrame, phrases: list[str]) -> D
 
     ``lines`` has row_key and text, ``corrections`` row_key, old_text and new_text; nulls are no case, repeats count once.
     """
-    seen = lines.where("text is not null").select("row_key", "text", canonical_forms(F.col("text"), phrases).alias("c"))
+    seen = spread(lines.where("text is not null").select("row_key", "text")).select("row_key", "text", canonical_forms(F.col("text"), phrases).alias("c"))
     a = seen.where("c.phrase is not null and c.phrase <> text").select(F.lit("ocr_lines").alias("src"), F.col("row_key").cast("bigint"))
     both = corrections.where("old_text is not null and new_text is not null and old_text <> new_text")
     both = both.select("row_key", F.explode(F.array("old_text", "new_text")).alias("text")).select("row_key", canonical_forms(F.col("text"), phrases)["form"].alias("form"))

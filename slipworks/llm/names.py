@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slipworks.llm.lookalike import shape_of
+from slipworks.sources.tables import spread
 
 SHORTEST = 3
 #: Entities that one suffix may stand for before it is refined, and one refined key before it is dropped.
@@ -285,9 +286,9 @@ def linked_names(names: DataFrame, register: Register, keep: tuple[str, ...], na
     """(keep, name, entity) of each row whose name is that of one entity; null, empty and ambiguous names give no row.
 
     The register with its index of suffixes has a bounded size and goes to every task, so rows aren't shuffled. Rows are kept
-    as they come, repeats included.
+    as they come, repeats included; other columns than ``keep`` are ignored.
     """
-    rows = names.where(F.col(name).isNotNull()).select(*keep, F.col(name).alias("name"))
+    rows = names.where(F.col(name).isNotNull()).select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(name).alias("name"))
     shared = names.sparkSession.sparkContext.broadcast(register)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
 
@@ -297,4 +298,5 @@ def linked_names(names: DataFrame, register: Register, keep: tuple[str, ...], na
             batch = batch.assign(entity=pd.Series(found, index=batch.index, dtype=object))
             yield batch[batch["entity"].notna()]
 
-    return rows.mapInPandas(run, f"{kinds}, entity string")
+    linked = spread(rows).mapInPandas(run, f"{kinds}, entity string")
+    return linked.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], F.col("name").alias(name), "entity")

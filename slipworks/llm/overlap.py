@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slipworks.llm.lookalike import shape_of
+from slipworks.llm.names import ratio
 from slipworks.session import Workspace
 
 SHINGLE, IMAGE_RADIUS, TEXT_RADIUS, WINDOW_RADIUS = 5, 3, 3, 1
@@ -26,6 +27,8 @@ SHINGLE, IMAGE_RADIUS, TEXT_RADIUS, WINDOW_RADIUS = 5, 3, 3, 1
 WINDOW_TEXT_RADIUS, CONTAINED, JACCARD = 26, 0.8, 0.45
 #: A line with so many digits bounds a window, and a window has at least so many.
 LINE_DIGITS, WINDOW_DIGITS = 4, 8
+#: Figures and least ratio of lines that tell a sale.
+MARK_DIGITS, MARK_RATIO = 6, 0.8
 #: Image hashes with fewer bits of either kind are meaningless.
 LEAST_BITS = 6
 
@@ -101,8 +104,17 @@ def shingles(text: str) -> set[str]:
     return {text[i : i + SHINGLE] for i in range(len(text) - SHINGLE + 1)}
 
 
+def sale_marks(text: str) -> list[str]:
+    """Lines that can tell one sale from another: with many figures, but not an amount (which ends in 00) or a product."""
+    return [line for line in text.split("|") if "x" not in line and sum(map(str.isdigit, line)) >= MARK_DIGITS and not line.endswith("00")]
+
+
 def same_text(a: str, b: str) -> bool:
-    """Whether most shingles of the shorter text are in the other, and enough of both are common."""
+    """Whether most shingles of the shorter text are in the other, enough of both are common, and, where both state a time or
+    number of the sale, one of them is about the same."""
+    marks, others = sale_marks(a), sale_marks(b)
+    if marks and others and not any(ratio(m, o) >= MARK_RATIO for m in marks for o in others):
+        return False
     x, y = shingles(a), shingles(b)
     both = len(x & y)
     return both >= CONTAINED * min(len(x), len(y)) and both >= JACCARD * (len(x) + len(y) - both) and both > 0

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slipworks.llm.lookalike import shape_of
+from slipworks.sources.tables import spread
 
 #: Graded samples that are fitted on the driver; a larger table is refused.
 MOST_SAMPLES = 50_000
@@ -114,4 +115,4 @@ def reading_level(text: Column, models: LevelModels) -> Column:
 def documents_with_level(documents: DataFrame, samples: DataFrame) -> DataFrame:
     """(doc_id, level) of each running text that isn't null or blank."""
     prose = documents.where((F.col("layout") == "prose") & F.col("text").isNotNull()).select("doc_id", "text")
-    return prose.select("doc_id", reading_level(F.col("text"), fit_levels(samples)).alias("level")).where("level is not null")
+    return spread(prose).select("doc_id", reading_level(F.col("text"), fit_levels(samples)).alias("level")).where("level is not null")
