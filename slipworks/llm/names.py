@@ -211,7 +211,8 @@ class Register:
         name = unicodedata.normalize("NFC", name)
         text = "".join(" " + c if i and c.isupper() and name[i - 1].islower() and name[i + 1 : i + 2].islower() else c for i, c in enumerate(name))
         words = re.findall(r"[^\W_]+", fold(text))
-        while len(words) > 1 and words[-1].isdigit():
+        titles = {w for v in TITLES.values() for w in v}
+        while len(words) > 1 and words[-1].isdigit() and not (words[-2] in titles and words[-1] in RANKS.values()):
             words.pop()
             while len(words) > 1 and (words[-1] in GENERIC or ratio(words[-1], "nhanh") >= 0.75 and words[-1] not in self.own):
                 words.pop()
