@@ -19,6 +19,6 @@ def once(df: DataFrame, *keys: str) -> DataFrame:
 
 def spread(df: DataFrame) -> DataFrame:
     """Rows over all cores, for work that costs much more than moving them; large tables have more parts than that anyway and
-    are left as they are."""
+    are left as they are. For rows read from a table: the number of parts behind a shuffle is known only once it has run."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
