@@ -25,6 +25,9 @@ def oracle_sql() -> dict[str, str]:
             UNION ALL
             SELECT DISTINCT 'label_corrections', correction_id FROM label_corrections
             WHERE old_text <> new_text AND {_look('old_text')} = {_look('new_text')}""",
+        "p2_canonical": f"""
+            WITH lines AS (SELECT line_id, any_value(text) AS text FROM ocr_lines GROUP BY line_id)
+            SELECT {_look('text')} AS form, count(DISTINCT text) AS writings, count(*) AS lines FROM lines WHERE text IS NOT NULL GROUP BY 1""",
         "p3_found": """
             WITH RECURSIVE links AS (
                 SELECT image_a AS u, image_b AS v FROM match_pairs WHERE matched AND image_a <> image_b
