@@ -84,6 +84,25 @@ def ground_truth(regions: DataFrame) -> DataFrame:
     return sets.select("image_id", "merchant_name", "merchant_address", one("dates").alias("transaction_date"), one("times").alias("transaction_time"), one("totals").alias("total"), (F.size("totals") > 1).alias("total_ambiguous"), (F.size("dates") > 1).alias("date_ambiguous"))
 
 
+#: Labels whose order from top to bottom tells which way up a page is: upper, lower, weight.
+LABEL_ORDER = [("SELLER", "ADDRESS", 1), ("SELLER", "TOTAL_COST", 2), ("ADDRESS", "TOTAL_COST", 2)]
+
+
+def rotation_votes(regions: DataFrame, order: list[tuple[str, str, int]] = LABEL_ORDER) -> DataFrame:
+    """(image_id, points, rotation): which way a page that lies on its side must be turned so that its labels come in order.
+
+    Turned clockwise, a region's distance from the left becomes its distance from the top; turned the other way, it is
+    reversed. Each pair of labels on the page votes with its weight; no pair or a tie gives a null rotation.
+    """
+    labels = sorted({label for a, b, _ in order for label in (a, b)})
+    mean = {label: F.avg(F.when(F.col("label") == label, F.col("x") + F.col("w") / 2)) for label in labels}
+    places = regions.groupBy("image_id").agg(*[m.alias(label) for label, m in mean.items()])
+    points = F.lit(0)
+    for a, b, weight in order:
+        points = points + F.when(F.col(a) < F.col(b), weight).when(F.col(a) > F.col(b), -weight).otherwise(0)
+    return places.select("image_id", points.alias("points")).withColumn("rotation", F.when(F.col("points") > 0, "cw").when(F.col("points") < 0, "ccw"))
+
+
 def sample_weights(rows: DataFrame, group: str, most: float = 3.0) -> DataFrame:
     """Adds sample_weight: one over the root of the group's size, of mean 1 before it is limited to ``most``."""
     sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))

@@ -309,6 +309,27 @@ def single_stamps(spark: SparkSession, folder: str) -> DataFrame:
     return rows.groupBy("image_id").agg(F.when(n == 1, F.min("text")).alias("stamp"), (n > 1).alias("ambiguous"))
 
 
+@query(f"""
+    WITH {_REGIONS}, c AS (SELECT image_id, avg(bbox[1] + bbox[3] / 2.0) FILTER (label = 'SELLER') AS s, avg(bbox[1] + bbox[3] / 2.0) FILTER (label = 'ADDRESS') AS a, avg(bbox[1] + bbox[3] / 2.0) FILTER (label = 'TOTAL_COST') AS t FROM regions GROUP BY 1),
+    v AS (SELECT image_id, cast(coalesce(sign(a - s), 0) + 2 * coalesce(sign(t - s), 0) + 2 * coalesce(sign(t - a), 0) AS INT) AS points FROM c)
+    SELECT image_id, points, CASE WHEN points > 0 THEN 'cw' WHEN points < 0 THEN 'ccw' END AS rotation FROM v""")
+def rotation_votes(spark: SparkSession, folder: str) -> DataFrame:
+    return corpus.rotation_votes(spatial.regions_of(_manifest(spark, folder)))
+
+
+@query(f"""
+    WITH {_REGIONS}, w AS (SELECT r.image_id, count(*) AS n, count(*) FILTER (role = 'value') AS n_values, count(*) FILTER (text IS NULL OR trim(text) = '') AS n_blank FROM regions r GROUP BY 1)
+    SELECT coalesce(lower(trim(m.split)), 'none') AS split, count(*) AS pages, cast(sum(coalesce(n, 0)) AS BIGINT) AS regions, cast(sum(coalesce(n_values, 0)) AS BIGINT) AS value_regions, cast(sum(coalesce(n_blank, 0)) AS BIGINT) AS blank_regions, round(avg(quality), 6) AS quality
+    FROM (SELECT image_id, any_value(split) AS split, any_value(quality) AS quality FROM ocr_manifest GROUP BY 1) m LEFT JOIN w ON w.image_id = m.image_id GROUP BY 1""")
+def data_card(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages, regions and mean quality of each split; pages without regions count."""
+    pages = _manifest(spark, folder)
+    blank = F.col("text").isNull() | (F.trim("text") == "")
+    each = spatial.regions_of(pages).groupBy(F.col("image_id").alias("i")).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("role") == "value", 1)).alias("v"), F.count(F.when(blank, 1)).alias("b"))
+    zero = lambda c: F.sum(F.coalesce(F.col(c), F.lit(0)))
+    return pages.join(each, F.col("image_id") == F.col("i"), "left").groupBy(F.coalesce(F.lower(F.trim("split")), F.lit("none")).alias("split")).agg(F.count(F.lit(1)).alias("pages"), zero("n").alias("regions"), zero("v").alias("value_regions"), zero("b").alias("blank_regions"), F.round(F.avg("quality"), 6).alias("quality"))
+
+
 _TRAIN = "t AS (SELECT image_id, min(nullif(regexp_extract(lower(group_id), '0*([0-9]+)', 1), '')) AS g FROM ocr_manifest WHERE lower(trim(split)) = 'train' GROUP BY image_id)"
 
 

@@ -211,6 +211,12 @@ def test_orientation(spark):
     assert got == {"a": (180, "rotated_confidence_vote"), "b": (0, "keep_original"), "c": (0, "insufficient_evidence")}
 
 
+def test_rotation(spark):
+    rows = [("a", "SELLER", 0.0, 10.0), ("a", "TOTAL_COST", 50.0, 10.0), ("b", "SELLER", 90.0, 10.0), ("b", "ADDRESS", 40.0, 10.0), ("c", "SELLER", 5.0, 10.0), ("d", "TIMESTAMP", 5.0, 10.0), ("e", "SELLER", 5.0, 10.0), ("e", "ADDRESS", 5.0, 10.0)]
+    got = {r.image_id: (r.points, r.rotation) for r in corpus.rotation_votes(spark.createDataFrame(rows, "image_id string, label string, x double, w double")).collect()}
+    assert got == {"a": (2, "cw"), "b": (-1, "ccw"), "c": (0, None), "d": (0, None), "e": (0, None)}
+
+
 def test_ground_truth(spark):
     rows = [("p", 0, "SELLER", "value", "A"), ("p", 1, "SELLER", "value", "B"), ("p", 2, "TOTAL_COST", "value", "10.000"), ("p", 3, "TOTAL_COST", "value", "20.000"), ("p", 4, "TIMESTAMP", "value", "1/2/2020 10:11"), ("p", 5, "TIMESTAMP", "key", "3/2/2020"), ("q", 0, "ADDRESS", "value", None)]
     got = {r.image_id: r for r in corpus.ground_truth(spark.createDataFrame(rows, "image_id string, region_id int, label string, role string, text string")).collect()}
