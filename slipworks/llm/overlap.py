@@ -25,8 +25,10 @@ from slipworks.session import Workspace
 SHINGLE, IMAGE_RADIUS, TEXT_RADIUS, WINDOW_RADIUS = 5, 3, 3, 1
 #: Farthest similarity hashes of texts of which only a window agrees, and least shares of common shingles.
 WINDOW_TEXT_RADIUS, CONTAINED, JACCARD = 26, 0.8, 0.45
-#: A line with so many digits bounds a window, and a window has at least so many.
-LINE_DIGITS, WINDOW_DIGITS = 4, 8
+#: A line with so many digits bounds a window, and a window has at least so many that aren't zeros at the end of a number:
+#: round amounts with a printed phrase between them are on very many receipts and tell nothing.
+LINE_DIGITS, WINDOW_DIGITS = 4, 7
+_ROUND = re.compile(rb"0+(?![0-9])")
 #: Figures and least ratio of lines that tell a sale.
 MARK_DIGITS, MARK_RATIO = 6, 0.8
 #: Image hashes with fewer bits of either kind are meaningless.
@@ -80,7 +82,8 @@ def shingle_codes(raw: np.ndarray) -> np.ndarray:
 
 def fingerprints(text: str) -> tuple[int | None, list[int]]:
     """The similarity hash of a plain text and those of its windows; none for a text shorter than a shingle."""
-    raw = np.frombuffer(text.encode(), np.uint8)
+    page = text.encode()
+    raw = np.frombuffer(page, np.uint8)
     code = shingle_codes(raw)
     if not len(code):
         return None, []
@@ -94,7 +97,8 @@ def fingerprints(text: str) -> tuple[int | None, list[int]]:
     if len(rich) < 2:
         return whole, []
     begin, end = starts[rich[:-1]], np.minimum(ends[rich[1:]] + 1 - SHINGLE + 1, len(code))
-    fit = (digits[ends[rich[1:]]] - digits[begin] >= WINDOW_DIGITS) & (end > begin)
+    telling = np.concatenate([[0], np.cumsum(_DIGITS[np.frombuffer(_ROUND.sub(lambda m: b"o" * len(m[0]), page), np.uint8)])])
+    fit = (telling[ends[rich[1:]]] - telling[begin] >= WINDOW_DIGITS) & (end > begin)
     if not fit.any():
         return whole, []
     return whole, np.unique(_codes(sums[end[fit]] - sums[begin[fit]])).tolist()
