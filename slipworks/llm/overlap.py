@@ -1,8 +1,8 @@
 """Same or near-same photographs across splits, by similarity-hash fingerprints.
 
 A photograph has up to three kinds of 64-bit fingerprints: the gradient hash of its image, a similarity hash of all its text,
-and one of each window of text between two neighbouring lines with figures, which survive where a page is cut off. Codes are
-cut into blocks; photographs of different splits that agree in a block meet in a join and are kept within the Hamming radius
+and one of each window of text from a line with figures to a next one that is far enough to tell something, which survive where a
+page is cut off. Codes are cut into blocks; photographs of different splits that agree in a block meet in a join and are kept within the Hamming radius
 that the blocks guarantee: 4 blocks of 16 bits for radius 3, 2 of 32 bits for radius 1. What is left is verified by the texts
 themselves. Two sales of the same goods have alike texts too, but their shingles differ where times and numbers stand.
 """
@@ -28,6 +28,8 @@ WINDOW_TEXT_RADIUS, CONTAINED, JACCARD = 26, 0.8, 0.45
 #: A line with so many digits bounds a window, and a window has at least so many that aren't zeros at the end of a number:
 #: round amounts with a printed phrase between them are on very many receipts and tell nothing.
 LINE_DIGITS, WINDOW_DIGITS = 4, 7
+#: A line without a product is a window of its own from so many such digits on, as most times of a sale are.
+ALONE_DIGITS = 9
 _ROUND = re.compile(rb"0+(?![0-9])")
 #: Figures and least ratio of lines that tell a sale.
 MARK_DIGITS, MARK_RATIO = 6, 0.8
@@ -94,13 +96,16 @@ def fingerprints(text: str) -> tuple[int | None, list[int]]:
     starts = np.concatenate([[0], ends[:-1] + 1])
     digits = np.concatenate([[0], np.cumsum(_DIGITS[raw])])
     rich = np.flatnonzero(digits[ends] - digits[starts] >= LINE_DIGITS)
-    if len(rich) < 2:
+    if not len(rich):
         return whole, []
-    begin, end = starts[rich[:-1]], np.minimum(ends[rich[1:]] + 1 - SHINGLE + 1, len(code))
     telling = np.concatenate([[0], np.cumsum(_DIGITS[np.frombuffer(_ROUND.sub(lambda m: b"o" * len(m[0]), page), np.uint8)])])
-    fit = (telling[ends[rich[1:]]] - telling[begin] >= WINDOW_DIGITS) & (end > begin)
-    if not fit.any():
-        return whole, []
+    until = np.maximum(np.searchsorted(telling[ends[rich]], telling[starts[rich]] + WINDOW_DIGITS), np.arange(len(rich)) + 1)
+    kept = until < len(rich)
+    products = np.concatenate([[0], np.cumsum(raw == 120)])
+    alone = rich[(telling[ends[rich]] - telling[starts[rich]] >= ALONE_DIGITS) & (products[ends[rich]] == products[starts[rich]])]
+    begin = np.concatenate([starts[rich[kept]], starts[alone]])
+    end = np.minimum(np.concatenate([ends[rich[until[kept]]], ends[alone]]) + 1 - SHINGLE + 1, len(code))
+    fit = end > begin
     return whole, np.unique(_codes(sums[end[fit]] - sums[begin[fit]])).tolist()
 
 
