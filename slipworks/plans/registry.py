@@ -162,6 +162,7 @@ _CORRECTED = f"""
 
 @query(f"WITH {_CORRECTED} SELECT correction_id, levenshtein(trim(regexp_replace(ref, ' +', ' ', 'g')), trim(regexp_replace(hyp, ' +', ' ', 'g'))) AS errors, length(trim(regexp_replace(ref, ' +', ' ', 'g'))) AS ref_len FROM e")
 def char_edits(spark: SparkSession, folder: str) -> DataFrame:
+    """Of the part of the texts that DuckDB's distance by bytes can state; ``char_edits_whole`` has the whole texts."""
     errors, length = edit.char_edit(F.col("ref"), F.col("hyp"))
     return _corrected(spark, folder).select("correction_id", errors.alias("errors"), length.alias("ref_len"))
 
@@ -177,12 +178,33 @@ def pair_scores(spark: SparkSession, folder: str) -> DataFrame:
     SELECT action, evidence, grouping(action, evidence) AS level, count(*) AS pairs, round(sum(er) / nullif(sum(n), 0), 6) AS rate, round(avg(cast(er = 0 AS INT)), 6) AS exact FROM s
     GROUP BY GROUPING SETS ((action, evidence), (action), ())""")
 def corpus_rates(spark: SparkSession, folder: str) -> DataFrame:
+    """Of the part of the texts that DuckDB's distance by bytes can state; ``corpus_rates_whole`` has the whole texts."""
     errors, length = edit.char_edit(F.col("ref"), F.col("hyp"))
     rows = _corrected(spark, folder).select("action", "evidence", errors.alias("er"), length.alias("n"))
     out = rows.groupingSets([["action", "evidence"], ["action"], []], "action", "evidence").agg(F.grouping_id().cast("bigint").alias("level"), F.count(F.lit(1)).alias("pairs"), F.round(edit.rate(F.col("er"), F.col("n")), 6).alias("rate"), F.round(F.avg((F.col("er") == 0).cast("int")), 6).alias("exact"))
     return out.select("action", "evidence", "level", "pairs", "rate", "exact")
 
 
+def _whole_edits(spark: SparkSession, folder: str) -> DataFrame:
+    """A row for each correction and variant, with errors and length in code points of the whole texts."""
+    rows = table(spark, folder, "label_corrections").dropDuplicates(["correction_id"]).where("new_text is not null")
+    forms = rows.select("correction_id", "action", "evidence", text.whole_forms(F.col("new_text")).alias("ref"), text.whole_forms(F.col("old_text")).alias("hyp"))
+    each = F.explode(F.array(*[F.struct(F.lit(v).alias("variant"), F.levenshtein(f"ref.{v}", f"hyp.{v}").alias("errors"), F.length(f"ref.{v}").alias("ref_len")) for v in text.VARIANTS]))
+    return forms.select("correction_id", "action", "evidence", each.alias("e")).select("correction_id", "action", "evidence", "e.*")
+
+
+@query()
+def char_edits_whole(spark: SparkSession, folder: str) -> DataFrame:
+    return _whole_edits(spark, folder).select("correction_id", "variant", "errors", "ref_len")
+
+
+@query()
+def corpus_rates_whole(spark: SparkSession, folder: str) -> DataFrame:
+    slices = _whole_edits(spark, folder).groupingSets([["variant", "action", "evidence"], ["variant", "action"], ["variant"]], "variant", "action", "evidence")
+    out = slices.agg(F.grouping_id().cast("bigint").alias("level"), F.count(F.lit(1)).alias("pairs"), F.round(edit.rate(F.col("errors"), F.col("ref_len")), 6).alias("rate"), F.round(F.avg((F.col("errors") == 0).cast("int")), 6).alias("exact"))
+    return out.select("variant", "action", "evidence", "level", "pairs", "rate", "exact")
+
+
 @query(f"""
     WITH {_LINES} SELECT engine, preproc, grouping(engine, preproc) AS level, count(*) AS n, count(DISTINCT image_id) AS pages, round(avg(rec_score), 6) AS mean_score, round(avg(cast(text IS NULL OR trim(text) = '' AS INT)), 6) AS blank
     FROM lines GROUP BY GROUPING SETS ((engine), (engine, preproc), ())""")
