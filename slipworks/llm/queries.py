@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slipworks.llm import addresses, bpe, components, lookalike, names, overlap, packing, reading, splits
+from slipworks.llm import addresses, bpe, components, groups, lookalike, names, overlap, packing, reading, splits
 from slipworks.session import Workspace
 from slipworks.sources.tables import once, table
 
@@ -109,6 +109,11 @@ def p6_report(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.groupBy("split", "source").agg(F.count(F.lit(1)).alias("pairs"), F.countDistinct("other_id").alias("photographs"))
 
 
+def receipt_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups and duplicates by all likenesses: images, sales, names of sellers and addresses."""
+    return groups.receipt_groups(table(spark, folder, "ocr_manifest"), Workspace(spark, "receipts"))
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode(table(spark, folder, "documents"))
 
@@ -142,4 +147,4 @@ def p10_profile(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_variants, p2_found, p2_canonical, p3_found, p3_groups, p4_found, p4_splits, p5_found, p5_places, p6_found, p6_report, p8_ids, p9_containers, p9_fill, p10_found, p10_profile)}
+    return {f.__name__: f for f in (p1_found, p1_variants, p2_found, p2_canonical, p3_found, p3_groups, p4_found, p4_splits, p5_found, p5_places, p6_found, p6_report, receipt_groups, p8_ids, p9_containers, p9_fill, p10_found, p10_profile)}

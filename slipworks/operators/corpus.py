@@ -4,17 +4,24 @@ from __future__ import annotations
 
 import difflib
 import random
+import zlib
 from collections import defaultdict
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from slipworks.functions.text import dedup_key, nfc
 from slipworks.functions.values import hamming, parse_date, parse_time, parse_vnd
 
 #: Groups that a seeded choice on the driver may have.
 MOST_GROUPS = 1_000_000
 
+#: Strings of a block; blocks are compared in pairs.
+BLOCK = 8192
+
 
 def near_hashes(hashes: DataFrame, column: str, radius: int = 3) -> DataFrame:
     """(hash_a, hash_b, distance): distinct 64-bit hashes within ``radius`` (at most 3), the smaller first.
@@ -39,33 +46,79 @@ def same_receipt_links(rows: DataFrame, keys: list[Column], record: str) -> Data
     return given.join(least, [f"k{i}" for i in range(len(keys))]).where("record <> first").select("record", "first").distinct()
 
 
-def fuzzy_pairs(keys: DataFrame, column: str, threshold: float) -> DataFrame:
-    """(a, b, ratio) of distinct strings whose Ratcliff–Obershelp ratio is at least ``threshold``, the smaller first.
+def _signatures(texts: list[str], piece: int, words: int) -> np.ndarray:
+    """A set of 64 * ``words`` bits for each text, a bit for each window of ``piece`` letters and its number among the same ones."""
+    bits = np.zeros((len(texts), words), dtype=np.uint64)
+    for row, t in enumerate(texts):
+        seen: dict[str, int] = {}
+        for i in range(len(t) - piece + 1):
+            g = t[i : i + piece]
+            n = seen[g] = seen.get(g, 0) + 1
+            h = zlib.crc32(f"{g}{n}".encode("utf-8", "surrogatepass")) % (64 * words)
+            bits[row, h >> 6] |= np.uint64(1 << (h & 63))
+    return bits
+
 
-    The ratio can't reach it unless lengths are close and some piece is common: of two strings within the threshold, one of
-    the equal pieces spans a window of ``piece`` letters, so windows are joined and only pairs of close length verified.
+def _close_pairs(left: list[str], right: list[str], same: bool, threshold: float) -> Iterator[tuple[int, int]]:
+    """Places of all pairs that may reach the threshold; of one block with itself, each pair once.
+
+    ``missed`` letters of a pair are in no equal piece. Each is one in the difference of the letters counted with multiplicity
+    and at most three in that of the windows of two letters; texts that share a bit can only make a difference smaller.
+    """
+    order = sorted(range(len(right)), key=lambda j: len(right[j]))
+    lengths = np.array([len(right[j]) for j in order])
+    at = np.array(order)
+    ones, twos = _signatures([right[j] for j in order], 1, 2), _signatures([right[j] for j in order], 2, 4)
+    mine = (_signatures(left, 1, 2), _signatures(left, 2, 4))
+    for i, t in enumerate(left):
+        n = len(t)
+        low, high = np.searchsorted(lengths, n * threshold / (2 - threshold) - 1e-6, "left"), np.searchsorted(lengths, n * (2 - threshold) / threshold + 1e-6, "right")
+        missed = (1 - threshold) * (lengths[low:high] + n) + 1e-6
+        near = np.flatnonzero(np.bitwise_count(twos[low:high] ^ mine[1][i]).sum(1) <= 3 * missed)
+        near = near[np.bitwise_count(ones[low:high][near] ^ mine[0][i]).sum(1) <= missed[near]]
+        yield from ((i, int(j)) for j in at[low:high][near] if not same or i < j)
+
+
+def fuzzy_pairs(keys: DataFrame, column: str, threshold: float, order: str | None = None) -> DataFrame:
+    """(a, b, ratio) of distinct strings whose Ratcliff–Obershelp ratio is at least ``threshold``, the smaller first and the
+    ratio that of (a, b). With ``order``, the string of the least value comes first and the ratio is that of (b, a), since the
+    ratio depends on the order.
+
+    All pairs of blocks of strings are compared by sets of bits, whose difference has a bound for every pair within the
+    threshold, so none is lost; only what is left is verified. The work grows with the square of the number of strings, at a few
+    nanoseconds a pair.
     """
-    s = F.col(column)
-    distinct = keys.select(s.alias("s")).where("s is not null and s <> ''").distinct()
-    piece = 3
-    windows = F.when(F.length("s") <= piece, F.array(F.col("s"))).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("s") - piece + 1), lambda i: F.substring(F.col("s"), i, F.lit(piece)))))
-    grams = distinct.select("s", F.explode(windows).alias("g"), F.length("s").alias("n"))
-    a, b = grams.select("g", F.col("s").alias("a"), F.col("n").alias("na")), grams.select("g", F.col("s").alias("b"), F.col("n").alias("nb"))
-    close = 2 * F.least("na", "nb") >= threshold * (F.col("na") + F.col("nb"))
-    pairs = a.join(b, "g").where(close & (F.col("a") < F.col("b"))).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    # m matched letters lie in at most (unmatched + 1) runs, and each run loses piece - 1 windows.
-    missed = (F.col("na") + F.col("nb")) * (1 - threshold)
-    likely = pairs.where(F.col("shared") >= (F.col("na") + F.col("nb")) * threshold / 2 - (piece - 1) * (missed + 1))
-
-    @F.pandas_udf("double")
-    def same(x: pd.Series, y: pd.Series) -> pd.Series:
-        out = []
-        for p, q in zip(x, y):
-            m = difflib.SequenceMatcher(None, p, q)
-            out.append(m.ratio() if m.real_quick_ratio() >= threshold and m.quick_ratio() >= threshold else 0.0)
-        return pd.Series(out)
-
-    return likely.select("a", "b", same("a", "b").alias("ratio")).where(F.col("ratio") >= threshold)
+    named = keys.select(F.col(column).alias("s"), (F.col(order) if order else F.col(column)).cast("string").alias("o")).where("s is not null and s <> ''")
+    distinct = named.groupBy("s").agg(F.min("o").alias("o"))
+    blocks = max(1, -(-distinct.count() // BLOCK))
+    mine = F.pmod(F.xxhash64("s"), F.lit(blocks)).cast("int")
+    pairs = F.explode(F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda k: F.struct(F.least(k, F.col("k")).alias("i"), F.greatest(k, F.col("k")).alias("j")))).alias("p")
+    spread = distinct.withColumn("k", mine).select("s", "o", "k", pairs).select("s", "o", "k", "p.i", "p.j")
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        i, j = int(rows["i"].iloc[0]), int(rows["j"].iloc[0])
+        one, two = rows[rows["k"] == i], rows[rows["k"] == j]
+        (left, first), (right, second) = ((r["s"].tolist(), r["o"].tolist()) for r in (one, two))
+        out, m = [], difflib.SequenceMatcher()
+        for x, y in _close_pairs(left, right, i == j, threshold):
+            (_, a), (_, b) = sorted([(first[x], left[x]), (second[y], right[y])])
+            m.set_seqs(*((b, a) if order else (a, b)))
+            if m.real_quick_ratio() >= threshold and m.quick_ratio() >= threshold and (ratio := m.ratio()) >= threshold:
+                out.append((a, b, ratio))
+        return pd.DataFrame(out, columns=["a", "b", "ratio"])
+
+    return spread.groupBy("i", "j").applyInPandas(compare, "a string, b string, ratio double")
+
+
+#: A phrase of sellers that names nobody.
+GENERIC_SELLER = ["tên đại lý"]
+
+
+def seller_keys(rows: DataFrame) -> DataFrame:
+    """(image_id, name, address, any_name) of a manifest: keys of the seller of at least 6 letters and of the address of at
+    least 12, null where there is none, and the seller's of any length."""
+    key = lambda c, least: F.nullif(dedup_key(nfc(F.col(f"gt.{c}")), least, GENERIC_SELLER), F.lit(""))
+    return rows.where("image_id is not null").select("image_id", key("merchant_name", 6).alias("name"), key("merchant_address", 12).alias("address"), key("merchant_name", 1).alias("any_name"))
 
 
 def ground_truth(regions: DataFrame) -> DataFrame:

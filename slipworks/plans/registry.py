@@ -314,8 +314,12 @@ def same_receipts(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def fuzzy_merchants(spark: SparkSession, folder: str) -> DataFrame:
-    keys = table(spark, folder, "merchants").select(text.dedup_key(F.col("legal_name"), 6, []).alias("k"))
-    return corpus.fuzzy_pairs(keys, "k", 0.86)
+    return corpus.fuzzy_pairs(corpus.seller_keys(_manifest(spark, folder)), "name", 0.86, "image_id")
+
+
+@query()
+def fuzzy_addresses(spark: SparkSession, folder: str) -> DataFrame:
+    return corpus.fuzzy_pairs(corpus.seller_keys(_manifest(spark, folder)), "address", 0.90, "image_id")
 
 
 @query()
