@@ -5,7 +5,6 @@ from __future__ import annotations
 import difflib
 import random
 import zlib
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -216,37 +215,60 @@ def orientation_votes(pairs: DataFrame, page: str, upright: str, turned: str, le
     return votes.withColumn("degrees", F.when(turn, 180).otherwise(0)).withColumn("reason", F.when(~enough, "insufficient_evidence").when(turn, "rotated_confidence_vote").otherwise("keep_original"))
 
 
+def _shuffled_split(seed: int, small: np.ndarray, n: np.ndarray, total: np.ndarray, shares: dict[str, float]) -> tuple[float, dict[str, np.ndarray]]:
+    """(points, members of each split but train) of the shuffle of one seed; fewer points are better."""
+    order = small.tolist()
+    random.Random(seed).shuffle(order)
+    order = np.array(order, dtype=int)
+    filled, all_n = np.cumsum(n[order]), n.sum()
+    overall = total.sum(0) / max(1.0, all_n)
+    start, points, split = 0, 0.0, {}
+    for name, share in shares.items():
+        need, before = share * all_n, filled[start - 1] if start else 0.0
+        end = min(len(order), int(np.searchsorted(filled, before + need, "left")) + 1) if need > 0 else start
+        members, start = order[start:end], max(start, end)
+        split[name] = members
+        if not len(members):
+            points += 9
+            continue
+        means = total[members].sum(0) / n[members].sum()
+        points += float((abs(means - overall) / np.where(overall == 0, 1.0, overall)).sum()) + abs(n[members].sum() - need) / all_n * 10
+    return points, split
+
+
 def seeded_group_split(groups: DataFrame, group: str, size: str, shares: dict[str, float], features: list[str], big: int = 40, seeds: int = 500) -> pd.DataFrame:
     """(group, split): of ``seeds`` shuffles the one whose splits are most alike all rows in the means of ``features`` (sums by
-    group in the table) and in size. Groups fill the splits of ``shares`` in turn; the rest, and groups of ``big`` rows or
-    more, go to train. Works on a table of groups, whose size is checked; ``llm.splits`` does without one."""
+    group in the table) and in size; ``attrs`` has its seed. Groups fill the splits of ``shares`` in turn; the rest, and groups
+    of ``big`` rows or more, go to train, from which ``seen_draws`` takes. Works on a table of groups, whose size is checked,
+    and tries the seeds in tasks; ``llm.splits`` does without one."""
     rows = groups.select(group, size, *features).orderBy(group).limit(MOST_GROUPS + 1).toPandas()
     if len(rows) > MOST_GROUPS:
         raise ValueError(f"more than {MOST_GROUPS} groups")
     n, total = rows[size].to_numpy(dtype=float), rows[features].to_numpy(dtype=float)
-    all_n = n.sum()
-    overall = total.sum(0) / max(1.0, all_n)
-    small = [i for i in range(len(rows)) if n[i] < big]
-    best: tuple[float, dict[int, str]] | None = None
-    for seed in range(seeds):
-        order = small[:]
-        random.Random(seed).shuffle(order)
-        got: dict[str, float] = defaultdict(float)
-        split, names = {}, [*shares, "train"]
-        for i in order:
-            while len(names) > 1 and got[names[0]] >= shares[names[0]] * all_n:
-                names.pop(0)
-            split[i] = names[0]
-            got[names[0]] += n[i]
-        points = 0.0
-        for name, share in shares.items():
-            members = [i for i, s in split.items() if s == name]
-            if not members:
-                points += 9
-                continue
-            means = total[members].sum(0) / n[members].sum()
-            points += float((abs(means - overall) / [o or 1.0 for o in overall]).sum()) + abs(n[members].sum() - share * all_n) / all_n * 10
-        if best is None or points < best[0]:
-            best = (points, split)
-    chosen = best[1] if best else {}
-    return pd.DataFrame({group: rows[group], "split": [chosen.get(i, "train") for i in range(len(rows))]})
+    small = np.flatnonzero(n < big)
+
+    def attempt(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"seed": batch["id"], "points": [_shuffled_split(int(s), small, n, total, shares)[0] for s in batch["id"]]})
+
+    spark = groups.sparkSession
+    tried = spark.range(0, seeds, 1, max(1, min(seeds, 2 * spark.sparkContext.defaultParallelism))).mapInPandas(attempt, "seed bigint, points double")
+    best = tried.orderBy("points", "seed").first() if len(rows) else None
+    names = np.full(len(rows), "train", dtype=object)
+    if best is not None:
+        for name, members in _shuffled_split(best["seed"], small, n, total, shares)[1].items():
+            names[members] = name
+    out = pd.DataFrame({group: rows[group], "split": names})
+    out.attrs["seed"] = best["seed"] if best is not None else 0
+    return out
+
+
+def seen_draws(rows: DataFrame, group: str, record: str, spare: Column, seed: int, big: int = 40, share: float = 0.06) -> DataFrame:
+    """(record): of every group of ``big`` rows or more, ``share`` of its rows, rounded up, drawn from those that are not
+    ``spare`` (copies of others) by a hash of the record and the seed, so that no group is gathered; all of them if they are
+    fewer."""
+    named = rows.select(F.col(group).alias("g"), F.col(record).alias("record"), F.coalesce(spare, F.lit(False)).alias("spare"))
+    sizes = named.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= big).select(F.col("g").alias("of"), F.ceil(F.col("n") * share - 1e-9).alias("take"))
+    left = named.where("not spare").join(sizes, F.col("g") == F.col("of"))
+    at = F.row_number().over(Window.partitionBy("g").orderBy(F.xxhash64("record", F.lit(seed)), "record"))
+    return left.withColumn("at", at).where("at <= take").select("record")

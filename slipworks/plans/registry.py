@@ -393,9 +393,18 @@ def balanced_draws(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def seeded_split(spark: SparkSession, folder: str) -> DataFrame:
-    groups = _manifest(spark, folder).groupBy(F.regexp_extract(F.lower("group_id"), "0*([0-9]+)", 1).alias("g")).agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("quality") < 0.5).cast("double")).alias("low"), F.sum(F.col("gt.total").isNotNull().cast("double")).alias("total")).where("g <> ''").na.fill(0.0)
-    out = corpus.seeded_group_split(groups, "g", "n", {"val": 0.1, "test": 0.13}, ["low", "total"], seeds=50)
-    return spark.createDataFrame(out, "g string, split string")
+    """(image_id, g, split): whole groups in train, val and test, and a share of each big group in test_seen. Photographs
+    without a group are groups of their own."""
+    number = F.nullif(F.regexp_extract(F.lower("group_id"), "0*([0-9]+)", 1), F.lit(""))
+    rows = _manifest(spark, folder).where("image_id is not null").withColumn("g", F.coalesce(number, F.concat(F.lit("i"), F.col("image_id"))))
+    given = {c: F.col(c).isNotNull() for c in ("gt.merchant_name", "gt.merchant_address", "gt.transaction_date", "gt.total", "orientation_fix")}
+    features = {f"f{i}": v.cast("double") for i, v in enumerate([*given.values(), F.col("quality") < 0.5, F.col("quality")])}
+    groups = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"), *[F.sum(v).alias(k) for k, v in features.items()]).na.fill(0.0)
+    chosen = corpus.seeded_group_split(groups, "g", "n", {"val": 0.1, "test": 0.13}, list(features))
+    split = spark.createDataFrame(chosen, "k string, split string")
+    seen = corpus.seen_draws(rows, "g", "image_id", F.col("dup_of").isNotNull(), chosen.attrs["seed"])
+    out = rows.select("image_id", "g").join(split, F.col("g") == F.col("k")).join(seen, F.col("image_id") == F.col("record"), "left")
+    return out.select("image_id", "g", F.when(F.col("record").isNotNull(), "test_seen").otherwise(F.col("split")).alias("split"))
 
 
 @query(f"""

@@ -205,6 +205,40 @@ def test_seeded_split_keeps_groups_and_shares(spark):
     assert len(split) == 61 and split["big"] == "train" and set(split.values()) == {"train", "val", "test"}
 
 
+def test_seeded_split_equals_the_plain_loop(spark):
+    random.seed(5)
+    rows = sorted((f"g{i}", random.randrange(1, 60) if i % 9 == 0 else random.randrange(1, 6), random.random() * 3, float(i % 4)) for i in range(150))
+    shares, all_n = {"val": 0.1, "test": 0.13}, sum(r[1] for r in rows)
+    overall, best = [sum(r[k] for r in rows) / all_n for k in (2, 3)], None
+    for seed in range(60):
+        order = [r for r in rows if r[1] < 40]
+        random.Random(seed).shuffle(order)
+        got, now = {"val": [], "test": [], "train": []}, "val"
+        for r in order:
+            for name, after in (("val", "test"), ("test", "train")):
+                if now == name and sum(x[1] for x in got[name]) >= shares[name] * all_n:
+                    now = after
+            got[now].append(r)
+        size = {name: sum(r[1] for r in got[name]) for name in shares}
+        points = sum(sum(abs(sum(r[k] for r in got[name]) / size[name] - o) / o for k, o in zip((2, 3), overall)) + abs(size[name] - s * all_n) / all_n * 10 for name, s in shares.items())
+        if best is None or points < best[0]:
+            best = (points, seed, {r[0]: name for name, members in got.items() for r in members})
+    out = corpus.seeded_group_split(spark.createDataFrame(rows, "g string, n int, a double, b double"), "g", "n", shares, ["a", "b"], seeds=60)
+    assert out.attrs["seed"] == best[1] and dict(zip(out["g"], out["split"])) == {r[0]: best[2].get(r[0], "train") for r in rows}
+
+
+def test_test_seen_takes_its_share_of_every_big_group(spark, data):
+    sizes = {"a": 40, "b": 51, "c": 39, "d": 100}
+    rows = spark.createDataFrame([(g, f"{g}{i}", i % 3 == 0 or g == "b" and i > 2) for g, n in sizes.items() for i in range(n)], "g string, r string, copy boolean")
+    drawn = [r.record for r in corpus.seen_draws(rows, "g", "r", F.col("copy"), 7).collect()]
+    assert {g: sum(d[0] == g for d in drawn) for g in sizes} == {"a": 3, "b": 2, "c": 0, "d": 6}
+    assert len(set(drawn)) == len(drawn) and all(int(d[1:]) % 3 for d in drawn)
+    from slipworks.plans import registry
+
+    out = registry.seeded_split(spark, data)
+    assert out.count() == spark.read.parquet(f"{data}/ocr_manifest.parquet").select("image_id").distinct().count() == out.select("image_id").distinct().count()
+
+
 def test_orientation(spark):
     rows = [("a", 0.5, 0.9)] * 4 + [("b", 0.9, 0.5)] * 4 + [("c", 0.1, 0.9)] + [("d", float("nan"), 0.9), ("d", None, 0.3)]
     got = {r.page: (r.degrees, r.reason) for r in corpus.orientation_votes(spark.createDataFrame(rows, "page string, u double, t double"), "page", "u", "t").collect()}
