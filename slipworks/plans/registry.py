@@ -511,7 +511,7 @@ def logistic_fit(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def out_of_fold(spark: SparkSession, folder: str) -> DataFrame:
-    return stats.grouped_out_of_fold(_features(spark, folder).drop("w").cache(), "result_id", "g", ["conf", "len"], "y", folds=3)
+    return stats.grouped_out_of_fold(_features(spark, folder).drop("w").cache(), "result_id", "g", ["conf", "len"], "y", folds=10, repeats=5)
 
 
 @query()

@@ -173,6 +173,27 @@ def test_out_of_fold_never_sees_its_group(spark):
     assert len({round(r.w, 9) for r in w}) == 1
 
 
+def test_out_of_fold_averages_all_repeats(spark, data, monkeypatch):
+    from slipworks.plans import registry
+
+    _, df = _labelled(spark, 90)
+    rows = df.drop("w").cache()
+    got = {r.i: r.prob for r in stats.grouped_out_of_fold(rows, "i", "g", ["p"], "y", folds=3, repeats=2).collect()}
+    folds, expected = stats.fold_map(rows, "g", 3, 2, 42), {}
+    for r in range(2):
+        for f in range(3):
+            inside = {g for g, k, n in zip(folds["group"], folds["repeat"], folds["fold"]) if k == r and n == f}
+            model = stats.fit_logistic(stats.with_group_weights(rows.where(~F.col("g").isin(list(inside))), "g", "_w"), ["p"], "y", "_w")
+            for x in rows.where(F.col("g").isin(list(inside))).select("i", stats.logistic_score([F.col("p")], model).alias("q")).collect():
+                expected.setdefault(x.i, []).append(x.q)
+    assert set(got) == set(expected) and all(len(v) == 2 and got[i] == pytest.approx(sum(v) / 2, abs=1e-7) for i, v in expected.items())
+    asked = []
+    whole = stats.grouped_out_of_fold
+    monkeypatch.setattr(stats, "grouped_out_of_fold", lambda *a, **k: asked.append(k) or whole(*a, **k))
+    assert registry.out_of_fold(spark, data).where("prob between 0 and 1").count() == registry.field_accuracy(spark, data).agg(F.sum("n")).first()[0]
+    assert asked == [{"folds": 10, "repeats": 5}]
+
+
 def test_near_hashes_find_all_within_three_bits(spark):
     random.seed(2)
     base = [random.getrandbits(64) for _ in range(60)]
