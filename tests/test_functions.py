@@ -70,6 +70,16 @@ def test_edits_equal_dynamic_programming(spark):
         assert (got.word_err_exact, got.word_len_exact) == (_distance(plain(r).split(), plain(h).split()), len(plain(r).split()))
 
 
+def test_pairs_of_very_many_words_have_errors(spark):
+    ref = [f"w{i}" for i in range(edit.SIZE + 5)]
+    hyp = ["new", *ref[:100], *ref[103:500], "other", *ref[501:]]
+    errors, length = edit.word_edit(F.col("r"), F.col("h"))
+    rows = spark.createDataFrame([(1, " ".join(ref), " ".join(hyp)), (2, "a b", "a c"), (3, None, "a"), (4, " ".join(ref), None)], "i int, r string, h string")
+    assert {r.i: (r.e, r.n) for r in rows.select("i", errors.alias("e"), length.alias("n")).collect()} == {1: (5, len(ref)), 2: (1, 2), 3: (None, None), 4: (len(ref), len(ref))}
+    for a, b in [("", ""), ("a", ""), ("", "a b"), ("a b c d", "d c b a"), ("a a b", "a b b a")]:
+        assert edit.words_apart(a.split(), b.split()) == _distance(a.split(), b.split())
+
+
 def test_rate_is_a_ratio_of_sums(spark):
     rows = spark.createDataFrame([(1, 2), (0, 8)], "e int, n int")
     assert rows.agg(edit.rate(F.col("e"), F.col("n"))).first()[0] == pytest.approx(0.1)
