@@ -30,8 +30,6 @@ BEAM, NAME_RATIO = 8, 0.7
 #: A word may be a misspelling of one that is like it, ``TIMES`` as frequent, and so frequent that typing errors alone, at most
 #: one in ``ERRORS`` for any one wrong form, explain how often it was seen.
 WORD_RATIO, TIMES, ERRORS = 0.5, 8, 20
-#: Places among which an address that isn't spelled as in the gazetteer may be settled by other addresses.
-MOST_CHOICES = 6
 
 # Markers before a name, by field, and markers behind one, folded.
 BEFORE = {
@@ -153,7 +151,7 @@ class Names:
         return {f"{i}{w}" for i, w in enumerate(words)} | {"^" + "".join(w[0] for w in words)} | {"$" + "".join(w[-1] for w in words)}
 
     def like(self, name: str) -> list[tuple[float, str]]:
-        """An exact name alone, else up to three similar ones, the best first, of equals the more frequent."""
+        """An exact name alone, else all similar ones, the best first, of equals the more frequent."""
         if name in self.counts:
             return [(1.0, name)]
         if name not in self.near:
@@ -161,7 +159,7 @@ class Names:
                 self.near.clear()
             flat = name.replace(" ", "")
             found = {n: ratio(flat, n.replace(" ", "")) for k in self._keys(name) for n in self.blocks.get(k, ())}
-            self.near[name] = sorted(((r, n) for n, r in found.items() if r >= NAME_RATIO), key=lambda x: (-x[0], -self.counts[x[1]], x[1]))[:3]
+            self.near[name] = sorted(((r, n) for n, r in found.items() if r >= NAME_RATIO), key=lambda x: (-x[0], -self.counts[x[1]], x[1]))
         return self.near[name]
 
 
@@ -170,7 +168,7 @@ class Names:
         flat = name.replace(" ", "")
         found = {n for k in self._keys(name) for n in self.blocks.get(k, ()) if n != name}
         near = sorted((-ratio(flat, n.replace(" ", "")), -self.counts[n], n) for n in found)
-        return [n for r, _, n in near if -r >= NAME_RATIO][:4]
+        return [n for r, _, n in near if -r >= NAME_RATIO]
 
 
 class Place(NamedTuple):
@@ -204,7 +202,7 @@ class Gazetteer:
         """Places that an address may denote, and whether the street is spelled as in the gazetteer. The first is what it says;
         the others have a similar street, or another city where more than one is possible.
 
-        Empty without a house number, a street, or anything that tells the city.
+        All of them are choices, however many. Empty without a house number, a street, or anything that tells the city.
         """
         best: tuple[float, list] = (-9e9, [])
         for h in read(address, self):
@@ -247,7 +245,7 @@ class Gazetteer:
             if not places[-1][1]:
                 near += [s for _, s in self.like("street", h.street) if s not in near]
             places += [(Place(c, s, h.number, h.unit), True) for s in near]
-        return (found[0][0] + h.score if found else 0.0), places[:MOST_CHOICES]
+        return (found[0][0] + h.score if found else 0.0), places
 
 
 def _totals(counts: dict[tuple[str, str], int]) -> dict[str, int]:

@@ -196,3 +196,15 @@ def test_blocks_find_every_code_within_the_radius(spark):
     photos = spark.createDataFrame(rows, "image_id string, train boolean, image bigint, text string, code bigint, windows array<bigint>")
     got = {(r.a, r.b) for r in overlap.candidates(photos).collect()}
     assert got == {(f"t{i}", f"v{j}") for i, a in enumerate(base) for j, b in enumerate(near) if bin(a ^ b).count("1") <= 3}
+
+
+def test_every_similar_street_of_every_city_is_a_choice():
+    from slipworks.llm.addresses import Gazetteer
+
+    cities = {"thien vong": 50, "hai dieu": 40}
+    similar = [f"rung ngh{x}" for x in ("ea", "eb", "ec", "ed", "ef", "eg", "ei")]
+    book = Gazetteer(cities, {("tay vinh", "thien vong"): 9}, {(s, c): 5 for c in cities for s in similar}, {("binh khe", c): 7 for c in cities})
+    one = {(p.city, p.street) for p, genuine in book.resolve("168 Đường Rừng Nghê, Quận Tây Vịnh, Thành phố Thiên Vọng") if genuine}
+    assert one == {("thien vong", s) for s in similar}
+    both = {(p.city, p.street) for p, genuine in book.resolve("168 Đường Rừng Nghê, Phường Bình Khê") if genuine}
+    assert both == {(c, s) for c in cities for s in similar}
