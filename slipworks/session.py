@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections import defaultdict
 
 from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql.types import StructType
 
 _OWN: dict[str, str] = {}
 
@@ -27,10 +29,13 @@ def local_session(cpus: int = 8, app: str = "slipworks", **conf: str) -> SparkSe
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; one of our own only where the session names none."""
+    """The folder named by ``spark.checkpoint.dir``; one of our own only where a local session names none. A cluster without
+    one is refused, since a folder of one machine would lose what its executors write."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("a cluster needs spark.checkpoint.dir, a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = tempfile.mkdtemp(prefix="slipworks-")
@@ -54,7 +59,9 @@ class Workspace:
     """
 
     def __init__(self, spark: SparkSession, what: str) -> None:
-        self.spark, self.root, self.paths = spark, f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}", {}
+        self.spark, self.root = spark, f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
+        self.paths: dict[str, str] = {}
+        self.schemas: dict[str, StructType] = {}
 
     def write(self, df: DataFrame, name: str, *measures) -> tuple[DataFrame, dict]:
         """Stores ``df``; ``measures`` are aggregates that are computed in the same job."""
@@ -65,8 +72,12 @@ class Workspace:
             seen = dict(watch.get)  # may lack all of them if the plan turned out to be empty
         else:
             df.write.mode("overwrite").parquet(path)
-        self.paths[name] = path
-        return self.spark.read.schema(df.schema).parquet(path), defaultdict(lambda: None, seen)
+        self.paths[name], self.schemas[name] = path, df.schema
+        return self.read(name), defaultdict(lambda: None, seen)
+
+    def read(self, *names: str) -> DataFrame:
+        """Tables of one schema that were stored before, as one scan."""
+        return self.spark.read.schema(self.schemas[names[0]]).parquet(*[self.paths[n] for n in names])
 
     def drop(self, *names: str) -> None:
         for name in names:
