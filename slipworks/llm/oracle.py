@@ -16,7 +16,8 @@ def _look(column: str) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    number = "regexp_extract(group_id, '^\\s*[A-Za-z]*\\s*0*([0-9]+)\\s*$', 1)"
+    number = "regexp_extract(group_id, '^\\s*\\p{L}*\\s*0*([0-9]+)\\s*$', 1)"
+    group = f"CASE WHEN {number} <> '' THEN 'g' || lpad({number}, cast(greatest(7, length({number})) AS INT), '0') ELSE nullif(lower(trim(group_id)), '') END"
     return {
         "p2_found": f"""
             WITH looks AS (SELECT line_id, text, {_look('text')} AS look FROM ocr_lines WHERE text IS NOT NULL),
@@ -45,7 +46,9 @@ def oracle_sql() -> dict[str, str]:
             SELECT a.image_id, least(a.image_id, min(b.image_id)) AS root_id
             FROM here a LEFT JOIN reach ON u = a.image_id LEFT JOIN here b ON v = b.image_id GROUP BY a.image_id""",
         "p4_found": f"""
-            SELECT 'g' || lpad({number}, cast(greatest(7, length({number})) AS INT), '0') AS group_id FROM ocr_manifest
-            WHERE lower(trim(split)) IN ('train', 'val', 'test') AND {number} <> ''
+            SELECT {group} AS group_id FROM ocr_manifest WHERE lower(trim(split)) IN ('train', 'val', 'test') AND {group} IS NOT NULL
             GROUP BY 1 HAVING count(DISTINCT lower(trim(split))) > 1""",
+        "p4_invariants": f"""
+            SELECT count(DISTINCT image_id) AS photographs, count(DISTINCT image_id) AS distinct_ids, true AS near_shares,
+            count(DISTINCT {group}) AS groups, 0::BIGINT AS torn FROM ocr_manifest WHERE image_id IS NOT NULL""",
     }

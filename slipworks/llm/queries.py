@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,7 +79,22 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_splits(spark: SparkSession, folder: str) -> DataFrame:
-    return splits.assign_splits(table(spark, folder, "ocr_manifest"), "image_id", "group_id", table(spark, folder, "split_targets"))
+    """Every photograph with its group, null without one, and the split that is assigned to it."""
+    group = splits.group_number(F.col("group_id"))
+    out = splits.assign_splits(table(spark, folder, "ocr_manifest"), "image_id", [group], splits.split_shares(table(spark, folder, "split_targets")))
+    return out.withColumnRenamed("component", "group_id")
+
+
+def p4_invariants(spark: SparkSession, folder: str) -> DataFrame:
+    """What must hold of ``p4_splits``: all photographs and groups are there, no group is torn, and each split's share is within
+    two hundredths of its target, or, where photographs are few, within the root of their number."""
+    work = Workspace(spark, "invariants")
+    out, _ = work.write(p4_splits(spark, folder), "assigned")
+    kept = out.where("group_id is not null").groupBy("group_id").agg(F.countDistinct("split").alias("n")).agg(F.count(F.lit(1)).alias("groups"), F.coalesce(F.sum((F.col("n") > 1).cast("bigint")), F.lit(0)).alias("torn"))
+    targets = splits.split_shares(table(spark, folder, "split_targets"))
+    of = [F.abs(F.sum((F.col("split") == s).cast("int")) - F.count(F.lit(1)) * w) <= F.greatest(F.count(F.lit(1)) * 0.02, F.sqrt(F.count(F.lit(1)))) for s, w in targets.items()]
+    sizes = out.agg(F.count(F.lit(1)).alias("photographs"), F.countDistinct("image_id").alias("distinct_ids"), reduce(lambda a, b: a & b, of).alias("near_shares"))
+    return sizes.join(kept)
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -147,4 +164,4 @@ def p10_profile(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_variants, p2_found, p2_canonical, p3_found, p3_groups, p4_found, p4_splits, p5_found, p5_places, p6_found, p6_report, receipt_groups, p8_ids, p9_containers, p9_fill, p10_found, p10_profile)}
+    return {f.__name__: f for f in (p1_found, p1_variants, p2_found, p2_canonical, p3_found, p3_groups, p4_found, p4_splits, p4_invariants, p5_found, p5_places, p6_found, p6_report, receipt_groups, p8_ids, p9_containers, p9_fill, p10_found, p10_profile)}

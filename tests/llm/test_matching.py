@@ -114,6 +114,24 @@ def _graphs():
     yield [(f"x{random.randrange(60):02}", f"x{random.randrange(60):02}") for _ in range(75)]
 
 
+def test_core_is_reduced_to_a_fixed_point_before_it_is_contracted(spark, monkeypatch):
+    random.seed(5)
+    pairs = [(f"x{random.randrange(500):03}", f"x{random.randrange(500):03}") for _ in range(700)] + [(f"p{i:03}", f"p{i + 1:03}") for i in range(200)]
+    least, contract, depths = [], components._contract, []
+
+    def watched(work, marked, step):
+        least.append(marked.agg(F.min("du")).first()[0])
+        return contract(work, marked, step)
+
+    monkeypatch.setattr(components, "_contract", watched)
+    write = components.Workspace.write
+    monkeypatch.setattr(components.Workspace, "write", lambda self, df, *a: depths.append(df._jdf.queryExecution().analyzed().collectLeaves().size()) or write(self, df, *a))
+    df = spark.createDataFrame(pairs, "a string, b string")
+    assert {r.vertex: r.root for r in components.linked_groups(df, "a", "b").collect()} == _union_find(pairs)
+    assert least and min(least) >= 3
+    assert max(depths) <= 16  # leaves of the largest plan, however many levels there are
+
+
 @pytest.mark.parametrize("pairs", list(_graphs()) + [[], [("a", "a"), (None, None)]])
 def test_groups_equal_union_find(spark, pairs):
     df = spark.createDataFrame([(a, b, "clash", "clash") for a, b in pairs], "a string, b string, u string, root string")
@@ -131,25 +149,44 @@ def test_group_numbers(spark):
 
 
 def test_torn_groups_and_assignment(spark):
-    rows = [("a", "g1", "train"), ("b", "G0000001", " VAL "), ("c", "g2", "train"), ("d", "g2", "test_seen"), ("e", None, "val"), ("f", "g3", None), ("g", "odd", "test"), ("g", "odd", "test"), ("h", "odd", "Train"), (None, "g4", "val")]
+    rows = [("a", "g1", "train"), ("b", "G0000001", " VAL "), ("c", "g2", "train"), ("d", "g2", "test_seen"), ("e", None, "val"), ("f", "g3", None), ("g", "odd", "test"), ("g", "odd", "test"), ("h", "Odd ", "Train"), (None, "g4", "val"), ("i", "zeta", "val"), ("j", "zeta", "test"), ("k", " ", "val"), ("l", " ", "test")]
     df = spark.createDataFrame([(*r, "clash", "clash") for r in rows], "image_id string, group_id string, split string, node string, n string")
-    assert sorted(r[0] for r in splits.torn_groups(df, "group_id", "split").collect()) == ["g0000001", "odd"]
+    assert sorted(r[0] for r in splits.torn_groups(df, "group_id", "split").collect()) == ["g0000001", "odd", "zeta"]
     assert splits.torn_groups(df.limit(0), "group_id", "split").count() == 0
-    targets = spark.createDataFrame([("train", 0.7), ("val", 0.1), ("test", 0.2), ("none", 0.0)], "split_name string, share double")
-    out = {r.image_id: r for r in splits.assign_splits(df, "image_id", "group_id", targets).collect()}
-    assert set(out) == set("abcdefgh") and out["a"].split == out["b"].split and out["g"].split == out["h"].split and out["e"].group_id is None
-    assert splits.assign_splits(df.limit(0), "image_id", "group_id", targets).count() == 0
+    targets = spark.createDataFrame([("train", 0.7), ("val", 0.1), ("test", 0.2), ("none", 0.0), ("val", 0.1), (None, 1.0)], "split_name string, share double")
+    shares, keys = splits.split_shares(targets), [splits.group_number(F.col("group_id"))]
+    assert list(shares) == ["test", "train", "val"] and abs(sum(shares.values()) - 1) < 1e-9
+    out = {r.image_id: r for r in splits.assign_splits(df, "image_id", keys, shares).collect()}
+    assert set(out) == set("abcdefghijkl") and out["a"].split == out["b"].split and out["g"].split == out["h"].split and out["e"].component is None
+    assert splits.assign_splits(df.limit(0), "image_id", keys, shares).count() == 0
     with pytest.raises(ValueError):
-        splits.assign_splits(df, "image_id", "group_id", targets.limit(0))
+        splits.split_shares(targets.limit(0))
+
+
+def test_records_with_several_keys_stay_together(spark):
+    rows = [(f"r{k}", f"a{k}", f"a{k + 1}") for k in range(40)] + [(f"s{k}", f"b{k % 3}", None) for k in range(9)] + [("t0", "c0", None), ("t0", "c1", None), ("t1", "c1", "c2"), ("u", None, None)]
+    df = spark.createDataFrame(rows, "record string, one string, two string")
+    keys = [F.col("one"), F.col("two")]
+    of = {r.record: r.component for r in splits.record_components(df, "record", keys).collect()}
+    assert {of[f"r{k}"] for k in range(40)} == {"a0"} and of["t0"] == of["t1"] == "c0" and of["u"] is None
+    assert [of[f"s{k}"] for k in range(9)] == ["b0", "b1", "b2"] * 3
+    for seed in range(3):
+        out = {r.record: r.split for r in splits.assign_splits(df, "record", keys, {"train": 0.5, "test": 0.5}, splits.Rule(seed, {"train": 0.5, "test": 0.5})).collect()}
+        assert len(out) == len(of) and len({out[f"r{k}"] for k in range(40)}) == 1 and out["t0"] == out["t1"]
 
 
-def test_shares_with_a_group_of_a_third(spark):
+def test_shares_with_a_group_of_a_third_and_later_records(spark):
     rows = [(f"i{k}", "g1" if k % 3 == 0 else f"g{k // 4 + 2}") for k in range(6000)]
-    targets = spark.createDataFrame([("train", 0.77), ("val", 0.10), ("test", 0.13)], "split_name string, share double")
-    out = splits.assign_splits(spark.createDataFrame(rows, "image_id string, group_id string"), "image_id", "group_id", targets)
-    assert out.groupBy("group_id").agg(F.countDistinct("split").alias("n")).where("n > 1").count() == 0
+    shares, keys = {"train": 0.77, "val": 0.10, "test": 0.13}, [F.col("group_id")]
+    df = spark.createDataFrame(rows, "image_id string, group_id string")
+    out = splits.assign_splits(df, "image_id", keys, shares)
+    assert out.groupBy("component").agg(F.countDistinct("split").alias("n")).where("n > 1").count() == 0
     got = {r.split: r["count"] / 6000 for r in out.groupBy("split").count().collect()}
-    assert all(abs(got[s] - e) < 0.02 for s, e in (("train", 0.77), ("val", 0.10), ("test", 0.13)))
+    assert all(abs(got[s] - e) < 0.02 for s, e in shares.items())
+    one = {r.image_id: r.split for r in splits.assign_splits(df, "image_id", keys, shares, splits.Rule(3, shares)).collect()}
+    more = df.union(spark.createDataFrame([(f"j{k}", "g5") for k in range(900)], "image_id string, group_id string"))
+    two = {r.image_id: r.split for r in splits.assign_splits(more, "image_id", keys, shares, splits.Rule(3, shares)).collect()}
+    assert all(two[k] == s for k, s in one.items())  # a group that grows moves no other one
 
 
 ADDRESSES = [
