@@ -1,9 +1,9 @@
 """Visually identical text with different characters.
 
-A trie over the vocabulary is traversed with a weighted edit automaton: characters of the same shape substitute at no cost,
-characters that don't show are inserted at no cost, as are blanks beside blanks and at either end, and every other edit
-costs its weight. Texts (or their tokens) within the budget take the vocabulary's spelling; what stays unmatched is spelled
-by the table of shapes.
+A trie over the vocabulary is traversed with a weighted edit automaton that reads the raw characters: a character goes over an
+edge of the same look at no cost, whatever its script, width or composition; characters that don't show stay at no cost, as do
+blanks beside blanks and at either end; every other edit costs its weight. Texts (or their tokens) within the budget take the
+vocabulary's spelling; tokens that stay unmatched are spelled by the table of shapes.
 """
 
 from __future__ import annotations
@@ -12,84 +12,117 @@ import unicodedata
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slipworks.sources.tables import spread
 
-# Letters of other scripts whose shape is that of a Latin letter, and two letters drawn like Đ.
-SAME_SHAPE = {
-    "А": "A", "В": "B", "Е": "E", "Ѕ": "S", "І": "I", "Ј": "J", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P",
-    "С": "C", "Т": "T", "Ү": "Y", "Х": "X", "Ԛ": "Q", "Ԝ": "W", "а": "a", "с": "c", "ԁ": "d", "е": "e", "һ": "h", "і": "i",
-    "ј": "j", "о": "o", "р": "p", "ԛ": "q", "ѕ": "s", "ѵ": "v", "ԝ": "w", "х": "x", "у": "y", "ӏ": "l",
-    "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P",
-    "Τ": "T", "Υ": "Y", "Χ": "X", "ο": "o", "ν": "v", "ϲ": "c", "ϳ": "j", "ɑ": "a", "ɡ": "g",
-    "Ð": "Đ", "Ɖ": "Đ",
-}
+# Letters of other scripts and the Latin letters of the same shape, in the same order; and letters drawn like Đ.
+TWINS = [
+    ("АВЕЅІЈКМНОРСТҮХԚԜ", "ABESIJKMHOPCTYXQW"), ("асԁеһіјорԛѕѵԝхуӏ", "acdehijopqsvwxyl"),  # Cyrillic
+    ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "ABEZHIKMNOPTYX"), ("ονϲϳ", "ovcj"),  # Greek
+    ("ՍՏՕհոսօցզ", "USOhnuogq"),  # Armenian
+    ("ᎠᎡᎢᎪᎫᎬᎳᎷᎻᏀᏃᏔᏙᏚᏞᏟᏢᏦᏴ", "DRTAJEWMHGZWVSLCPKB"),  # Cherokee
+    ("ⲀⲂⲈⲎⲒⲔⲘⲚⲞⲢⲤⲦⲨⲬ", "ABEHIKMNOPCTYX"),  # Coptic
+    ("ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ", "BPDTGKJCZFMNLSRVHWXYAEIOU"),  # Lisu
+    ("ɑɡÐƉ", "agĐĐ"),  # Latin
+]
+SAME_SHAPE = {other: latin for others, latins in TWINS for other, latin in zip(others, latins, strict=True)}
+#: Kinds of compatibility mappings that change the width, the face or the joining of a letter, but not what it looks like.
+SAME_LOOK = ("<wide>", "<narrow>", "<font>", "<noBreak>", "<initial>", "<medial>", "<final>", "<isolated>")
 
 #: Vocabularies travel to every task; a larger one is refused.
 MOST_PHRASES = 200_000
 
+_HIDDEN = "\u034f\u115f\u1160\u3164\uffa0"
+
 
 def shape_of(char: str) -> str:
     """What a character looks like: nothing, a blank, or base letters and marks in canonical order."""
     kind = unicodedata.category(char)
-    if kind == "Cf" or char in "͏ᅟᅠㅤﾠ" or 0xFE00 <= ord(char) <= 0xFE0F or 0xE0100 <= ord(char) <= 0xE01EF:
+    if kind == "Cf" or char in _HIDDEN or 0xFE00 <= ord(char) <= 0xFE0F or 0xE0100 <= ord(char) <= 0xE01EF:
         return ""
     if kind == "Zs" or char.isspace():
         return " "
-    form = unicodedata.decomposition(char)
-    if form.startswith(("<wide>", "<narrow>")):
-        return "".join(shape_of(chr(int(x, 16))) for x in form.split()[1:])
+    tag, *parts = unicodedata.decomposition(char).split() or [""]
+    letters = tag == "<compat>" and kind[0] in "LN" and all(chr(int(x, 16)).isalnum() for x in parts)  # ligatures, numerals of letters
+    if tag in SAME_LOOK or letters:
+        return "".join(shape_of(chr(int(x, 16))) for x in parts)
     if char in SAME_SHAPE:
         return shape_of(SAME_SHAPE[char])
     return "".join(SAME_SHAPE.get(x, x) for x in unicodedata.normalize("NFD", char))
 
 
-class _Shapes(dict):
-    def __missing__(self, char: str) -> str:
-        self[char] = shape = shape_of(char)
-        return shape
+class _Memory(dict):
+    """What a function made of each key; forgets all beyond a number of keys."""
+
+    def __init__(self, make, most: int = 100_000) -> None:
+        self.make, self.most = make, most
+
+    def __missing__(self, key: str):
+        if len(self) >= self.most:
+            self.clear()
+        self[key] = made = self.make(key)
+        return made
+
+
+_SHAPES = _Memory(shape_of)
+#: A character with the marks behind it, between which may be characters that don't show.
+_CLUSTER = regex.compile(rf"[^\p{{M}}\uff9e\uff9f][\p{{M}}\p{{Cf}}\uff9e\uff9f{_HIDDEN}]*|[\p{{M}}\uff9e\uff9f]+")
+_UNIT = regex.compile(r"\P{M}\p{M}*|\p{M}+")
+
+
+def _looks(cluster: str) -> tuple[str, ...]:
+    return tuple(_UNIT.findall(unicodedata.normalize("NFD", "".join([_SHAPES[c] for c in cluster]))))
 
 
-_SHAPES = _Shapes()
+#: The looks of a cluster of raw characters: none if it doesn't show, else letters, each with its marks in order.
+_LOOKS = _Memory(_looks)
 
 
-def units(text: str) -> str:
-    """The text as shapes: marks decomposed and in order, single blanks, nothing at either end."""
-    if not text.isascii():
-        text = unicodedata.normalize("NFD", "".join([_SHAPES[c] for c in text]))
-    return " ".join(text.split())
+def looks(text: str) -> list[str]:
+    """The whole text as looks, with single blanks and none at either end; what the automaton reads one by one."""
+    out: list[str] = []
+    for cluster in _CLUSTER.findall(text):
+        for look in _LOOKS[cluster]:
+            if look != " " or out and out[-1] != " ":
+                out.append(look)
+    return out[:-1] if out and out[-1] == " " else out
 
 
 def plain_form(text: str) -> str:
     """The text spelled by the table of shapes alone."""
-    return unicodedata.normalize("NFC", units(text))
+    return unicodedata.normalize("NFC", "".join(looks(text)))
 
 
 class ShapeTrie:
     """A trie over phrases that is walked with a weighted edit automaton.
 
-    ``budget`` is the highest cost of a match, ``weights`` the cost of a substitution by (unit read, unit of the trie);
-    substitutions without a weight, insertions and deletions cost 1. With a budget of 0 the automaton has one state.
+    ``budget`` is the highest cost of a match, ``weights`` the cost of a substitution by (look read, look of the edge).
+    Equal looks cost nothing; other substitutions without a weight, insertions and deletions cost 1; what doesn't show and
+    superfluous blanks are inserted for nothing. A state is a node of the trie, or its complement if blanks have been read
+    behind it that no edge takes: such a state may end the text but not go on for nothing.
     """
 
     def __init__(self, phrases: Iterable[str], budget: float = 0.0, weights: dict[tuple[str, str], float] | None = None) -> None:
         self.budget, self.weights = budget, weights or {}
         self.next: list[dict[str, int]] = [{}]
         self.ends: list[list[str]] = [[]]
+        self.after_blank = [True]
         for phrase in sorted(set(phrases)):
             at = 0
-            for u in units(phrase):
-                if u not in self.next[at]:
-                    self.next[at][u] = len(self.next)
+            for look in looks(phrase):
+                if look not in self.next[at]:
+                    self.next[at][look] = len(self.next)
                     self.next.append({})
                     self.ends.append([])
-                at = self.next[at][u]
+                    self.after_blank.append(look == " ")
+                at = self.next[at][look]
             self.ends[at].append(phrase)
 
     def _deletions(self, states: dict[int, float]) -> dict[int, float]:
-        todo = list(states.items())
+        todo = [(at, cost) for at, cost in states.items() if at >= 0]
         while todo:
             at, cost = todo.pop()
             if cost + 1 <= self.budget:
@@ -99,28 +132,41 @@ class ShapeTrie:
                         todo.append((child, cost + 1))
         return states
 
+    def _read(self, states: dict[int, float], look: str) -> dict[int, float]:
+        """The states after one look, each with its least cost."""
+        after: dict[int, float] = {}
+        for at, cost in states.items():
+            if at < 0 and look == " ":
+                steps = [(at, cost)]
+            elif at < 0:  # the blanks before are one insertion, and the look is read as from the node
+                steps = [(~at, cost + 2)] + [(child, cost + 1 + (0 if edge == look else self.weights.get((look, edge), 1))) for edge, child in self.next[~at].items()] if cost + 1 <= self.budget else []
+            elif look == " " and self.after_blank[at]:
+                steps = [(at, cost)]
+            else:
+                same = self.next[at].get(look)
+                steps = [] if same is None else [(same, cost)]
+                if look == " ":
+                    steps.append((~at, cost))
+                if cost + 1 <= self.budget or self.weights:
+                    steps += [(at, cost + 1)] + [(child, cost + self.weights.get((look, edge), 1)) for edge, child in self.next[at].items() if edge != look]
+            for to, total in steps:
+                if total <= self.budget and total < after.get(to, self.budget + 1):
+                    after[to] = total
+        return self._deletions(after) if self.budget else after
+
     def match(self, text: str) -> list[tuple[float, str]]:
         """The phrases within the budget with their costs, the cheapest first, ties in order of the phrase."""
-        read = units(text)
-        if not self.budget:
-            at = 0
-            for u in read:
-                at = self.next[at].get(u, -1)
-                if at < 0:
-                    return []
-            return [(0.0, p) for p in self.ends[at]]
         states = self._deletions({0: 0.0})
-        for u in read:
-            after: dict[int, float] = {}
-            for at, cost in states.items():
-                steps = [(at, cost + 1)] + [(child, cost + (0 if edge == u else self.weights.get((u, edge), 1))) for edge, child in self.next[at].items()]
-                for to, total in steps:
-                    if total <= self.budget and total < after.get(to, self.budget + 1):
-                        after[to] = total
-            states = self._deletions(after)
+        for cluster in _CLUSTER.finditer(text):
+            for look in _LOOKS[cluster[0]]:
+                states = self._read(states, look)
             if not states:
                 return []
-        return sorted((cost, p) for at, cost in states.items() for p in self.ends[at])
+        found: dict[str, float] = {}
+        for at, cost in states.items():
+            for p in self.ends[at if at >= 0 else ~at]:
+                found[p] = min(cost, found.get(p, cost))
+        return sorted((cost, p) for p, cost in found.items())
 
 
 def canonical(text: str | None, phrases: ShapeTrie, tokens: ShapeTrie) -> tuple[str | None, str | None]:
@@ -131,10 +177,19 @@ def canonical(text: str | None, phrases: ShapeTrie, tokens: ShapeTrie) -> tuple[
     if found:
         return found[0][1], found[0][1]
     out = []
-    for token in units(text).split(" "):
-        same = tokens.match(token) if token else []
-        out.append(same[0][1] if same else unicodedata.normalize("NFC", token))
-    return " ".join(out), None
+    for token in text.split():
+        same = tokens.match(token)
+        out.append(same[0][1] if same else plain_form(token))
+    return " ".join(filter(None, out)), None
+
+
+def _tries(phrases: list[str], budget: float) -> tuple[ShapeTrie, ShapeTrie]:
+    return ShapeTrie(phrases, budget), ShapeTrie({w for p in phrases for w in p.split()})
+
+
+def _checked(phrases: list[str]) -> None:
+    if len(phrases) > MOST_PHRASES:
+        raise ValueError(f"a vocabulary of {len(phrases)} phrases is larger than {MOST_PHRASES}")
 
 
 def canonical_forms(texts: Column, phrases: list[str], budget: float = 0.0) -> Column:
@@ -143,13 +198,11 @@ def canonical_forms(texts: Column, phrases: list[str], budget: float = 0.0) -> C
     A null text has two nulls; an empty or blank one the form ''. Equal texts are worked once in a batch. Of several phrases
     at the same cost the first in code point order is taken, so it helps if no two phrases of a vocabulary look alike.
     """
-    if len(phrases) > MOST_PHRASES:
-        raise ValueError(f"a vocabulary of {len(phrases)} phrases is larger than {MOST_PHRASES}")
-    words = sorted({w for p in phrases for w in p.split()})
+    _checked(phrases)
 
     @F.pandas_udf("form string, phrase string")
     def forms(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        whole, parts = ShapeTrie(phrases, budget), ShapeTrie(words)
+        whole, parts = _tries(phrases, budget)
         for batch in batches:
             codes, kinds = pd.factorize(batch)
             done = [canonical(t, whole, parts) for t in kinds]
@@ -159,6 +212,35 @@ def canonical_forms(texts: Column, phrases: list[str], budget: float = 0.0) -> C
     return forms(texts)
 
 
+def like_phrase(texts: Column, phrases: list[str], budget: float = 0.0) -> Column:
+    """The phrase of the vocabulary that each text looks like; null for a null text or none. The automaton alone, without a form
+    for what it doesn't match."""
+    _checked(phrases)
+
+    @F.pandas_udf("string")
+    def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        whole = ShapeTrie(phrases, budget)
+        for batch in batches:
+            codes, kinds = pd.factorize(batch)
+            done = [next((p for _, p in whole.match(t)), None) for t in kinds] + [None]
+            yield pd.Series([done[k] for k in codes], dtype=object)
+
+    return found(texts)
+
+
+def same_look(one: Column, other: Column, phrases: list[str]) -> Column:
+    """Whether two texts have one canonical form; null if either is null."""
+    _checked(phrases)
+
+    @F.pandas_udf("boolean")
+    def same(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        whole, parts = _tries(phrases, 0.0)
+        for a, b in batches:
+            yield pd.Series([None if x is None or y is None else canonical(x, whole, parts)[0] == canonical(y, whole, parts)[0] for x, y in zip(a, b)], dtype=object)
+
+    return same(one, other)
+
+
 def phrase_list(phrases: DataFrame, column: str = "phrase") -> list[str]:
     """The vocabulary of a small table; refused beyond ``MOST_PHRASES``."""
     rows = phrases.select(column).where(F.col(column).isNotNull()).distinct().limit(MOST_PHRASES + 1).collect()
@@ -172,9 +254,8 @@ def disguised(lines: DataFrame, corrections: DataFrame, phrases: list[str]) -> D
 
     ``lines`` has row_key and text, ``corrections`` row_key, old_text and new_text; nulls are no case, repeats count once.
     """
-    seen = spread(lines.where("text is not null").select("row_key", "text")).select("row_key", "text", canonical_forms(F.col("text"), phrases).alias("c"))
-    a = seen.where("c.phrase is not null and c.phrase <> text").select(F.lit("ocr_lines").alias("src"), F.col("row_key").cast("bigint"))
+    seen = spread(lines.where("text is not null").select("row_key", "text")).select("row_key", "text", like_phrase(F.col("text"), phrases).alias("p"))
+    a = seen.where("p is not null and p <> text").select(F.lit("ocr_lines").alias("src"), F.col("row_key").cast("bigint"))
     both = corrections.where("old_text is not null and new_text is not null and old_text <> new_text")
-    both = both.select("row_key", F.explode(F.array("old_text", "new_text")).alias("text")).select("row_key", canonical_forms(F.col("text"), phrases)["form"].alias("form"))
-    b = both.groupBy("row_key").agg(F.min("form").alias("a"), F.max("form").alias("b")).where("a = b").select(F.lit("label_corrections").alias("src"), F.col("row_key").cast("bigint"))
+    b = both.where(same_look(F.col("old_text"), F.col("new_text"), phrases)).select(F.lit("label_corrections").alias("src"), F.col("row_key").cast("bigint"))
     return a.union(b).distinct()

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from slipworks.llm.lookalike import SAME_SHAPE
+# Fixed values, kept apart from the operator's own table: letters beside the Latin letters that they can't be told from.
+_CYRILLIC = "АВЕКМНОРСТХЅІЈаеорсухѕіјһԁ", "ABEKMHOPCTXSIJaeopcyxsijhd"
+_GREEK = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧο", "ABEZHIKMNOPTYXo"
 
 
 def _look(column: str) -> str:
     """The look of a text: letters of the same shape as one, marks composed, what doesn't show removed, single blanks."""
-    shapes = "".join(SAME_SHAPE), "".join(SAME_SHAPE.values())
+    shapes = _CYRILLIC[0] + _GREEK[0] + "ÐƉ", _CYRILLIC[1] + _GREEK[1] + "ĐĐ"
     wide = "".join(map(chr, range(0xFF01, 0xFF5F))), "".join(map(chr, range(0x21, 0x7F)))
     kana = "ｦｧｨｩｪｫｬｭｮｯｰｱｲｳｴｵｶｷｸｹｺｻｼｽｾｿﾀﾁﾂﾃﾄﾅﾆﾇﾈﾉﾊﾋﾌﾍﾎﾏﾐﾑﾒﾓﾔﾕﾖﾗﾘﾙﾚﾛﾜﾝﾞﾟ", "ヲァィゥェォャュョッーアイウエオカキクケコサシスセソタチツテトナニヌネノハヒフヘホマミムメモヤユヨラリルレロワン゙゚"
     a, b = (x + y + z for x, y, z in zip(shapes, wide, kana))
@@ -27,8 +29,10 @@ def oracle_sql() -> dict[str, str]:
             SELECT DISTINCT 'label_corrections', correction_id FROM label_corrections
             WHERE old_text <> new_text AND {_look('old_text')} = {_look('new_text')}""",
         "p2_canonical": f"""
-            WITH lines AS (SELECT line_id, any_value(text) AS text FROM ocr_lines GROUP BY line_id)
-            SELECT {_look('text')} AS form, count(DISTINCT text) AS writings, count(*) AS lines FROM lines WHERE text IS NOT NULL GROUP BY 1""",
+            WITH l AS (SELECT line_id, any_value(text) AS text FROM ocr_lines GROUP BY line_id),
+            c AS (SELECT correction_id, any_value(old_text) AS a, any_value(new_text) AS b FROM label_corrections GROUP BY correction_id),
+            t AS (SELECT text FROM l UNION ALL SELECT a FROM c UNION ALL SELECT b FROM c)
+            SELECT {_look('text')} AS form, count(DISTINCT text) AS writings, count(*) AS texts FROM t WHERE text IS NOT NULL GROUP BY 1""",
         "p3_found": """
             WITH RECURSIVE links AS (
                 SELECT image_a AS u, image_b AS v FROM match_pairs WHERE matched AND image_a <> image_b

@@ -39,11 +39,14 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_canonical(spark: SparkSession, folder: str) -> DataFrame:
-    """How often each canonical form stands for how many writings, over all lines."""
+    """How many writings and texts each canonical form stands for, over all lines and both texts of all corrections."""
     phrases = lookalike.phrase_list(table(spark, folder, "print_phrases"))
-    kinds = once(table(spark, folder, "ocr_lines").select("line_id", "text"), "line_id").where("text is not null").groupBy("text").agg(F.count(F.lit(1)).alias("n"))
-    forms = kinds.select("text", "n", lookalike.canonical_forms(F.col("text"), phrases)["form"].alias("form"))
-    return forms.groupBy("form").agg(F.count(F.lit(1)).alias("writings"), F.sum("n").alias("lines"))
+    lines = once(table(spark, folder, "ocr_lines").select("line_id", "text"), "line_id").select("text")
+    corrections = once(table(spark, folder, "label_corrections").select("correction_id", "old_text", "new_text"), "correction_id")
+    texts = lines.union(corrections.select(F.explode(F.array("old_text", "new_text"))))
+    kinds = texts.where("text is not null").groupBy("text").agg(F.count(F.lit(1)).alias("n"))
+    forms = kinds.select("n", lookalike.canonical_forms(F.col("text"), phrases)["form"].alias("form"))
+    return forms.groupBy("form").agg(F.count(F.lit(1)).alias("writings"), F.sum("n").alias("texts"))
 
 
 def _photographs(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:

@@ -53,6 +53,7 @@ PHRASES = ["TỔNG CỘNG", "ĐƠN GIÁ", "Mã quầy", "ガム 抹茶"]
 @pytest.mark.parametrize("text, form, phrase", [
     ("TỔNG CỘNG", "TỔNG CỘNG", "TỔNG CỘNG"), ("  ТỔNＧ  CỘNG ", "TỔNG CỘNG", "TỔNG CỘNG"), ("T​ỔNG C­ỘNG", "TỔNG CỘNG", "TỔNG CỘNG"), ("ÐƠN GIÁ", "ĐƠN GIÁ", "ĐƠN GIÁ"),
     ("Mã quầy", "Mã quầy", "Mã quầy"), ("Мã quầy", "Mã quầy", "Mã quầy"), ("ｶﾞﾑ　抹茶", "ガム 抹茶", "ガム 抹茶"), ("Ｍã　ｑｕầｙ", "Mã quầy", "Mã quầy"),
+    ("T\u200bO\u0309\u0302NG", "TỎ\u0302NG", None), ("TO\u0302\u200b\u0309NG C\u200dO\u0323\u0302NG", "TỔNG CỘNG", "TỔNG CỘNG"), ("TO\u0302\u0309NG CO\u0302\u0323NG", "TỔNG CỘNG", "TỔNG CỘNG"), ("𝐓ỔNG CỘＮ𝖦", "TỔNG CỘNG", "TỔNG CỘNG"), ("ᎢỔNG ꓚỘNG", "TỔNG CỘNG", "TỔNG CỘNG"), ("ﬁ Ⅳ ①", "fi IV ①", None), ("x²", "x²", None),
     ("T0NG CONG", "T0NG CONG", None), ("TỔNG CÔNG", "TỔNG CÔNG", None), ("tổng cộng", "tổng cộng", None), ("TỔNG CỘNG:", "TỔNG CỘNG:", None), ("ТỔNG x", "TỔNG x", None), ("", "", None), ("  ", "", None), (None, None, None),
 ])
 def test_canonical(text, form, phrase):
@@ -81,6 +82,23 @@ def test_automaton_with_a_budget_equals_dynamic_programming():
     assert lookalike.ShapeTrie(["O"], 0.5, {("0", "O"): 0.5}).match("0") == [(0.5, "O")]
 
 
+def test_automaton_reads_raw_characters(monkeypatch):
+    """No table rewrites the text before the walk: look-alikes and what doesn't show are transitions of the automaton."""
+    trie = lookalike.ShapeTrie(["AN BA", "TỔNG"], 1)
+    monkeypatch.setattr(lookalike, "looks", None)
+    monkeypatch.setattr(lookalike, "plain_form", None)
+    for text, cost in (("АΝ ВА", 0), (" A\u200bN\u3000 BA\u00a0", 0), ("AN B", 1), ("AN  BAA", 1), ("A N BA", 1), ("AN BA x", None), ("ANBA", 1), ("A", None), ("T\u041eNG", 1), ("TO\u0302\u0309NG", 0)):
+        assert [c for c, _ in trie.match(text)] == ([] if cost is None else [cost]), text
+
+
+def test_tables_of_shapes_are_single_letters_of_one_script_each():
+    import unicodedata
+
+    for others, latins in lookalike.TWINS:
+        assert len(others) == len(set(others)) == len(latins)
+        assert len({unicodedata.name(c).split()[0] for c in others}) == 1 and all("LATIN" in unicodedata.name(c) for c in latins)
+
+
 def test_disguised(spark):
     lines = spark.createDataFrame([(1, "ТỔNG CỘNG", "x"), (1, "ТỔNG CỘNG", "x"), (2, "TỔNG CỘNG", "x"), (3, None, "x"), (4, "", "x"), (5, "y" * 30_000, "x")], "row_key bigint, text string, form string")
     fixes = spark.createDataFrame([(1, "а", "a"), (2, "a", "a"), (3, "a", None), (4, None, "a"), (5, "a ", "a"), (6, "a", "á"), (1, "а", "a")], "row_key bigint, old_text string, new_text string")
