@@ -55,4 +55,7 @@ def oracle_sql() -> dict[str, str]:
         "p4_invariants": f"""
             SELECT count(DISTINCT image_id) AS photographs, count(DISTINCT image_id) AS distinct_ids, true AS near_shares,
             count(DISTINCT {group}) AS groups, 0::BIGINT AS torn FROM ocr_manifest WHERE image_id IS NOT NULL""",
+        "p9_invariants": """
+            SELECT limit_id, (SELECT count(DISTINCT doc_id) FROM documents) AS documents, 0::BIGINT AS divided_short, 0::BIGINT AS over_tokens, 0::BIGINT AS over_segments, 0::BIGINT AS over_loss
+            FROM pack_limits WHERE capacity_tokens > 0""",
     }

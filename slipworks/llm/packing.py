@@ -18,37 +18,45 @@ from pyspark.sql import functions as F
 from slipworks.session import Workspace
 
 #: Items that one task packs at a time.
-SHARD = 20_000
+SHARD = 8_000
 
 
 def pack_items(tokens: np.ndarray, loss: np.ndarray, capacity: int, segments: int, loss_limit: int) -> list[list[int]]:
-    """Indices of the items in each container. Every item must fit into an empty container."""
-    kinds, back = np.unique(np.stack([tokens, loss], axis=1), axis=0, return_inverse=True)
+    """Indices of the items in each container. Every item must fit into an empty container.
+
+    What an item needs and what a container has left are vectors of shares of the three limits: tokens, segments, loss-bearing
+    tokens. A dimension weighs as much as all items together need of it, the scarcest 1. Items of one size are one row.
+    """
+    kinds, back = np.unique(np.stack([tokens, np.ones_like(tokens), loss], axis=1), axis=0, return_inverse=True)
     back = np.asarray(back).reshape(-1)
     waiting: list[list[int]] = [[] for _ in kinds]
     for i in range(len(tokens) - 1, -1, -1):
         waiting[back[i]].append(i)
-    left = np.array([len(w) for w in waiting])
-    need = kinds / np.array([capacity, max(1, loss_limit)])
-    scarce = np.array([tokens.sum() / capacity, loss.sum() / max(1, loss_limit)])
-    scarce = scarce / max(scarce.max(), 1e-9)
-    live = np.arange(len(kinds))
+    limits = np.array([capacity, segments, max(1, loss_limit)], dtype=np.int64)
+    need = kinds / limits
+    weights = need.T @ np.array([len(w) for w in waiting], dtype=float)
+    weights = weights / max(weights.max(initial=0.0), 1e-9)
+    live = np.arange(len(kinds))  # in order of tokens
+    sizes, losses, needs = kinds[:, 0], kinds[:, 2], need
     out: list[list[int]] = []
-    remaining = len(tokens)
-    while remaining:
-        box, room = [], np.array([capacity, loss_limit], dtype=np.int64)
-        while remaining and len(box) < segments:
-            if len(live) > 2 * np.count_nonzero(left[live]):
-                live = live[left[live] > 0]
-            fits = live[(left[live] > 0) & (kinds[live] <= room).all(axis=1)]
+    gone = 0
+    while len(live) > gone:
+        box, room = [], limits.copy()
+        while room[1]:
+            if gone * 2 > len(live):
+                live = live[sizes >= 0]
+                sizes, losses, needs, gone = kinds[live, 0], kinds[live, 2], need[live], 0
+            until = int(np.searchsorted(kinds[live, 0], room[0], "right")) if gone else int(np.searchsorted(sizes, room[0], "right"))
+            fits = np.flatnonzero((losses[:until] <= room[2]) & (sizes[:until] >= 0))
             if not len(fits):
                 break
-            value = need[fits] @ (scarce * room / np.array([capacity, max(1, loss_limit)]))
-            k = fits[np.lexsort((-kinds[fits, 0], -value))[0]] if len(fits) < 2 else fits[_best(value, kinds[fits, 0])]
+            at = int(fits[_best(needs[fits] @ (weights * room / limits), sizes[fits])])
+            k = live[at]
             box.append(waiting[k].pop())
-            left[k] -= 1
-            remaining -= 1
             room = room - kinds[k]
+            if not waiting[k]:
+                sizes = sizes.copy() if gone == 0 else sizes
+                sizes[at], gone = -1, gone + 1
         out.append(box)
     return out
 
@@ -60,13 +68,14 @@ def _best(value: np.ndarray, tokens: np.ndarray) -> int:
 
 
 def pack(sizes: DataFrame, limits: list[tuple[int, int, int, int]], work: Workspace | None = None) -> DataFrame:
-    """(limit_id, container_id, doc_id, piece, tokens): every item in one container of each limit.
+    """(limit_id, container_id, doc_id, piece, tokens, loss): every item in one container of each limit.
 
     ``sizes`` has doc_id, tokens and loss; ``limits`` are (limit_id, capacity in tokens, segments, loss-bearing tokens). Only
     an item longer than the capacity is divided, into pieces of the capacity and a rest, numbered from 0; a full piece is a
     container of its own, and the loss-bearing tokens of an item are spread over its pieces from the first on. Items without
-    tokens need no room and get one row with a null container. Loss beyond its limit counts as the limit. Repeated keys are
-    items of their own. No items give no rows.
+    tokens need no room and get one row with a null container. An item that alone bears more loss than the limit counts as
+    the limit and shares its container only with items that bear none. Repeated keys are items of their own. No items give
+    no rows.
     """
     work = work or Workspace(sizes.sparkSession, "packing")
     if not limits:
@@ -78,8 +87,8 @@ def pack(sizes: DataFrame, limits: list[tuple[int, int, int, int]], work: Worksp
     pieces = pieces.withColumn("tokens", F.least(F.col("capacity").cast("long"), F.col("whole") - done))
     pieces = pieces.withColumn("loss", F.least(F.greatest(F.lit(0), F.col("whole_loss") - done), F.col("tokens"), F.col("loss_limit").cast("long")))
     pieces, _ = work.write(pieces.select("limit_id", "capacity", "segments", "loss_limit", "doc_id", "piece", "tokens", "loss"), "pieces")
-    alone = pieces.where("tokens >= capacity").select("limit_id", F.concat_ws("-", "limit_id", F.lit("full"), "doc_id", "piece").alias("container_id"), "doc_id", "piece", "tokens")
-    empty = pieces.where("tokens = 0").select("limit_id", F.lit(None).cast("string").alias("container_id"), "doc_id", "piece", "tokens")
+    alone = pieces.where("tokens >= capacity").select("limit_id", F.concat_ws("-", "limit_id", F.lit("full"), "doc_id", "piece").alias("container_id"), "doc_id", "piece", "tokens", "loss")
+    empty = pieces.where("tokens = 0").select("limit_id", F.lit(None).cast("string").alias("container_id"), "doc_id", "piece", "tokens", "loss")
     loose = pieces.where("tokens > 0 and tokens < capacity")
     counts = {r[0]: r[1] for r in loose.groupBy("limit_id").count().collect()}
     shards = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(-(-n // SHARD)))]) if counts else F.create_map(F.lit(0), F.lit(1))
@@ -92,10 +101,10 @@ def pack(sizes: DataFrame, limits: list[tuple[int, int, int, int]], work: Worksp
         name = np.empty(len(rows), dtype=object)
         for k, box in enumerate(boxes):
             name[box] = f"{first['limit_id']}-{first['shard']}-{k}"
-        return rows[["limit_id"]].assign(container_id=name, doc_id=rows["doc_id"], piece=rows["piece"], tokens=rows["tokens"])
+        return rows[["limit_id"]].assign(container_id=name, doc_id=rows["doc_id"], piece=rows["piece"], tokens=rows["tokens"], loss=rows["loss"])
 
     kind = sizes.schema["doc_id"].dataType.simpleString()
-    packed = loose.groupBy("limit_id", "shard").applyInPandas(shard, f"limit_id int, container_id string, doc_id {kind}, piece int, tokens long")
+    packed = loose.groupBy("limit_id", "shard").applyInPandas(shard, f"limit_id int, container_id string, doc_id {kind}, piece int, tokens long, loss long")
     return packed.union(alone).union(empty)
 
 

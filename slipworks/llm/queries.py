@@ -138,14 +138,19 @@ def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode(table(spark, folder, "documents"))
 
 
-def _packed(spark: SparkSession, folder: str) -> tuple[DataFrame, dict[int, int]]:
-    """Containers of each capacity with at most one segment for 16 tokens of it; pages bear no loss, running texts do."""
-    capacities = {r[0]: r[1] for r in table(spark, folder, "pack_limits").where("capacity_tokens > 0").select("limit_id", "capacity_tokens").collect()}
+#: Tokens of capacity for each segment that a container may hold, and the share of it that may bear loss.
+SEGMENT_TOKENS, LOSS_SHARE = 128, 0.98
+
+
+def _packed(spark: SparkSession, folder: str) -> tuple[DataFrame, dict[int, tuple[int, int, int]]]:
+    """Containers of each capacity under three limits, and the limits (tokens, segments, loss-bearing tokens); running texts
+    bear loss on all tokens, pages on none."""
+    capacities = table(spark, folder, "pack_limits").where("capacity_tokens > 0").select("limit_id", "capacity_tokens").distinct().collect()
+    limits = {r[0]: (r[1], max(1, r[1] // SEGMENT_TOKENS), int(r[1] * LOSS_SHARE)) for r in sorted(capacities)}
     documents = table(spark, folder, "documents").select(F.struct("doc_id", (F.col("layout") == "prose").alias("prose")).alias("key"), "text")
     counted = bpe.count_tokens(documents, "key")
     sizes = counted.select("key.doc_id", "tokens", F.when(F.col("key.prose"), F.col("tokens")).otherwise(0).alias("loss"))
-    limits = [(k, c, max(1, c // 16), c) for k, c in sorted(capacities.items())]
-    return packing.pack(sizes, limits, Workspace(spark, "packing")), capacities
+    return packing.pack(sizes, [(k, *v) for k, v in limits.items()], Workspace(spark, "packing")), limits
 
 
 def p9_containers(spark: SparkSession, folder: str) -> DataFrame:
@@ -153,7 +158,22 @@ def p9_containers(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p9_fill(spark: SparkSession, folder: str) -> DataFrame:
-    return packing.fill_report(*_packed(spark, folder))
+    packed, limits = _packed(spark, folder)
+    return packing.fill_report(packed, {k: v[0] for k, v in limits.items()})
+
+
+def p9_invariants(spark: SparkSession, folder: str) -> DataFrame:
+    """What must hold of ``p9_containers`` for each limit: all documents are there, no container is beyond a limit, and no
+    document is divided that would fit."""
+    packed, limits = _packed(spark, folder)
+    work = Workspace(spark, "invariants")
+    packed, _ = work.write(packed, "packed")
+    bound = spark.createDataFrame([(k, *v) for k, v in limits.items()], "l int, capacity long, segments long, loss_limit long")
+    boxes = packed.where("container_id is not null").groupBy("limit_id", "container_id").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n"), F.sum("loss").alias("loss"), F.max("tokens").alias("most"))
+    over = boxes.join(bound, F.col("limit_id") == F.col("l")).groupBy("limit_id").agg(*[F.count(F.when(F.expr(rule), 1)).alias(name) for name, rule in (("over_tokens", "tokens > capacity"), ("over_segments", "n > segments"), ("over_loss", "loss > loss_limit and n > 1"))])
+    whole = packed.groupBy("limit_id", "doc_id").agg(F.sum("tokens").alias("tokens"), F.max("piece").alias("last"))
+    kept = whole.join(bound, F.col("limit_id") == F.col("l")).groupBy("limit_id").agg(F.count(F.lit(1)).alias("documents"), F.count(F.when(F.expr("last > 0 and tokens <= capacity"), 1)).alias("divided_short"))
+    return kept.join(over, "limit_id")
 
 
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -167,4 +187,4 @@ def p10_profile(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_variants, p2_found, p2_canonical, p3_found, p3_groups, p4_found, p4_splits, p4_invariants, p5_found, p5_places, p6_found, p6_report, receipt_groups, p8_ids, p9_containers, p9_fill, p10_found, p10_profile)}
+    return {f.__name__: f for f in (p1_found, p1_variants, p2_found, p2_canonical, p3_found, p3_groups, p4_found, p4_splits, p4_invariants, p5_found, p5_places, p6_found, p6_report, receipt_groups, p8_ids, p9_containers, p9_fill, p9_invariants, p10_found, p10_profile)}

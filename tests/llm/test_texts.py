@@ -55,6 +55,25 @@ def test_packing_keeps_the_limits_and_every_item():
     assert len(boxes) <= 1.15 * least + 1  # the bound of the scarcest dimension can't be reached in three
 
 
+@pytest.mark.parametrize("sizes, limits, bound, which", [
+    ([(30, 0)] * 60, (100, 50, 100), 60 * 30 / 100, 0),  # tokens alone: three of 30 fill a container
+    ([(1, 0)] * 60, (100, 5, 100), 60 / 5, 1),  # segments alone
+    ([(10, 10)] * 30 + [(10, 0)] * 30, (100, 50, 20), 30 * 10 / 20, 2),  # loss alone: two that bear it, the rest is room for others
+])
+def test_each_limit_binds_alone(sizes, limits, bound, which):
+    tokens, loss = (np.array(x) for x in zip(*sizes))
+    boxes = packing.pack_items(tokens, loss, *limits)
+    used = [(tokens[b].sum() / limits[0], len(b) / limits[1], loss[b].sum() / limits[2]) for b in boxes]
+    assert sorted(i for b in boxes for i in b) == list(range(len(sizes))) and all(max(u) <= 1 for u in used)
+    assert len(boxes) <= 1.12 * bound + 2 and all(u[which] == max(u) for u in used[:-1])
+
+
+def test_scarce_loss_is_mixed_with_what_bears_none():
+    tokens, loss = np.full(200, 25), np.array([25, 0] * 100)
+    boxes = packing.pack_items(tokens, loss, 100, 50, 50)
+    assert len(boxes) == 50 and all(loss[b].sum() == 50 and tokens[b].sum() == 100 for b in boxes)
+
+
 def test_containers_of_odd_documents(spark):
     sizes = [(1, 40, 40), (2, 60, 0), (3, 0, 0), (4, 250, 250), (5, 100, 10), (6, None, None), (1, 40, 40), (7, 200, 0)]
     df = spark.createDataFrame([(*s, "c", "c") for s in sizes], "doc_id bigint, tokens bigint, loss bigint, piece string, shard string")
