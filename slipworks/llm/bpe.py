@@ -8,6 +8,7 @@ a batch at once against the pairs already judged; only words with an incompatibl
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 from array import array
 from collections.abc import Iterator
@@ -140,12 +141,12 @@ class SpeculativeEncoder:
 
 
 _SPLIT = regex.compile(PATTERN)
-_MADE: dict[int, SpeculativeEncoder] = {}
+_MADE: dict[bytes, SpeculativeEncoder] = {}
 
 
 def _encoder(tokens: list[bytes]) -> SpeculativeEncoder:
     """One encoder for each Python worker and vocabulary, kept from task to task."""
-    key = hash((len(tokens), tokens[-1], tokens[len(tokens) // 2]))
+    key = hashlib.sha256(b"".join(len(t).to_bytes(4) + t for t in tokens)).digest()
     if key not in _MADE:
         _MADE[key] = SpeculativeEncoder(tokens)
     return _MADE[key]

@@ -2,9 +2,11 @@
 
 One model for each pair of language and level is estimated from graded samples, with words folded (shapes, accents, case,
 digits), additive smoothing over the common vocabulary and one unseen word. The language of a text is taken from the models
-too, so a wrong or missing label does no harm. A sentence's likelihoods give its posterior over the levels; a text's level is
-the one with the highest likelihood of all its sentences, each of which may with a small probability be of any level, so that
-a few borrowed sentences don't decide.
+too, so a wrong or missing label does no harm: a level's likelihood is the mean of those of its languages. A text gets the
+level with the highest posterior, all levels being alike before it is read.
+
+With ``borrowed`` above 0 a text is read as sentences each of which may with that probability be of any level, so that a few
+borrowed sentences don't decide; its level is then the one with the highest likelihood of all its sentences.
 """
 
 from __future__ import annotations
@@ -24,8 +26,9 @@ from slipworks.sources.tables import spread
 
 #: Graded samples that are fitted on the driver; a larger table is refused.
 MOST_SAMPLES = 50_000
-SMOOTHING, BORROWED = 0.1, 0.1
+SMOOTHING = 0.1
 
+_WORD = re.compile(r"[^\W\d_]+|\d+")
 _WORD_OR_STOP = re.compile(r"[^\W\d_]+|\d+|[.!?;\n]")
 
 
@@ -45,6 +48,11 @@ class _Fold(dict):
 _FOLDED = _Fold()
 
 
+def words(text: str) -> list[str]:
+    """The folded words of a text; a number is the word 0."""
+    return ["0" if w[0].isdigit() else w for w in _WORD.findall(text.translate(_FOLDED))]
+
+
 def sentences(text: str) -> list[list[str]]:
     """The words of each sentence that has any; a number is the word 0."""
     out: list[list[str]] = [[]]
@@ -58,10 +66,10 @@ def sentences(text: str) -> list[list[str]]:
 
 
 class LevelModels:
-    def __init__(self, samples: list[tuple[str, int, str]], smoothing: float = SMOOTHING, borrowed: float = BORROWED) -> None:
+    def __init__(self, samples: list[tuple[str, int, str]], smoothing: float = SMOOTHING, borrowed: float = 0.0) -> None:
         counts: dict[tuple[str, int], Counter] = {}
         for lang, level, text in samples:
-            counts.setdefault((lang or "", level), Counter()).update(w for s in sentences(text) for w in s)
+            counts.setdefault((lang or "", level), Counter()).update(words(text))
         if not counts:
             raise ValueError("no graded sample has a level and a text")
         self.kinds, self.borrowed = sorted(counts), borrowed
@@ -76,6 +84,14 @@ class LevelModels:
 
     def scores(self, text: str) -> np.ndarray:
         """The log likelihood of each level; equal for a text without words."""
+        if self.borrowed:
+            return self._by_sentence(text)
+        rows, unseen = self.rows, len(self.rows)
+        ids = np.array([rows.get(w, unseen) for w in words(text)], np.int64)
+        kinds = self.log[ids].sum(axis=0)
+        return np.array([np.logaddexp.reduce(kinds[cols]) - np.log(len(cols)) for cols in self.of])
+
+    def _by_sentence(self, text: str) -> np.ndarray:
         parts = sentences(text)
         if not parts:
             return np.zeros(len(self.levels))
@@ -83,7 +99,7 @@ class LevelModels:
         ids = np.fromiter((self.rows.get(w, unseen) for s in parts for w in s), np.int64)
         starts = np.cumsum([0] + [len(s) for s in parts[:-1]])
         kinds = np.add.reduceat(self.log[ids], starts, axis=0)
-        levels = np.stack([kinds[:, cols].max(axis=1) for cols in self.of], axis=1)
+        levels = np.stack([np.logaddexp.reduce(kinds[:, cols], axis=1) - np.log(len(cols)) for cols in self.of], axis=1)
         posterior = np.exp(levels - levels.max(axis=1, keepdims=True))
         posterior /= posterior.sum(axis=1, keepdims=True)
         return np.log(self.borrowed / len(self.levels) + (1 - self.borrowed) * posterior).sum(axis=0)
@@ -93,12 +109,12 @@ class LevelModels:
         return self.levels[int(self.scores(text).argmax())]
 
 
-def fit_levels(samples: DataFrame) -> LevelModels:
+def fit_levels(samples: DataFrame, borrowed: float = 0.0) -> LevelModels:
     """Models from the rows of ``samples`` (lang, level, text) that have a level and a text; lang may be null."""
     rows = samples.where("level is not null and text is not null").select("lang", "level", "text").limit(MOST_SAMPLES + 1).collect()
     if len(rows) > MOST_SAMPLES:
         raise ValueError(f"more than {MOST_SAMPLES} graded samples")
-    return LevelModels([(r[0], r[1], r[2]) for r in rows])
+    return LevelModels([(r[0], r[1], r[2]) for r in rows], borrowed=borrowed)
 
 
 def reading_level(text: Column, models: LevelModels) -> Column:
