@@ -1,17 +1,21 @@
 """Variant spellings of names typed by people, linked to the entity of a register that they mean.
 
-Blocking is by suffixes of tokens: every suffix of at least ``SHORTEST`` letters of a name's own words is a key. A suffix
-that stands for too many entities is not dropped as such; it is refined first, by the trade and by a suffix of another word,
-and only refined keys that are still too common are dropped. Pairs are compared by the ratio of their longest common
-subsequence, word by word and over the whole.
+Blocking is by suffixes of tokens: every suffix of at least ``SHORTEST`` letters of a name's own words stands for the entities
+that have it. A suffix that stands for too many is not dropped: it is refined by other fields, the trade and the ends of the
+name's other words, one after the other until few are left; and if none of those fits, all entities of the common suffixes
+are compared after all. Pairs are compared by the ratio of their longest common subsequence, word by word and over the whole.
+
+How trades are abbreviated is learnt from the names themselves: what stands beside the exact own words of entities of one
+trade, and of hardly any other, is a writing of that trade.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,27 +24,13 @@ from slipworks.llm.lookalike import shape_of
 from slipworks.sources.tables import spread
 
 SHORTEST = 3
-#: Entities that one suffix may stand for before it is refined, and one refined key before it is dropped.
-COMMON, COMMON_REFINED = 40, 400
+#: Entities that one suffix may stand for before it is refined, and one refined suffix before it is refined further.
+COMMON, COMMON_REFINED = 40, 100
 #: Least ratio of one word and of the whole name.
 WORD_RATIO, NAME_RATIO = 0.4, 0.8
+#: A writing of a trade is seen with at least so many of its entities, and with so few others.
+ALIAS_ENTITIES, ALIAS_SHARE = 2, 0.9
 
-# How trades are written, folded; the first writing of each is the full one.
-TRADES = {
-    "cong ty tnhh thuc pham": ["cty tnhh thuc pham", "ct tnhh thuc pham", "cty tnhh tp", "ct tnhh tp", "cong ty tnhh tp", "cong ty thuc pham", "cty thuc pham", "ct thuc pham", "cty tp", "thuc pham", "tp"],
-    "cong ty co phan ban le": ["cty co phan ban le", "ctcp ban le", "cty cp ban le", "cty cp bl", "ctcp bl", "cong ty cp ban le", "cong ty ban le", "cty ban le", "cty bl", "ban le"],
-    "cua hang tien loi": ["ch tien loi", "cua hang", "chtl", "ch", "convenience store"],
-    "ca phe": ["caphe", "cafe", "coffee", "cf"],
-    "tra sua": ["trasua", "milk tea", "ts"],
-    "nha sach": ["n sach", "bookstore", "book store", "ns"],
-    "tiem banh": ["t banh", "bakery", "tiem", "tb"],
-    "dien may": ["d may", "dm", "electronics"],
-    "quan an": ["quan", "qa", "eatery", "restaurant"],
-    "nha thuoc": ["n thuoc", "pharmacy", "drugstore", "nt"],
-    "tap hoa": ["t hoa", "grocery", "th"],
-    "bach hoa": ["b hoa", "bh", "department store"],
-    "sieu thi": ["s thi", "supermarket", "st"],
-}
 # Forms of address before a name, and what is printed after one.
 TITLES = {"anh": ["anh", "a", "mr"], "ba": ["ba", "ms", "mrs"], "chu": ["chu", "c", "mr"], "co": ["co", "c", "ms"], "di": ["di", "d", "ms"], "ong": ["ong", "o", "mr"]}
 RANKS = {"hai": "2", "ba": "3", "tu": "4", "nam": "5", "sau": "6", "bay": "7", "tam": "8", "chin": "9", "muoi": "10"}
@@ -48,12 +38,15 @@ GENERIC = {"shop", "mart", "store", "cn", "chi", "nhanh", "k", "kios", "kiosk",
 
 _DIGIT_LETTERS, _ONE_FORM = str.maketrans("0158", "oisb"), str.maketrans("01l58", "oiisb")
 
-#: Entities that a task holds with their index; a larger register is refused.
-MOST_ENTITIES = 200_000
+#: Entities that a task holds with their index, and learnt writings of trades; a larger register is refused.
+MOST_ENTITIES, MOST_ALIASES = 500_000, 100_000
 #: Names that a Python worker remembers; beyond that it forgets all and goes on.
 MOST_NAMES = 200_000
 
 
+_NOBODY = np.empty(0, np.int32)
+
+
 class _Fold(dict):
     def __missing__(self, code: int) -> str:
         self[code] = plain = "".join(c for c in shape_of(chr(code)) if unicodedata.category(c) != "Mn").lower().replace("đ", "d")
@@ -100,76 +93,128 @@ def typed(word: str) -> list[str]:
 class Register:
     """What is known of the entities: their trades, titles and own words, and all words that occur."""
 
-    def __init__(self, entities: list[tuple[str, str, str | None]]) -> None:
-        self.aliases = sorted(((a.split(), full) for full, others in TRADES.items() for a in (full, *others)), key=lambda x: -len(x[0]))
+    def __init__(self, entities: list[tuple[str, str, str | None]], aliases: dict[str, str] | None = None) -> None:
+        """``entities`` are (key, name, trade); ``aliases`` are further writings of trades, folded, with the trade they mean."""
+        self.entities = entities
+        self.trades = sorted({fold(t) for *_, t in entities if t and fold(t)})
+        known = {t: t for t in self.trades} | {a: t for a, t in (aliases or {}).items() if t in self.trades and a not in self.trades}
+        self.aliases = sorted(((a.split(), full) for a, full in known.items()), key=lambda x: (-len(x[0]), x[0]))
+        self.longest_alias = max((len(a) for a, _ in self.aliases), default=0)
+        self.alias_of = {tuple(a): full for a, full in self.aliases}
         self.trade_words = {w for words, _ in self.aliases for w in words}
         self.title_words = {w for v in TITLES.values() for w in v} | set(RANKS) | set(RANKS.values())
         self.own: set[str] = set()
+        self.keys: list[str] = []
         self.parts: dict[str, tuple[str | None, str, tuple[str, ...]]] = {}
-        split = []
         for key, name, trade in entities:
             words = re.findall(r"[^\W_]+", fold(name))
             full = fold(trade) if trade else None
             if full and words[: len(full.split())] == full.split():
                 rest = words[len(full.split()) :]
             else:
-                known, rest = self._trade(words)
-                full = full or known
+                said, rest = self._trade(words)
+                full = full or said
             title, rest = self._title(rest)
-            split.append((key, full, title, tuple(rest)))
-            self.own |= set(rest)
-        self.parts = {key: (full, title, rest) for key, full, title, rest in split}
+            self.keys.append(key)
+            self.parts[key] = full, title, tuple(rest)
+        self.own = {w for _, _, rest in self.parts.values() for w in rest}
         self.words = self.own | self.trade_words | self.title_words | GENERIC
         self.longest = max(map(len, self.own), default=1)
         self.one_form: dict[str, str] = {}
         for w in sorted(self.words):
             self.one_form.setdefault(w.translate(_ONE_FORM), w)
-        self.index: dict[tuple[str, ...], list[str]] = {}
-        for key, (full, _, words) in self.parts.items():
-            for k in self._keys(full, words):
-                self.index.setdefault(k, []).append(key)
+        posted: dict[str, list[int]] = {}
+        traded: dict[str | None, list[int]] = {}
+        self.exact: dict[tuple[str, ...], list[int]] = {}
+        for i, key in enumerate(self.keys):
+            full, _, words = self.parts[key]
+            traded.setdefault(full, []).append(i)
+            self.exact.setdefault(words, []).append(i)
+            for s in {w[at:] for w in words for at in range(len(w) - SHORTEST + 1)}:
+                posted.setdefault(s, []).append(i)
+        self.suffixes = {s: np.array(v, np.int32) for s, v in posted.items()}
+        none = np.array(traded.get(None, []), np.int32)
+        self.of_trade = {t: np.union1d(np.array(v, np.int32), none) for t, v in traded.items() if t}
         self.remembered: dict[str, str | None] = {}
 
-    def _keys(self, trade: str | None, words: tuple[str, ...]) -> set[tuple[str, ...]]:
-        """Suffixes, and suffixes refined by the trade or by the end of another word."""
-        out: set[tuple[str, ...]] = set()
-        for i, w in enumerate(words):
-            others = {v[-SHORTEST:] for j, v in enumerate(words) if j != i and len(v) >= SHORTEST}
-            for at in range(len(w) - SHORTEST + 1):
-                s = w[at:]
-                out.add((s,))
-                out |= {(s, "word", v) for v in others} | ({(s, "trade", trade)} if trade else set())
-        return out
-
-    def candidates(self, name: tuple[str | None, str, tuple[str, ...]]) -> set[str]:
-        """Entities that share a suffix; of a common suffix, those that share a refined key which isn't too common."""
-        out: set[str] = set()
-        for k in self._keys(name[0], name[2]):
-            found = self.index.get(k, ())
-            if len(found) <= (COMMON if len(k) == 1 else COMMON_REFINED):
-                out.update(found)
-        return out
+    def _blocks(self, words: tuple[str, ...]) -> list[np.ndarray]:
+        """For each word of the name the entities that share its shortest suffix; those that share a longer one are among them."""
+        return [self.suffixes.get(w[-SHORTEST:], _NOBODY) for w in words if len(w) >= SHORTEST]
+
+    def candidates(self, name: tuple[str | None, str, tuple[str, ...]]) -> np.ndarray:
+        """Entities that share a suffix which isn't common, or a common one together with other fields of the name."""
+        blocks = self._blocks(name[2])
+        trade = self.of_trade.get(name[0])
+        found: list[np.ndarray] = []
+
+        def refine(block: np.ndarray, fields: list[np.ndarray], few: int) -> None:
+            if len(block) <= few or not fields:
+                found.append(block)
+                return
+            for i, f in enumerate(fields):
+                refine(np.intersect1d(block, f, assume_unique=True), fields[i + 1 :], COMMON_REFINED)
+
+        for i, block in enumerate(blocks):
+            refine(block, [*blocks[:i], *blocks[i + 1 :], *([trade] if trade is not None else [])], COMMON)
+        return np.unique(np.concatenate(found)) if found else _NOBODY
+
+    def _fit(self, parts: tuple[str | None, str, tuple[str, ...]], entities: Iterable[int]) -> tuple[str | None, bool]:
+        """(the entity that fits best, whether any fits); no entity if two fit equally."""
+        best, second, at = 0.0, 0.0, ""
+        for i in entities:
+            score = self.score(parts, self.keys[i])
+            if score > best:
+                best, second, at = score, best, self.keys[i]
+            elif score > second:
+                second = score
+        return (at if best > second + 1e-9 else None), best > 0
 
     def link(self, name: str) -> str | None:
-        """The entity that fits best; none if nothing fits or two fit equally."""
+        """The entity that fits best; none if nothing fits or two fit equally.
+
+        Entities with exactly the name's words are compared first, then the candidates of the refined suffixes, and only if
+        nothing fits all that share any suffix and don't have another trade.
+        """
         if name not in self.remembered:
             if len(self.remembered) >= MOST_NAMES:
                 self.remembered.clear()
             parts = self.parse(name)
-            fits = sorted(((self.score(parts, k), k) for k in self.candidates(parts)), reverse=True)[:2]
-            best = fits[0] if fits and fits[0][0] > 0 and (len(fits) < 2 or fits[0][0] > fits[1][0] + 1e-9) else None
-            self.remembered[name] = best[1] if best else None
+            found, fits = self._fit(parts, self.exact.get(parts[2], ()))
+            if not fits:
+                tried = self.candidates(parts)
+                found, fits = self._fit(parts, tried)
+                if not fits:
+                    rest = np.unique(np.concatenate([_NOBODY, *self._blocks(parts[2])]))
+                    rest = np.setdiff1d(rest, tried, assume_unique=True)
+                    found, _ = self._fit(parts, np.intersect1d(rest, self.of_trade[parts[0]], assume_unique=True) if parts[0] in self.of_trade else rest)
+            self.remembered[name] = found
         return self.remembered[name]
 
+    def beside(self, name: str) -> tuple[str, str, str] | None:
+        """(what stands before or behind the exact own words of one entity, its trade, its key); nothing if there is something
+        on both sides or nothing on either. Forms of address, figures and words for branches don't count."""
+        words = re.findall(r"[^\W_]+", fold(name))
+        for n in range(len(words) - 1, 1, -1):
+            for at in range(len(words) - n + 1):
+                own = self.exact.get(tuple(words[at : at + n]), ())
+                if len(own) == 1:
+                    full, _, _ = self.parts[self.keys[own[0]]]
+                    left = [w for w in words[:at] if w not in self.title_words and not w.isdigit()]
+                    right = [w for w in words[at + n :] if w not in GENERIC and w not in self.title_words and not w.isdigit()]
+                    if full is None or bool(left) == bool(right):
+                        return None
+                    said = " ".join(left or right)
+                    return None if said in self.alias_of else (said, full, self.keys[own[0]])
+        return None
+
     def _trade(self, words: list[str]) -> tuple[str | None, list[str]]:
         """The trade at either end of the words, the longest writing first, and the other words."""
-        for alias, full in self.aliases:
-            n = len(alias)
-            if len(words) > n and words[:n] == alias:
-                return full, words[n:]
-            if len(words) > n and words[-n:] == alias:
-                return full, words[:-n]
-        for full in TRADES:
+        for n in range(min(self.longest_alias, len(words) - 1), 0, -1):
+            for part, rest in ((words[:n], words[n:]), (words[-n:], words[:-n])):
+                full = self.alias_of.get(tuple(part))
+                if full:
+                    return full, rest
+        for full in self.trades:
             n = len(full.split())
             for part, rest in ((words[:n], words[n:]), (words[-n:], words[:-n])):
                 if len(words) > n + 1 and not any(w in self.own for w in part) and ratio("".join(part), full.replace(" ", "")) >= NAME_RATIO:
@@ -280,7 +325,29 @@ def read_register(entities: DataFrame, key: str, name: str, trade: str) -> Regis
     rows = entities.where(F.col(key).isNotNull() & F.col(name).isNotNull()).select(key, name, trade).distinct().limit(MOST_ENTITIES + 1).collect()
     if len(rows) > MOST_ENTITIES:
         raise ValueError(f"more than {MOST_ENTITIES} entities")
-    return Register([(r[0], r[1], r[2]) for r in sorted(rows, key=lambda r: (r[0], r[1]))])
+    return Register([(r[0], r[1], r[2]) for r in sorted(rows, key=lambda r: (r[0], r[1], r[2] or ""))])
+
+
+def with_learnt_trades(names: DataFrame, register: Register, name: str = "name") -> Register:
+    """The register with the writings of trades that all these names show.
+
+    A text beside the exact own words of an entity speaks for its trade; it is a writing of the trade if at least
+    ``ALIAS_ENTITIES`` entities of that trade have it, and they are at least ``ALIAS_SHARE`` of all that do. Texts are counted on
+    the cluster; what comes to the driver are the writings that hold, whose number is checked.
+    """
+    shared = names.sparkSession.sparkContext.broadcast(register)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame([x for n in batch["name"].unique() if (x := shared.value.beside(n))], columns=["said", "trade", "key"])
+
+    rows = names.where(F.col(name).isNotNull()).select(F.col(name).alias("name"))
+    seen = spread(rows).mapInPandas(run, "said string, trade string, key string").groupBy("said", "trade").agg(F.countDistinct("key").alias("n"))
+    held = seen.groupBy("said").agg(F.max_by("trade", F.struct("n", "trade")).alias("trade"), F.max("n").alias("n"), F.sum("n").alias("all"))
+    aliases = held.where((F.col("n") >= ALIAS_ENTITIES) & (F.col("n") >= ALIAS_SHARE * F.col("all"))).select("said", "trade").limit(MOST_ALIASES + 1).collect()
+    if len(aliases) > MOST_ALIASES:
+        raise ValueError(f"more than {MOST_ALIASES} writings of trades")
+    return Register(register.entities, {r[0]: r[1] for r in aliases})
 
 
 def linked_names(names: DataFrame, register: Register, keep: tuple[str, ...], name: str = "name") -> DataFrame:

@@ -18,6 +18,7 @@ def _seller_names(spark: SparkSession, folder: str) -> DataFrame:
     fields = table(spark, folder, "field_results").where("field_key = 'merchant_name'").select(F.lit("field_results").alias("src"), F.col("result_id").cast("string").alias("row_key"), F.col("value").alias("name"))
     register = names.read_register(table(spark, folder, "merchants"), "merchant_id", "legal_name", "trade")
     rows = receipts.union(fields).where("row_key is not null and name is not null")
+    register = names.with_learnt_trades(rows, register)
     return names.linked_names(rows, register, ("src", "row_key")).withColumnRenamed("entity", "merchant_id")
 
 

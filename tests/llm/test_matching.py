@@ -11,6 +11,9 @@ from slipworks.llm import addresses, components, lookalike, names, overlap, spli
 REGISTER = [("m1", "Cà phê Cô Ba Chiều Sáo Gấm", "Cà phê"), ("m2", "Tạp hóa Thêu Ngọc Quýt", None), ("m3", "Tạp hóa Ngọc Thêu Quýt", "Tạp hóa"), ("m4", "Siêu thị Kén Lúa Rơm", "Siêu thị"), ("m5", "Siêu thị Kén Lim Rơm", "Siêu thị")]
 
 
+ALIASES = {"th": "tap hoa", "t hoa": "tap hoa", "cafe": "ca phe", "cf": "ca phe", "st": "sieu thi"}
+
+
 @pytest.mark.parametrize("name, entity", [
     ("Tạp hóa Thêu Ngọc Quýt", "m2"), ("TH THEU NGOC QUYT CN 29", "m2"), ("T.Hóa Thêu Ngọc Quýt - Chi nhánh 3", "m2"), ("theungocquyt shop", "m2"), ("ThêuNgọcQuýt", "m2"), ("Tapj hoas Theeu Ngocj Quyts", "m2"),
     ("TA5P HO1A THE6U NGO5C QUY1T", "m2"), ("Thêu Ngọc Quýt, Tạp hóa", "m2"), ("Tạp hóa Thêu Ngoc Quyy", "m2"), ("TAP H0A THEU NG0C QUYT", "m2"), ("Tạp hóa Ngọc Thêu Quýt", "m3"),
@@ -18,7 +21,7 @@ REGISTER = [("m1", "Cà phê Cô Ba Chiều Sáo Gấm", "Cà phê"), ("m2", "T
     ("Siêu thị Thêu Ngọc Quýt", None), ("Tạp hóa Thêu Ngọc Rơm", None), ("Nhà hàng Biển Xanh", None), ("", None), ("   ", None), ("?", None), ("x" * 20_000, None),
 ])
 def test_names(name, entity):
-    assert names.Register(REGISTER).link(name) == entity
+    assert names.Register(REGISTER, ALIASES).link(name) == entity
 
 
 def test_ratio_is_that_of_the_longest_common_subsequence():
@@ -35,11 +38,54 @@ def test_blocking_loses_nothing_on_a_register_of_common_words():
     random.seed(6)
     words = ["bien", "nang", "ngoc", "quyt", "theu", "rung", "thuyen", "vuon", "sao", "lim"]
     entities = [(f"e{i}", "Tạp hóa " + " ".join(c), "Tạp hóa") for i, c in enumerate(itertools.permutations(words, 3))]
-    register = names.Register(entities)
+    register = names.Register(entities, ALIASES)
     for key, name, _ in random.sample(entities, 60):
         assert register.link(name) == key and register.link("TH " + name[8:]) == key
 
 
+def _misspelled(word):
+    at = random.randrange(len(word))
+    return random.choice([word[:at] + "z" + word[at + 1 :], word[:at] + word[at + 1 :], word[:at] + "k" + word[at:]])
+
+
+def test_names_of_a_large_register_of_few_words_are_found():
+    """Every suffix stands for thousands of entities, so that nothing is found without refining and nothing may be dropped."""
+    random.seed(12)
+    words = [a + b for a in ("bi", "nga", "quy", "the", "ru", "thuy") for b in ("en", "oc", "ung", "eo")]
+    entities = [(f"e{i}", "Tạp hóa " + " ".join(c), "Tạp hóa") for i, c in enumerate(random.sample(list(itertools.product(words, repeat=4)), 40_000))]
+    register = names.Register(entities, ALIASES)
+    assert min(map(len, register._blocks(tuple(words[:4])))) > 1000
+    sample = random.sample(entities, 40)
+    assert all(register.link(n) == k for k, n, _ in sample)
+    assert all(register.link("TH " + n[8:].upper()) == k for k, n, _ in sample)
+    taken, right, all_ = {n for _, n, _ in entities}, 0, 0
+    for key, name, _ in sample:
+        own = name[8:].split()
+        at = random.randrange(4)
+        wrong = [*own[:at], _misspelled(own[at]), *own[at + 1 :]]
+        if wrong[at] in words or len({w for w in words if names.ratio(w, wrong[at]) >= 0.75 and "Tạp hóa " + " ".join([*own[:at], w, *own[at + 1 :]]) in taken}) > 1:
+            continue  # the misspelled word means several entities alike
+        all_ += 1
+        right += register.link("Tạp hóa " + " ".join(wrong)) == key
+    assert all_ >= 10 and right >= 0.9 * all_
+    assert register.link("Tạp hóa " + " ".join(w[:2] + "xx" + w[2:] for w in ("bien", "ngoc"))) is None
+
+
+def test_what_only_common_suffixes_lead_to_is_compared_too():
+    entities = [(f"e{i}", f"Tạp hóa biaoc ngaen{i:03}z", "Tạp hóa") for i in range(300)] + [("x", "Tạp hóa biaoc thuung", "Tạp hóa")]
+    register = names.Register(entities)
+    assert register.link("Tạp hóa biaoc thuunx") == "x"  # its only common suffix stands for 301 entities, and no refined one has it
+
+
+def test_writings_of_trades_are_learnt(spark):
+    register = names.Register([*REGISTER, ("m6", "Tạp hóa Lim Sậy", "Tạp hóa"), ("m7", "Siêu thị Lim Xanh", "Siêu thị")])
+    seen = ["Grocery Thêu Ngọc Quýt", "LIM SẬY GROCERY", "Thêu Ngọc Quýt Mua", "Kén Lúa Rơm MUA", "mua Kén Lim Rơm", "Grocery Thêu Ngọc Quýt", "Cô Ba Lim Sậy", "St. Kén Lúa Rơm", "ST Lim Xanh CN 12", "shop Lim Xanh", "", None]
+    learnt = names.with_learnt_trades(spark.createDataFrame([(n, 1) for n in seen], "name string, key int"), register)
+    assert {a: t for a, t in ((" ".join(a), t) for a, t in learnt.aliases) if a != t} == {"grocery": "tap hoa", "st": "sieu thi"}
+    assert learnt.link("Grocery Ngọc Thêu Quýt") == "m3" and register.link("Grocery Ngọc Thêu Quýt") is None
+    assert names.with_learnt_trades(spark.createDataFrame([], "name string"), register).aliases == register.aliases
+
+
 def test_linked_names_of_odd_tables(spark):
     register = names.read_register(spark.createDataFrame([*REGISTER, (None, "x", None), ("m9", None, None)], "merchant_id string, legal_name string, trade string"), "merchant_id", "legal_name", "trade")
     rows = spark.createDataFrame([("a", "TH Thêu Ngọc Quýt", 1), ("a", "TH Thêu Ngọc Quýt", 1), (None, "Thêu Ngọc Quýt", 1), ("b", None, 1), ("c", "", 1)], "entity string, name string, k0 int")
