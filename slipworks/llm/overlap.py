@@ -1,14 +1,16 @@
 """Same or near-same photographs across splits, by similarity-hash fingerprints.
 
 A photograph has up to three kinds of 64-bit fingerprints: the gradient hash of its image, a similarity hash of all its text,
-and one of each window of text from a line with figures to a next one that is far enough to tell something, which survive where a
-page is cut off. Codes are cut into blocks; photographs of different splits that agree in a block meet in a join and are kept within the Hamming radius
-that the blocks guarantee: 4 blocks of 16 bits for radius 3, 2 of 32 bits for radius 1. What is left is verified by the texts
-themselves. Two sales of the same goods have alike texts too, but their shingles differ where times and numbers stand.
+and one of each window of text from a line with figures to a next one that is far enough to tell something, and of each line
+with a number of a sale, which survive where a page is cut off. Codes are cut into segments; distinct codes of train and of the
+other splits that agree in enough segments for their Hamming radius meet in a join: 2 of 5 for radius 3, 1 of 2 for radius 1.
+Photographs come in behind their codes, and what is left is verified by the texts themselves. Two sales of the same goods have
+alike texts too, but their shingles differ where times and numbers stand.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -23,13 +25,14 @@ from slipworks.llm.names import ratio
 from slipworks.session import Workspace
 
 SHINGLE, IMAGE_RADIUS, TEXT_RADIUS, WINDOW_RADIUS = 5, 3, 3, 1
-#: Farthest similarity hashes of texts of which only a window agrees, and least shares of common shingles.
-WINDOW_TEXT_RADIUS, CONTAINED, JACCARD = 26, 0.8, 0.45
+#: Least shares of common shingles.
+CONTAINED, JACCARD = 0.8, 0.45
 #: A line with so many digits bounds a window, and a window has at least so many that aren't zeros at the end of a number:
 #: round amounts with a printed phrase between them are on very many receipts and tell nothing.
 LINE_DIGITS, WINDOW_DIGITS = 4, 7
-#: A line without a product is a window of its own from so many such digits on, as most times of a sale are.
-ALONE_DIGITS = 9
+#: A line without a product is a window of its own from so many such digits on, as times and numbers of a sale are, unless it
+#: is an amount, which ends in 00; an amount is one only from more digits on than amounts have.
+ALONE_DIGITS, ALONE_AMOUNT = 7, 9
 _ROUND = re.compile(rb"0+(?![0-9])")
 #: Figures and least ratio of lines that tell a sale.
 MARK_DIGITS, MARK_RATIO = 6, 0.8
@@ -102,7 +105,8 @@ def fingerprints(text: str) -> tuple[int | None, list[int]]:
     until = np.maximum(np.searchsorted(telling[ends[rich]], telling[starts[rich]] + WINDOW_DIGITS), np.arange(len(rich)) + 1)
     kept = until < len(rich)
     products = np.concatenate([[0], np.cumsum(raw == 120)])
-    alone = rich[(telling[ends[rich]] - telling[starts[rich]] >= ALONE_DIGITS) & (products[ends[rich]] == products[starts[rich]])]
+    amount = (raw[ends[rich] - 1] == 48) & (raw[ends[rich] - 2] == 48)  # a rich line has more than two letters
+    alone = rich[(telling[ends[rich]] - telling[starts[rich]] >= np.where(amount, ALONE_AMOUNT, ALONE_DIGITS)) & (products[ends[rich]] == products[starts[rich]])]
     begin = np.concatenate([starts[rich[kept]], starts[alone]])
     end = np.minimum(np.concatenate([ends[rich[until[kept]]], ends[alone]]) + 1 - SHINGLE + 1, len(code))
     fit = end > begin
@@ -118,20 +122,45 @@ def sale_marks(text: str) -> list[str]:
     return [line for line in text.split("|") if "x" not in line and sum(map(str.isdigit, line)) >= MARK_DIGITS and not line.endswith("00")]
 
 
+class Verifier:
+    """Whether two plain texts are of one sale; remembers what it made of a text, and forgets all beyond a number of texts."""
+
+    def __init__(self, most: int = 4_000) -> None:
+        self.most, self.known = most, {}
+
+    def _of(self, text: str) -> tuple[list[str], set[str]]:
+        if text not in self.known:
+            if len(self.known) >= self.most:
+                self.known.clear()
+            self.known[text] = sale_marks(text), shingles(text)
+        return self.known[text]
+
+    def same(self, a: str, b: str) -> bool:
+        """Whether most shingles of the shorter text are in the other, enough of both are common, and, where both state a time
+        or number of the sale, one of them is about the same."""
+        (marks, x), (others, y) = self._of(a), self._of(b)
+        both = len(x & y)
+        if not both or both < CONTAINED * min(len(x), len(y)) or both < JACCARD * (len(x) + len(y) - both):
+            return False
+        return not marks or not others or any(ratio(m, o) >= MARK_RATIO for m in marks for o in others)
+
+
 def same_text(a: str, b: str) -> bool:
-    """Whether most shingles of the shorter text are in the other, enough of both are common, and, where both state a time or
-    number of the sale, one of them is about the same."""
-    marks, others = sale_marks(a), sale_marks(b)
-    if marks and others and not any(ratio(m, o) >= MARK_RATIO for m in marks for o in others):
-        return False
-    x, y = shingles(a), shingles(b)
-    both = len(x & y)
-    return both >= CONTAINED * min(len(x), len(y)) and both >= JACCARD * (len(x) + len(y) - both) and both > 0
+    return Verifier().same(a, b)
 
 
-def _blocks(code: Column, kind: str, bits: int) -> list[Column]:
-    """A key for each block of a code: kind, place and bits in one number."""
-    return [F.xxhash64(F.lit(f"{kind}{at}"), F.shiftrightunsigned(code, at).bitwiseAND((1 << bits) - 1)) for at in range(0, 64, bits)]
+#: Segments of 64 bits by kind of fingerprint, and how many of them agree within its radius: 3 wrong bits leave 2 of 5 right,
+#: 1 wrong bit leaves 1 of 2.
+SEGMENTS = {"i": ((0, 13, 26, 39, 52, 64), 2), "t": ((0, 13, 26, 39, 52, 64), 2), "w": ((0, 32, 64), 1)}
+RADIUS = {"i": IMAGE_RADIUS, "t": TEXT_RADIUS, "w": WINDOW_RADIUS}
+
+
+def _keys(code: Column, kind: str) -> list[Column]:
+    """A key for each choice of segments that may agree, of the kind, the choice and their bits."""
+    bounds, agree = SEGMENTS[kind]
+    masks = [((1 << b - a) - 1) << a for a, b in zip(bounds, bounds[1:])]
+    signed = lambda m: m - (1 << 64) if m >> 63 else m
+    return [F.xxhash64(F.lit(f"{kind}{n}"), code.bitwiseAND(F.lit(signed(sum(c))))) for n, c in enumerate(itertools.combinations(masks, agree))]
 
 
 def photographs(lines: DataFrame, manifest: DataFrame, work: Workspace) -> DataFrame:
@@ -154,38 +183,58 @@ def photographs(lines: DataFrame, manifest: DataFrame, work: Workspace) -> DataF
     return work.write(rows, "photographs")[0]
 
 
-def candidates(photos: DataFrame) -> DataFrame:
-    """(a, b): photographs of train and of another split that are within the radius of one kind of fingerprint."""
-    ones = F.bit_count("image")
-    image = F.when(ones.between(LEAST_BITS, 64 - LEAST_BITS), F.col("image"))
+def _codes_of(photos: DataFrame) -> DataFrame:
+    """(image_id, train, kind, print): every fingerprint of every photograph; image hashes that mean nothing are left out."""
+    image = F.when(F.bit_count("image").between(LEAST_BITS, 64 - LEAST_BITS), F.col("image"))
+    one = lambda kind, code: F.when(code.isNotNull(), F.array(F.struct(F.lit(kind).alias("kind"), code.alias("print"))))
+    windows = F.transform(F.col("windows"), lambda w: F.struct(F.lit("w").alias("kind"), w.alias("print")))
+    each = F.array_compact(F.array(one("i", image), one("t", F.col("code")), windows))
+    return photos.select("image_id", "train", F.explode(F.flatten(each)).alias("c")).select("image_id", "train", "c.*")
 
-    def each(code: Column, kind: str, bits: int) -> Column:
-        made = F.array(*[F.struct(k.alias("key"), F.lit(kind).alias("kind"), code.alias("print")) for k in _blocks(code, kind, bits)])
-        return F.when(code.isNotNull(), made).otherwise(F.filter(made, lambda _: F.lit(False)))
 
-    windows = F.flatten(F.transform(F.coalesce("windows", F.array().cast("array<bigint>")), lambda w: each(w, "w", 32)))
-    keys = F.explode(F.concat(each(image, "i", 16), each(F.col("code"), "t", 16), windows))
-    rows = photos.select("image_id", "train", "code", keys.alias("k")).select("image_id", "train", "code", "k.*")
-    left = rows.where("train").select("key", "kind", F.col("print").alias("p1"), F.col("code").alias("c1"), F.col("image_id").alias("a"))
-    right = rows.where("not train").select("key", "kind", F.col("print").alias("p2"), F.col("code").alias("c2"), F.col("image_id").alias("b"))
-    apart = F.bit_count(F.col("p1").bitwiseXOR(F.col("p2")))
-    near = F.when(F.col("kind") == "i", apart <= IMAGE_RADIUS).when(F.col("kind") == "t", apart <= TEXT_RADIUS).otherwise((apart <= WINDOW_RADIUS) & (F.bit_count(F.col("c1").bitwiseXOR(F.col("c2"))) <= WINDOW_TEXT_RADIUS))
-    return left.join(right, ["key", "kind"]).where(near).select("a", "b").distinct()
+def near_codes(codes: DataFrame) -> DataFrame:
+    """(kind, p1, p2): distinct fingerprints of train and of others within the radius of their kind.
+
+    ``codes`` has train, kind and print. Equal codes are one row here however many photographs have them.
+    """
+    distinct = codes.select("train", "kind", "print").distinct()
+    keys = F.when(F.col("kind") == "w", F.array(*_keys(F.col("print"), "w"))).when(F.col("kind") == "t", F.array(*_keys(F.col("print"), "t"))).otherwise(F.array(*_keys(F.col("print"), "i")))
+    keyed = distinct.select("train", "kind", "print", F.explode(keys).alias("key"))
+    left, right = keyed.where("train").select("key", "kind", F.col("print").alias("p1")), keyed.where("not train").select("key", "kind", F.col("print").alias("p2"))
+    apart, radius = F.bit_count(F.col("p1").bitwiseXOR(F.col("p2"))), F.lit(None)
+    for kind, r in RADIUS.items():
+        radius = F.when(F.col("kind") == kind, r).otherwise(radius)
+    return left.join(right, ["key", "kind"]).where(apart <= radius).select("kind", "p1", "p2").distinct()
+
+
+def candidates(photos: DataFrame, work: Workspace | None = None) -> DataFrame:
+    """(a, b, image): photographs of train and of another split that are within the radius of one kind of fingerprint, and
+    whether their images are."""
+    work = work or Workspace(photos.sparkSession, "candidates")
+    codes, _ = work.write(_codes_of(photos), "codes")
+    near, _ = work.write(near_codes(codes), "near")
+    ones = codes.where("train").select("kind", F.col("print").alias("p1"), F.col("image_id").alias("a"))
+    others = codes.where("not train").select("kind", F.col("print").alias("p2"), F.col("image_id").alias("b"))
+    return near.join(ones, ["kind", "p1"]).join(others, ["kind", "p2"]).groupBy("a", "b").agg(F.max(F.col("kind") == "i").alias("image"))
 
 
 def overlaps(lines: DataFrame, manifest: DataFrame, work: Workspace | None = None) -> DataFrame:
     """(train_id, other_id): photographs of the same sale's receipt in train and in val, test or test_seen.
 
-    A photograph without text is in no pair. Null splits and other splits are left out.
+    Of photographs that have no text, or one of which has none, the images decide. Null splits and other splits are left out.
     """
     work = work or Workspace(lines.sparkSession, "overlap")
     photos = photographs(lines, manifest, work)
-    pairs = candidates(photos)
+    pairs = candidates(photos, work)
     texts = photos.select("image_id", "text")
     both = pairs.join(texts.select(F.col("image_id").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("image_id").alias("b"), F.col("text").alias("y")), "b")
+    silent = (F.col("x") == "|") | (F.col("y") == "|")
 
     @F.pandas_udf("boolean")
-    def same(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([same_text(s, t) for s, t in zip(x, y)])
+    def same(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        verifier = Verifier()
+        for x, y in batches:
+            yield pd.Series([verifier.same(s, t) for s, t in zip(x, y)], dtype=bool)
 
-    return both.where(same("x", "y")).select(F.col("a").alias("train_id"), F.col("b").alias("other_id"))
+    kept = both.where(silent & F.col("image")).union(both.where(~silent).where(same("x", "y")))
+    return kept.select(F.col("a").alias("train_id"), F.col("b").alias("other_id"))
