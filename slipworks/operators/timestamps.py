@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from slipworks.session import shared_folder
+
 RAW = ("date_text", "time_text", "locale", "zone")
 
 # Hours from UTC of the zone names that are printed on receipts.
@@ -155,11 +157,19 @@ def parse_raw(raw: DataFrame) -> DataFrame:
     return raw.mapInPandas(run, "date_text string, time_text string, locale string, zone string, epoch_s long")
 
 
+#: Changes with the rules of ``parse_instant``, so that instants by older rules aren't read.
+RULES = 2
+
+
 class InstantDictionary:
-    """Distinct raw strings with their instants, kept as a table in ``path`` and extended by what is new."""
+    """Distinct raw strings with their instants, kept as a table in ``path`` and extended by what is new.
+
+    The default path lies in the folder that the session shares and stays the same, so later runs parse only what no run before
+    has seen. Runs at the same time may add a string twice, with the same instant; ``with_instants`` gives a row once for that.
+    """
 
-    def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path = spark, path
+    def __init__(self, spark: SparkSession, path: str | None = None) -> None:
+        self.spark, self.path = spark, path or f"{shared_folder(spark)}/instants-{RULES}"
 
     def known(self) -> DataFrame | None:
         at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
@@ -168,13 +178,14 @@ class InstantDictionary:
         return self.spark.read.schema("date_text string, time_text string, locale string, zone string, epoch_s long").parquet(self.path)
 
     def extend(self, rows: DataFrame) -> DataFrame:
-        """Parses the raw strings that the dictionary hasn't got, and returns all of it."""
+        """Parses the raw strings that the dictionary hasn't got, over all cores, and returns all of it."""
         raw, known = rows.select(*RAW).distinct(), self.known()
         if known is not None:
             keys = known.select(*(F.col(c).alias(f"k_{c}") for c in RAW))
             match = [F.col(c).eqNullSafe(F.col(f"k_{c}")) for c in RAW]
             raw = raw.join(keys, match, "left_anti")
-        parse_raw(raw).write.mode("append").parquet(self.path)
+        cores = self.spark.sparkContext.defaultParallelism
+        parse_raw(raw.repartition(max(cores, int(self.spark.conf.get("spark.sql.shuffle.partitions"))))).write.mode("append").parquet(self.path)
         return self.known()
 
 

@@ -625,16 +625,14 @@ def stream_windows(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
-    dictionary = InstantDictionary(spark, _shared(spark, "instants"))
-    return with_instants(table(spark, folder, "receipt_flow"), "flow_id", table(spark, folder, "terminals"), dictionary)
+    return with_instants(table(spark, folder, "receipt_flow"), "flow_id", table(spark, folder, "terminals"), InstantDictionary(spark))
 
 
 @query()
 def p7_formats(spark: SparkSession, folder: str) -> DataFrame:
     """How many rows of each locale fix an instant, by the shape of their texts."""
     flow = table(spark, folder, "receipt_flow").dropDuplicates(["flow_id"])
-    dictionary = InstantDictionary(spark, _shared(spark, "instants"))
-    found = with_instants(flow, "flow_id", table(spark, folder, "terminals"), dictionary).select(F.col("flow_id").alias("f"), "epoch_s")
+    found = with_instants(flow, "flow_id", table(spark, folder, "terminals"), InstantDictionary(spark)).select(F.col("flow_id").alias("f"), "epoch_s")
     shape = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"\d", "9")
     return flow.join(found, F.col("flow_id") == F.col("f"), "left").groupBy(shape(F.col("date_text")).alias("date_shape"), shape(F.col("time_text")).alias("time_shape")).agg(F.count(F.lit(1)).alias("n"), F.count("epoch_s").alias("fixed"))
 

@@ -351,3 +351,13 @@ def test_dictionary_parses_once_and_joins_back(spark, tmp_path):
     assert {(r.flow_id, r.epoch_s) for r in with_instants(flow, "flow_id", terminals, book).collect()} == got and book.known().count() == known
     assert with_instants(flow.limit(0), "flow_id", terminals, InstantDictionary(spark, str(tmp_path / "e"))).count() == 0
     assert not math.isnan(known)
+
+
+def test_a_second_run_parses_nothing(spark, data):
+    from slipworks.plans import registry
+
+    first = {tuple(r) for r in registry.p7_found(spark, data).collect()}
+    path = InstantDictionary(spark).path
+    entries = spark.read.parquet(path).count()
+    assert {tuple(r) for r in registry.p7_found(spark, data).collect()} == first and first
+    assert spark.read.parquet(path).count() == entries
