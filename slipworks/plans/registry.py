@@ -216,7 +216,10 @@ def line_slices(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("SELECT event_type, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.5), 6) AS median FROM events GROUP BY 1")
 def latencies(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "events").groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean"), F.round(F.percentile("value", F.lit(0.95)), 6).alias("p95"), F.round(F.percentile("value", F.lit(0.5)), 6).alias("median"))
+    events = table(spark, folder, "events")
+    mean = events.groupBy(F.col("event_type").alias("e")).agg(F.round(F.avg("value"), 6).alias("mean"))
+    places = stats.exact_quantiles(events, "value", [0.95, 0.5], ["event_type"])
+    return mean.join(places, F.col("e").eqNullSafe(F.col("event_type")), "left").select(F.col("e").alias("event_type"), "mean", F.round("q0", 6).alias("p95"), F.round("q1", 6).alias("median"))
 
 
 @query("WITH s AS (SELECT l_returnflag, list_sort(list(l_quantity)) AS q FROM lineitem GROUP BY 1) SELECT l_returnflag, cast(q[len(q) // 2 + 1] AS DOUBLE) AS upper_median FROM s")
@@ -516,13 +519,14 @@ def out_of_fold(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def bootstrap(spark: SparkSession, folder: str) -> DataFrame:
-    """Interval of the share of right results, and of its difference between names and totals."""
-    rows = _labels(spark, folder).withColumn("n", F.lit(1)).cache()
-    one = stats.ratio_interval(rows, "g", "result_id", "y", "n")
+    """Intervals of the share of right results of each field, and over all of its difference between names and dates."""
+    rows = _labels(spark, folder).withColumn("n", F.lit(1))
     for name, key in (("a", "merchant_name"), ("b", "date")):
-        rows = rows.withColumn(f"n{name}", (F.col("field_key") == key).cast("int")).withColumn(f"y{name}", F.when(F.col("field_key") == key, F.col("y")).otherwise(0))
-    two = stats.paired_interval(rows, "g", "result_id", ("ya", "na"), ("yb", "nb"))
-    return spark.createDataFrame([("right", one["value"], one["low"], one["high"]), ("name_less_date", two["diff"], two["low"], two["high"])], "name string, value double, low double, high double")
+        is_key = F.col("field_key") == key
+        rows = rows.withColumn(f"n{name}", is_key.cast("int")).withColumn(f"y{name}", F.when(is_key, F.col("y")).otherwise(0))
+    ratios = {"right": stats.Ratio("y", "n"), "name_less_date": stats.Ratio("ya", "na", ("yb", "nb"))}
+    whole = stats.bootstrap_intervals(rows, [], "g", "result_id", ratios).withColumn("field_key", F.lit("all"))
+    return stats.bootstrap_intervals(rows, ["field_key"], "g", "result_id", {"right": ratios["right"]}).unionByName(whole)
 
 
 # Audits

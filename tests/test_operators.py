@@ -151,16 +151,35 @@ def test_logistic_equals_numpy_and_scores(spark):
 
 def test_bootstrap_keeps_numpys_draws(spark):
     rows, df = _labelled(spark, 60)
-    got = stats.ratio_interval(df.withColumn("n", F.lit(1)), "g", "i", "y", "n", seed=3)
+    df = df.withColumn("n", F.lit(1)).withColumn("s", (F.col("i") % 2).cast("string"))
+    got = stats.bootstrap_intervals(df, [], "g", "i", {"r": stats.Ratio("y", "n"), "same": stats.Ratio("y", "n", ("y", "n"))}, seed=3).collect()
+    got = {r["name"]: r for r in got}
     order = list(dict.fromkeys(r[1] for r in rows))
     num, den = (np.array([sum(v(r) for r in rows if r[1] == g) for g in order], float) for v in (lambda r: r[3], lambda r: 1))
     index = np.random.default_rng(3).integers(0, len(order), size=(1000, len(order)))
     s = num[index].sum(1) / den[index].sum(1)
-    assert got["low"] == pytest.approx(np.quantile(s, 0.025)) and got["high"] == pytest.approx(np.quantile(s, 0.975)) and got["n_groups"] == len(order)
-    same = stats.paired_interval(df.withColumn("n", F.lit(1)), "g", "i", ("y", "n"), ("y", "n"))
-    assert same["diff"] == same["low"] == same["high"] == 0
-    with pytest.raises(ValueError):
-        stats.ratio_interval(df.limit(0).withColumn("n", F.lit(1)), "g", "i", "y", "n")
+    assert got["r"].low == pytest.approx(np.quantile(s, 0.025)) and got["r"].high == pytest.approx(np.quantile(s, 0.975)) and got["r"].groups == len(order)
+    assert got["r"].value == pytest.approx(num.sum() / den.sum()) and (got["same"].value, got["same"].low, got["same"].high, got["same"].below) == (0, 0, 0, 0)
+    halves = {r.s: r for r in stats.bootstrap_intervals(df.withColumn("name", F.lit("clash")), ["s"], "g", "i", {"r": stats.Ratio("y", "n")}).collect()}
+    assert set(halves) == {"0", "1"} and halves["1"].value == pytest.approx(np.mean([r[3] for r in rows if r[0] % 2]))
+    nothing = stats.bootstrap_intervals(df.withColumn("n", F.lit(0)), [], "g", "i", {"r": stats.Ratio("y", "n")}).first()
+    assert nothing.value is None and nothing.low is None
+    assert stats.bootstrap_intervals(df.limit(0), [], "g", "i", {"r": stats.Ratio("y", "n")}).count() == 0
+    for bad in ({"confidence": 1.0}, {"draws": 0}):
+        with pytest.raises(ValueError):
+            stats.bootstrap_intervals(df, [], "g", "i", {"r": stats.Ratio("y", "n")}, **bad)
+
+
+def test_quantiles_equal_numpys(spark):
+    random.seed(8)
+    rows = [(random.choice(["a", "b", None]), random.choice([1.0, 2.0, 2.5, random.random() * 9])) for _ in range(900)] + [("c", None), ("d", 4.0), ("a", float("nan"))]
+    df = spark.createDataFrame([(k, v, 1, 2) for k, v in rows], "k string, v double, n int, range int")
+    probs = [0.0, 0.05, 0.5, 0.95, 1.0]
+    got = {r.k: [r[f"q{i}"] for i in range(5)] for r in stats.exact_quantiles(df, "v", probs, ["k"]).collect()}
+    assert set(got) == {"a", "b", "d", None}
+    for k, q in got.items():
+        assert q == pytest.approx(np.quantile([v for g, v in rows if g == k and v is not None and v == v], probs).tolist())
+    assert stats.exact_quantiles(df.limit(0), "v", [0.5]).count() == 0
 
 
 def test_out_of_fold_never_sees_its_group(spark):
