@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from slipworks.functions.text import dedup_key, nfc
 from slipworks.functions.values import hamming, parse_date, parse_time, parse_vnd
+from slipworks.session import Workspace
 
 #: Groups that a seeded choice on the driver may have.
 MOST_GROUPS = 1_000_000
@@ -163,16 +164,19 @@ def sample_weights(rows: DataFrame, group: str, most: float = 3.0) -> DataFrame:
     return joined.withColumn("sample_weight", F.round(F.least(1 / F.sqrt("_n") / mean, F.lit(most)), 4)).drop("_n", "_g")
 
 
-def width_batches(rows: DataFrame, key: str, width: str, height: str, size: int) -> DataFrame:
+def width_batches(rows: DataFrame, key: str, width: str, height: str, size: int, work: Workspace | None = None) -> DataFrame:
     """Adds batch: rows in order of width over height (then key), ``size`` to a batch, numbered from 0.
 
-    The place of a row is its place in its range of shapes and the rows before that range, so no window holds all rows.
+    Rows are put into ranges of shapes of about equal size and stored with the number of their range, so that counting and
+    numbering see the same ranges; the place of a row is its place in its range and the rows of the ranges before. Keys must be
+    distinct; a null shape comes first.
     """
-    shaped = rows.withColumn("_shape", F.col(width) / F.col(height))
-    slots = F.floor(F.least(F.col("_shape"), F.lit(1000.0)) * 64).cast("int")
-    ranked = shaped.withColumn("_slot", slots).withColumn("_at", F.row_number().over(Window.partitionBy("_slot").orderBy("_shape", key)) - 1)
-    before = ranked.groupBy("_slot").agg(F.count(F.lit(1)).alias("_n")).select(F.col("_slot").alias("_s"), F.coalesce(F.sum("_n").over(Window.orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    return ranked.join(before, F.col("_slot") == F.col("_s")).withColumn("batch", F.floor((F.col("_before") + F.col("_at")) / size)).drop("_shape", "_slot", "_at", "_s", "_before")
+    work = work or Workspace(rows.sparkSession, "batches")
+    shaped = rows.withColumn("_shape", F.col(width) / F.col(height)).repartitionByRange(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_shape", key)
+    ranged, _ = work.write(shaped.withColumn("_range", F.spark_partition_id()), "ranged")
+    ranked = ranged.withColumn("_at", F.row_number().over(Window.partitionBy("_range").orderBy("_shape", key)) - 1)
+    before = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).select(F.col("_range").alias("_s"), (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))  # a row for each range
+    return ranked.join(before, F.col("_range") == F.col("_s")).withColumn("batch", F.floor((F.col("_before") + F.col("_at")) / size)).drop("_shape", "_range", "_at", "_s", "_before")
 
 
 def top_of_group(rows: DataFrame, group: str, order: list[Column], k: int) -> DataFrame:

@@ -1,17 +1,24 @@
 """Fields of a receipt from its lines in reading order: candidates are scored and the best of each page is kept.
 
-All take rows of ``spatial.reading_order``; every choice has a total order. Pages without a candidate give no row.
+What can be told from a line alone (amounts, date, time, words for totals) are built-in column expressions over all lines. What
+depends on other lines of the page is decided page by page in Arrow batches, each page a run of rows that needs no shuffle after
+``spatial.reading_order``. Every choice has a total order.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+from collections import Counter
+from collections.abc import Iterator
+from statistics import median
+from typing import NamedTuple
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slipworks.functions.text import capitals, fold, has_keyword, keyword_pattern, letters
+from slipworks.functions.text import fold, has_keyword, keyword_pattern, plain_fold
 from slipworks.functions.values import parse_date, parse_time, parse_vnd
-from slipworks.session import Workspace
-from slipworks.sources.tables import spread
 
 # Folded words that mark fields, and bounds of amounts.
 LEAST_AMOUNT, MOST_AMOUNT = 1_000, 100_000_000
@@ -26,23 +33,24 @@ DATE_WORDS, TIME_NEVER = ["ngay", "date", "thoi gian"], ["lam viec", "mo cua", "
 SELLER_BRAND = ["sieu thi", "cua hang", "cty", "cong ty", "tnhh", "mart", "store", "shop", "coop", "co.op", "bach hoa", "cafe", "nha hang", "tap hoa", "minimart", "nha thuoc", "trung tam", "pharmacy", "highlands", "phuc long", "vincommerce", "vinmart", "winmart", "coffee"]
 SELLER_NEVER = ["tel", "dt:", "dien thoai", "hotline", "dia chi", "dc:", "mst", "ma so thue", "www", "http", "email", "fax", "hoa don", "hoa on", "ban hang", "phieu", "tinh tien", "so hd", "ngay", "khach hang", "thu ngan", "tra lai", "tien tra", "cam on", "tong cong", "thanh tien", "so luong", "ward", "district", "street"]
 SELLER_TIME = r"\bgio\s*(?:[:=]|\d)|\bgio\s+(?:lam viec|mo cua)\b"
+SELLER_KIND = r"(?:coffee|coffees|cafe|tea|tiem tra|nha hang|cua hang|sieu thi|cong ty(?:\s+tnhh)?)(?:\s*(?:&|and|va)\s*(?:coffee|tea|cafe))?"
 ADDRESS_WORDS = ["dia chi", "duong", "phuong", "quan", "huyen", "tinh", "thanh pho", "ha noi", "ho chi minh", "tphcm", "tp", "xa", "thon", "khu", "ngo", "hem", "pho", "cho"]
 ADDRESS_SHORT = r"\b(?:tp|p|q|kp)\.\s*(?=\w)|\b(?:p|q)\s*\d+\b|\bso\s+\d+\b"
 ADDRESS_NEVER = ["hoa don", "so hd", "so ca", "so luong", "ngay", "tong", "doanh so"]
-STREET_NUMBER = r"(?U)^\s*\d{1,4}(?:[/\-]\d{1,4}[a-z]?)?\s+[\w&&[^\d_]]{2,}\b"
+STREET_NUMBER = r"^\s*\d{1,4}(?:[/\-]\d{1,4}[a-z]?)?\s+[^\W\d_]{2,}\b"
 ADDRESS_LABEL, LABEL_ALONE = r"^\s*(?:dia chi|dc|d/c)\s*[:.\-]\s*\S", r"^\s*(?:dia chi|dc|d/c)\s*[:.\-]*\s*$"
+ADDRESS_MARK, NAME_END = r"^\s*(?:địa chỉ|dia chi|đc|dc|d/c)(?!\w)\s*[:.\-]?\s*", r"\s+[-–—|]\s+|\b(?:địa chỉ|dia chi|đc|dc)\s*:"
 
-_GROUPED = r"\d{1,3}(?:[ \x{A0}]*[.,][ \x{A0}]*\d{3})+(?:[.,]\d{1,2})?|\d{1,3}(?:[ \x{A0}]+\d{3})+(?![ \x{A0}]+\d)"
-_ROUND, _BARE, _CURRENCY = r"[1-9]\d{1,6}00", r"[1-9]\d{3,8}", r"(?<=\b(?:vnd|d)\s{0,3}[:=]?\s{0,3})"
+# How amounts are grouped, which of them count without separators, and what may stand before them.
+GROUPED = r"\d{1,3}(?:[ \x{A0}]*[.,][ \x{A0}]*\d{3})+(?:[.,]\d{1,2})?|\d{1,3}(?:[ \x{A0}]+\d{3})+(?![ \x{A0}]+\d)"
+HUNDREDS, BARE, EDGE = r"[1-9]\d{1,6}00", r"[1-9]\d{3,8}", r"(?![\d.,/\-])"
+FIELDS = ("merchant_name", "merchant_address", "date", "time", "total")
 
 
-def _amount_pattern(with_totals: bool) -> str:
-    before = _CURRENCY
-    if with_totals:
-        words = keyword_pattern([*TOTAL_STRONG, *TOTAL_MID, *TOTAL_WEAK]).removeprefix("(?U)")
-        before = rf"(?:{_CURRENCY}|(?<={words}\s{{0,3}}[:=]?\s{{0,3}}))"
-    edge = r"(?![\d.,/\-])"
-    return rf"(?U)(?<![\w.,/\-])((?:{_GROUPED}){edge}|{_ROUND}{edge}|{before}{_BARE}{edge}|{_BARE}(?=\s*(?:vnd|d)(?!\w)))"
+def _amounts_pattern(words: list[str]) -> str:
+    """Amounts alone, before the currency, or bare ones right behind the currency or one of ``words``, which are part of the match."""
+    ahead = "|".join([r"\b(?:vnd|d)", *([keyword_pattern(words).removeprefix("(?U)")] if words else [])])
+    return rf"(?U)(?<![\w.,/\-])(?:(?:{GROUPED}){EDGE}|{HUNDREDS}{EDGE}|{BARE}(?=\s*(?:vnd|d)(?!\w)){EDGE})|(?:{ahead})(?:\s{{1,3}}[:=]?\s{{0,3}}|[:=]\s{{0,3}}){BARE}{EDGE}"
 
 
 def amounts_in(text: Column) -> Column:
@@ -54,121 +62,240 @@ def amounts_of(key: Column) -> Column:
     """Amounts of a line in order: none on a line with contact words; figures without separators that aren't a multiple of 100
     only right behind a word for the total or beside the currency. Text is folded, in which places are the same."""
 
-    def found(pattern: str) -> Column:
-        return F.filter(F.transform(F.regexp_extract_all(key, F.lit(pattern), F.lit(1)), parse_vnd), lambda a: a.between(LEAST_AMOUNT, MOST_AMOUNT))
+    def found(words: list[str]) -> Column:
+        return F.filter(F.transform(F.regexp_extract_all(key, F.lit(_amounts_pattern(words)), F.lit(0)), parse_vnd), lambda a: a.between(LEAST_AMOUNT, MOST_AMOUNT))
 
     none = F.array().cast("array<bigint>")
-    plain = has_keyword(key, TOTAL_NEVER) | ~has_keyword(key, [*TOTAL_STRONG, *TOTAL_MID, *TOTAL_WEAK])
-    return F.when(~key.rlike(r"\d") | key.rlike(CONTACT), none).when(plain, found(_amount_pattern(False))).otherwise(found(_amount_pattern(True)))
-
-
-def with_amounts(lines: DataFrame) -> DataFrame:
-    """Lines in reading order with their amounts."""
-    return lines.withColumn("amounts", amounts_of(F.col("key")))
-
-
-def _first(df: DataFrame, *order: Column) -> DataFrame:
-    """The first row of each page."""
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy("image_id").orderBy(*order))).where("_n = 1").drop("_n")
+    totals = [*TOTAL_STRONG, *TOTAL_MID, *TOTAL_WEAK]
+    plain = has_keyword(key, TOTAL_NEVER) | ~has_keyword(key, totals)
+    return F.when(~key.rlike(r"\d{3}") | key.rlike(CONTACT), none).when(plain, found([])).otherwise(found(totals))
 
 
-def totals(lines: DataFrame) -> DataFrame:
-    """(image_id, value, confidence, rule): the amount that a word for the total points at: on its line, else the last amount to
-    its right, else the last of the next row at a lower weight; the heaviest, of equals the lowest on the page. Without such a
-    word the largest amount of the page. ``lines`` has amounts (``with_amounts``)."""
-    key = F.col("key")
+def line_features(lines: DataFrame) -> DataFrame:
+    """Lines in reading order with what each tells alone: amounts, day, clock, the weight of its word for a total (0 without
+    one), and whether it is never or seldom a total."""
+    key, text = F.col("key"), F.col("text")
+    digits = key.rlike(r"\d")  # full-width ones too, which folding leaves
     weight = F.when(has_keyword(key, TOTAL_STRONG), 3).when(has_keyword(key, TOTAL_MID), 2).when(has_keyword(key, TOTAL_WEAK), 1).otherwise(0)
-    rows = lines.select("image_id", "row", "pos", "idx", "cx", "score", weight.alias("w"), "amounts", (has_keyword(key, TOTAL_NEVER) | key.rlike(DISCOUNT)).alias("never"), has_keyword(key, TOTAL_SELDOM).alias("seldom"))
-    rows = rows.withColumn("own", F.try_element_at("amounts", F.lit(-1)))
-    value = F.struct(F.col("own").alias("a"), F.col("score").alias("s"), F.col("cx").alias("x"))
-    lasts = rows.where("own is not null").groupBy("image_id", "row").agg(F.max_by(value, F.col("pos")).alias("v"))
-    keyed = rows.where("w > 0 and not never and (w = 3 or not seldom)")
-    keyed = keyed.join(lasts.select("image_id", "row", F.col("v").alias("here")), ["image_id", "row"], "left")
-    keyed = keyed.join(lasts.select("image_id", (F.col("row") - 1).alias("row"), F.col("v").alias("below")), ["image_id", "row"], "left")
-    right = F.col("own").isNull() & (F.col("here.x") > F.col("cx"))
-    c = keyed.select("image_id", "row", "idx", F.when(F.col("own").isNotNull() | right, F.col("w")).otherwise(F.col("w") - 1).alias("w"), F.when(F.col("own").isNotNull(), F.col("own")).when(right, F.col("here.a")).otherwise(F.col("below.a")).alias("value"), F.when(F.col("own").isNotNull(), F.col("score")).when(right, F.col("here.s")).otherwise(F.col("below.s")).alias("score"), F.when(F.col("own").isNotNull(), "keyword:same_line").when(right, "keyword:same_row").otherwise("keyword:next_row").alias("rule")).where("value is not null")
-    c = c.withColumn("agree", F.count(F.lit(1)).over(Window.partitionBy("image_id", "value")))
-    best = _first(c, (F.col("w") + 0.5 * F.least(F.col("agree") - 1, F.lit(2))).desc(), F.col("row").desc(), F.col("idx"))
-    base = F.element_at(F.array(*map(F.lit, (0.6, 0.7, 0.85, 0.95))), F.col("w") + 1)
-    best = best.select("image_id", "value", (F.least(F.lit(1.0), base + F.when(F.col("agree") > 1, 0.05).otherwise(0.0)) * F.col("score")).alias("confidence"), "rule")
-    every = rows.select("image_id", "idx", "score", F.posexplode("amounts").alias("k", "value"))
-    most = _first(every, F.col("value").desc(), F.col("idx"), F.col("k")).select("image_id", "value", (0.4 * F.col("score")).alias("confidence"), F.lit("fallback:max_amount").alias("rule"))
-    return best.union(most.join(best.select("image_id"), "image_id", "left_anti"))
-
-
-def dates(lines: DataFrame, today: str) -> DataFrame:
-    """(image_id, value, confidence, evidence): a date from 2000 on up to ``today``; beside a word for dates before others, then
-    the highest on the page. Such words count inside others too."""
-    key = F.col("key")
-    named = F.lit(False)
-    for w in DATE_WORDS:
-        named = named | F.contains(key, F.lit(w))
-    c = lines.select("image_id", "row", "pos", "score", F.col("text").alias("evidence"), parse_date(F.col("text")).alias("value"), named.alias("named")).where(F.col("value").between("2000-01-01", today))
-    return _first(c, F.col("named").desc(), F.col("row"), F.col("pos")).select("image_id", "value", (F.when(F.col("named"), 0.95).otherwise(0.8) * F.col("score")).alias("confidence"), "evidence")
-
-
-def times(lines: DataFrame, found: DataFrame) -> DataFrame:
-    """(image_id, value, confidence): a time of day on the line of the date, then in its row, then up to two rows below; of a
-    page without a date, the first. The date's line is the first with its text."""
-    at = _first(lines.join(found.select("image_id", F.col("evidence").alias("text")), ["image_id", "text"]), F.col("idx")).select("image_id", F.col("row").alias("r0"), F.col("idx").alias("i0"))
-    key = F.col("key")
-    never = F.lit(False)
-    for w in TIME_NEVER:
-        never = never | F.contains(key, F.lit(w))
-    near = lines.join(at, "image_id", "left").where("r0 is null or row between r0 and r0 + 2")
-    first = F.when(F.col("r0").isNull(), F.col("idx") == 0).otherwise(F.col("idx") == F.col("i0"))
-    c = near.select("image_id", "idx", "score", parse_time(F.col("text")).alias("value"), first.alias("first"), never.alias("never")).where("value is not null and not never")
-    return _first(c, F.col("first").desc(), F.col("idx")).select("image_id", "value", (F.when(F.col("first"), 0.9).otherwise(0.75) * F.col("score")).alias("confidence"))
-
-
-def address_hits(key: Column) -> Column:
-    """How much a folded line looks like an address: different words, short forms, a number before a street, a label."""
-    found = F.array_distinct(F.regexp_extract_all(key, F.lit(keyword_pattern(ADDRESS_WORDS)), F.lit(0)))
-    hits = F.size(found)
-    hits = hits + F.regexp_count(key, F.lit(ADDRESS_SHORT)) + 2 * key.rlike(STREET_NUMBER).cast("int") + 2 * key.rlike(ADDRESS_LABEL).cast("int")
-    total = hits + 2 * has_keyword(key, ["dia chi"]).cast("int") + ((hits > 0) & key.rlike(r"\d")).cast("int")
-    return F.when(key.rlike(CONTACT) | key.rlike(LABEL_ALONE) | has_keyword(key, ADDRESS_NEVER), 0).otherwise(total)
-
-
-def sellers(lines: DataFrame) -> DataFrame:
-    """(image_id, value, confidence, idx): the title among the first 8 lines by words for sellers, capitals, recognition score,
-    place and size. Fragments of a title on several lines are not merged, and a branch behind the name is kept."""
-    top = lines.where("idx < 12")
-    body = top.groupBy("image_id").agg(F.percentile("height", F.lit(0.5)).alias("body"))
-    text, key = F.trim("text"), F.trim("key")
-    n = letters(text)
-    brand = has_keyword(key, SELLER_BRAND) | key.rlike(r"(?U)\b(?:co\.?op\w*|\w+mart)\b")
-    good = (n >= 3) & (n / F.greatest(F.length(text), F.lit(1)) >= 0.6) & ~has_keyword(key, SELLER_NEVER) & ~key.rlike(SELLER_TIME) & (brand | (address_hits(key) < 2))
-    c = top.where("idx < 8").join(body, "image_id").where(good)
-    size = F.least(F.greatest(F.col("height") / F.col("body") - 1, F.lit(0.0)), F.lit(2.0))
-    points = 3 * brand.cast("int") + (capitals(text) / n > 0.8).cast("int") + F.col("score") - 0.15 * F.col("idx") + 2 * size
-    best = _first(c.select("image_id", "idx", text.alias("value"), "score", brand.alias("brand"), points.alias("points")).where("points > 0"), F.col("points").desc(), F.col("idx"))
-    return best.select("image_id", "value", (F.when(F.col("brand"), 0.9).otherwise(0.65) * F.col("score")).alias("confidence"), "idx")
-
-
-def addresses(lines: DataFrame, seller: DataFrame, window: int = 12, span: int = 3, near: int = 4) -> DataFrame:
-    """(image_id, value, confidence): the line of the first ``window`` that looks most like an address, of equals the one nearest
-    to the seller, joined with up to ``span`` - 1 others within ``near`` lines, in reading order, without the label."""
-    rows = lines.where(F.col("idx") < window).join(seller.select("image_id", F.col("idx").alias("si")), "image_id", "left").where("si is null or idx <> si")
-    rows = rows.select("image_id", "idx", "text", "score", "si", address_hits(F.col("key")).alias("hits")).where("hits >= 2 or (hits >= 1 and idx = si + 1)")
-    order = Window.partitionBy("image_id").orderBy(F.col("hits").desc(), F.coalesce(F.abs(F.col("idx") - F.col("si")), F.col("idx")), F.col("idx"))
-    ranked = rows.withColumn("rank", F.row_number().over(order)).withColumn("head", F.first("idx").over(order)).withColumn("top", F.first("hits").over(order))
-    close = ranked.where(F.abs(F.col("idx") - F.col("head")) <= near)
-    close = close.withColumn("rank", F.row_number().over(Window.partitionBy("image_id").orderBy("rank"))).where(F.col("rank") <= span)
-    clean = F.trim(F.regexp_replace("text", r"(?iU)^\s*(?:địa chỉ|dia chi|đc|dc|d/c)(?!\w)\s*[:.\-]?\s*", ""))
-    out = close.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("idx", clean.alias("t")))).alias("parts"), F.min("score").alias("score"), F.max("top").alias("top"))
-    value = F.array_join(F.filter(F.transform("parts", lambda p: p["t"]), lambda t: t != ""), " ")
-    return out.select("image_id", value.alias("value"), (F.col("score") * F.when(F.col("top") >= 3, 0.9).otherwise(0.7)).alias("confidence")).where("value <> ''")
+    wide = text.rlike(r"(?U)\d")
+    return lines.select("*", F.when(digits, amounts_of(key)).otherwise(F.array().cast("array<bigint>")).alias("amounts"), F.when(wide, parse_date(text)).alias("day"), F.when(wide, parse_time(text)).alias("clock"), weight.alias("weight"), (has_keyword(key, TOTAL_NEVER) | key.rlike(DISCOUNT)).alias("never"), has_keyword(key, TOTAL_SELDOM).alias("seldom"))
+
+
+class Line(NamedTuple):
+    idx: int
+    row: int
+    pos: int
+    text: str
+    key: str
+    score: float
+    cx: float
+    x0: float
+    y0: float
+    x1: float
+    y1: float
+    height: float
+    amounts: list[int]
+    day: str | None
+    clock: str | None
+    weight: int
+    never: bool
+    seldom: bool
+
+
+class Found(NamedTuple):
+    """One field of a page; without a value if the page has none."""
+
+    value: str | None = None
+    confidence: float = 0.0
+    rule: str = "none"
+    evidence: tuple[str, ...] = ()
+    features: dict[str, float] = {}
+
+
+def _words(words: list[str]) -> re.Pattern:
+    return re.compile(r"\b(?:" + "|".join(re.escape(w) for w in words) + r")(?!\w)")
+
+
+_SELLER_BRAND, _SELLER_NEVER, _ADDRESS_NEVER = _words(SELLER_BRAND), _words(SELLER_NEVER), _words(ADDRESS_NEVER)
+_JOINED_BRAND, _SELLER_TIME, _CONTACT = re.compile(r"\b(?:co\.?op\w*|\w+mart)\b"), re.compile(SELLER_TIME), re.compile(CONTACT)
+_ADDRESS_EACH, _ADDRESS_SHORT, _STREET = [_words([w]) for w in ADDRESS_WORDS], re.compile(ADDRESS_SHORT), re.compile(STREET_NUMBER)
+_LABELLED, _LABEL_ALONE, _MARK, _NAME_END = re.compile(ADDRESS_LABEL), re.compile(LABEL_ALONE), re.compile(ADDRESS_MARK, re.I), re.compile(NAME_END, re.I)
+_KIND = re.compile(SELLER_KIND)
+
+
+def total_of(page: list[Line]) -> Found:
+    """The amount that a word for the total points at: on its line, else the last amount to its right, else the last of the next
+    row at a lower weight; the heaviest, of equals the lowest on the page. Without such a word the largest amount of the page."""
+    last: dict[int, Line] = {}
+    for line in page:
+        if line.amounts:
+            last[line.row] = line  # rows are in order of place
+    pointed = []
+    for line in page:
+        if not line.weight or line.never or line.seldom and line.weight < 3:
+            continue
+        beside, below = last.get(line.row), last.get(line.row + 1)
+        if line.amounts:
+            pointed.append((line.weight, line, line, "same_line"))
+        elif beside and beside.cx > line.cx:
+            pointed.append((line.weight, line, beside, "same_row"))
+        elif below:
+            pointed.append((line.weight - 1, line, below, "next_row"))
+    largest = max((a for line in page for a in line.amounts), default=None)
+    if pointed:
+        times = Counter(of.amounts[-1] for _, _, of, _ in pointed)
+        weight, line, of, place = max(pointed, key=lambda p: (p[0] + min(times[p[2].amounts[-1]] - 1, 2) / 2, p[1].row, -p[1].idx))
+        amount = of.amounts[-1]
+        trust = (0.6, 0.7, 0.85, 0.95)[weight] + (0.05 if times[amount] > 1 else 0.0)
+        features = {"ocr_conf": of.score, "agree": times[amount], "key_weight": weight, "is_max": amount == largest, "n_cands": len(pointed), "distinct": len(times)}
+        return Found(str(amount), min(1.0, trust) * of.score, f"keyword:{place}", (line.text, of.text), features)
+    if largest is None:
+        return Found()
+    of = next(line for line in page if largest in line.amounts)
+    return Found(str(largest), 0.4 * of.score, "fallback:max_amount", (of.text,), {"ocr_conf": of.score, "agree": 0, "key_weight": 0, "is_max": 1, "n_cands": 0, "distinct": 0})
+
+
+def date_of(page: list[Line], today: str) -> Found:
+    """A date from 2000 on up to ``today``; beside a word for dates before others, then the highest on the page. Such words
+    count inside others too."""
+    dated = [(any(w in line.key for w in DATE_WORDS), line) for line in page if line.day and "2000-01-01" <= line.day <= today]
+    if not dated:
+        return Found()
+    named, line = max(dated, key=lambda d: (d[0], -d[1].row, -d[1].pos))
+    days = Counter(other.day for _, other in dated)
+    return Found(line.day, (0.95 if named else 0.8) * line.score, "date_regex", (line.text,), {"ocr_conf": line.score, "keyword": named, "n_distinct": len(days), "agree": days[line.day]})
+
+
+def time_of(page: list[Line], date_text: str | None) -> Found:
+    """A time of day on the line of the date, then in its row, then up to two rows below; of a page without a date, the first.
+    The date's line is the first with its text."""
+    at = next((line for line in page if date_text and line.text == date_text), None)
+    order = page if at is None else [at, *(line for line in page if at.row <= line.row <= at.row + 2 and line is not at)]
+    for rank, line in enumerate(order):
+        if line.clock and not any(w in line.key for w in TIME_NEVER):
+            return Found(line.clock, (0.75 if rank else 0.9) * line.score, "time_regex", (line.text,), {"ocr_conf": line.score, "same_line": not rank})
+    return Found()
+
+
+def address_hits(key: str) -> int:
+    """How much a folded line looks like an address: words, short forms, a number before a street, a label."""
+    if _CONTACT.search(key) or _LABEL_ALONE.match(key) or _ADDRESS_NEVER.search(key):
+        return 0
+    hits = sum(1 for w in _ADDRESS_EACH if w.search(key)) + len(_ADDRESS_SHORT.findall(key)) + 2 * bool(_STREET.search(key)) + 2 * bool(_LABELLED.search(key))
+    return hits + 2 * bool(_ADDRESS_EACH[0].search(key)) + (hits > 0 and any(c.isdigit() for c in key))
+
+
+def _branded(key: str) -> bool:
+    return bool(_SELLER_BRAND.search(key) or _JOINED_BRAND.search(key))
+
+
+def _title(line: Line, top: list[Line], hits: list[int]) -> str:
+    """A line without the address behind the name, and without a branch behind a brand if an address nearby repeats it."""
+    text = line.text.strip()
+    cut = next((m.start() for m in _NAME_END.finditer(text) if address_hits(plain_fold(text[m.end() :])) >= 2), None)
+    text = text if cut is None else text[:cut].strip()
+    starts = [m.start() for m in re.finditer(r"\S+", text)]
+    for at in starts[1:-1]:
+        head, branch = plain_fold(text[:at].strip()), plain_fold(text[at:]).strip()
+        if _branded(head) and not _KIND.fullmatch(head) and any(h >= 2 and other.idx != line.idx and _words([branch]).search(other.key) for other, h in zip(top, hits)):
+            return text[:at].strip()
+    return text
+
+
+def _belong(a: Line, b: Line, one: str, other: str, body: float) -> bool:
+    """Whether two lines are parts of one title: near, of like size, and either a kind of shop or both large and in capitals."""
+    tall, low = max(a.y1 - a.y0, b.y1 - b.y0, 1), min(max(a.y1 - a.y0, 1), max(b.y1 - b.y0, 1))
+    beside = abs((a.y0 + a.y1) - (b.y0 + b.y1)) <= tall
+    gap = max(a.x0, b.x0) - min(a.x1, b.x1) if beside else max(a.y0, b.y0) - min(a.y1, b.y1)
+    centred = beside or abs((a.x0 + a.x1) - (b.x0 + b.x1)) <= max(a.x1 - a.x0, b.x1 - b.x0)
+    alike = low >= 0.6 * tall and centred and gap <= (2 if beside else 1.5) * tall
+    return alike and (any(_KIND.fullmatch(plain_fold(t)) for t in (one, other)) or low >= 1.3 * body and one.isupper() and other.isupper())
+
+
+def seller_of(page: list[Line], top: list[Line], hits: list[int]) -> tuple[Found, int]:
+    """The title among the first 8 lines by words for sellers, capitals, recognition score, place and size, with up to two
+    neighbours that belong to it; and where it starts, -1 if there is none."""
+    body = median(line.height for line in top) if top else 1.0
+    titles: dict[int, str] = {}
+    best, points = -1, 0.0
+    for line in page[:8]:
+        text = _title(line, top, hits)
+        key, letters = plain_fold(text), sum(c.isalpha() for c in text)
+        if letters < 3 or letters < 0.6 * len(text) or _SELLER_NEVER.search(key) or _SELLER_TIME.search(key) or not _branded(key) and address_hits(key) >= 2:
+            continue
+        titles[line.idx] = text
+        size = min(max(line.height / body - 1, 0.0), 2.0)
+        worth = 3 * _branded(key) + (sum(c.isupper() for c in text) / letters > 0.8) + line.score - 0.15 * line.idx + 2 * size
+        if worth > points:
+            best, points = line.idx, worth
+    if best < 0:
+        return Found(), -1
+    first = last = best
+    for step in (-1, 1):
+        while last - first < 2:
+            edge, new = (first, first - 1) if step < 0 else (last, last + 1)
+            if new not in titles or plain_fold(titles[new]) == plain_fold(titles[edge]) or not _belong(page[edge], page[new], titles[edge], titles[new], body):
+                break
+            first, last = min(first, new), max(last, new)
+    parts = page[first : last + 1]
+    name = " ".join(titles[line.idx] for line in parts)
+    brand, score = _branded(plain_fold(name)), min(line.score for line in parts)
+    return Found(name, (0.9 if brand else 0.65) * score, "top_lines", tuple(line.text for line in parts), {"ocr_conf": score, "brand": brand, "index": first, "n_lines": len(parts)}), first
+
+
+def address_of(top: list[Line], hits: list[int], seller: int, seller_lines: tuple[str, ...], span: int = 3, near: int = 4) -> Found:
+    """The line that looks most like an address, of equals the one nearest to the seller, joined with up to ``span`` - 1 others
+    within ``near`` lines, in reading order, without the label. A label alone speaks for the line below it."""
+    looks = {line.idx: h for line, h in zip(top, hits) if line.idx != seller and line.text not in seller_lines}
+    for label, line in zip(top, top[1:]):
+        if _LABEL_ALONE.match(label.key) and line.idx in looks and sum(c.isalpha() for c in line.text) >= 3 and not (_CONTACT.search(line.key) or _SELLER_NEVER.search(line.key) or line.day or line.amounts):
+            looks[line.idx] = max(looks[line.idx], 2)
+    ranked = sorted((i for i, h in looks.items() if h >= 2 or h == 1 and i == seller + 1 >= 1), key=lambda i: (-looks[i], abs(i - seller) if seller >= 0 else i, i))
+    if not ranked:
+        return Found()
+    head = ranked[0]
+    chosen = [top[i] for i in sorted([head, *[i for i in ranked[1:] if abs(i - head) <= near][: span - 1]])]
+    parts = [p for line in chosen if (p := _MARK.sub("", line.text).strip())]
+    score = min(line.score for line in chosen)
+    if not parts:
+        return Found()
+    return Found(" ".join(parts), score * (0.9 if looks[head] >= 3 else 0.7), "address_tokens", tuple(line.text for line in chosen), {"ocr_conf": score, "hits": looks[head], "n_lines": len(chosen)})
+
+
+def fields_of(page: list[Line], today: str, window: int = 12) -> dict[str, Found]:
+    """The fields of a page whose lines are in reading order."""
+    top = page[:window]
+    hits = [address_hits(line.key) for line in top]
+    seller, at = seller_of(page, top, hits)
+    day = date_of(page, today)
+    return {"merchant_name": seller, "merchant_address": address_of(top, hits, at, seller.evidence), "date": day, "time": time_of(page, day.evidence[0] if day.evidence else None), "total": total_of(page)}
+
+
+_RESULT = pa.struct([("value", pa.string()), ("confidence", pa.float64()), ("rule", pa.string()), ("evidence", pa.list_(pa.string())), ("features", pa.map_(pa.string(), pa.float64()))])
 
 
 def extract_fields(lines: DataFrame, today: str) -> DataFrame:
-    """One row for each page: its five fields with their confidences, null where a page has none."""
-    work = Workspace(lines.sparkSession, "pages")
-    ordered, _ = work.write(lines, "ordered")
-    lines, _ = work.write(with_amounts(spread(ordered)), "lines")  # read by every field
-    work.drop("ordered")
-    s, d = sellers(lines), dates(lines, today)
-    out = lines.select("image_id").distinct()
-    for name, df in (("merchant_name", s), ("merchant_address", addresses(lines, s)), ("date", d), ("time", times(lines, d)), ("total", totals(lines))):
-        out = out.join(df.select("image_id", F.col("value").cast("string").alias(name), F.col("confidence").alias(f"{name}_confidence")), "image_id", "left")
-    return out
+    """(image_id, merchant_name, merchant_address, date, time, total, lines, mean_rec_score): one row for each page, each field a
+    struct<value, confidence, rule, evidence, features>, without a value where the page has none.
+
+    ``lines`` are those of ``spatial.reading_order``. A page's lines are one array for a moment.
+    """
+    names = Line._fields
+    pages = line_features(lines).groupBy("image_id").agg(F.collect_list(F.struct(*names)).alias("lines"))
+    schema = pa.schema([("image_id", pa.string()), *[(f, _RESULT) for f in FIELDS], ("lines", pa.int32()), ("mean_rec_score", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pages = batch.column(1)
+            flat = pages.flatten()
+            rows = list(map(Line._make, zip(*[flat.field(n).to_pylist() for n in names])))
+            offsets, made, start = pages.offsets.to_pylist(), [], pages.offsets[0].as_py()
+            for a, b in zip(offsets, offsets[1:]):
+                page = sorted(rows[a - start : b - start])
+                found = fields_of(page, today)
+                made.append({f: r._asdict() | {"features": [(k, float(v)) for k, v in r.features.items()], "evidence": list(r.evidence)} for f, r in found.items()} | {"lines": b - a, "mean_rec_score": sum(x.score for x in page) / (b - a)})
+            columns = [batch.column(0), *[pa.array([m[f.name] for m in made], f.type) for f in list(schema)[1:]]]
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
+
+    field = "struct<value: string, confidence: double, rule: string, evidence: array<string>, features: map<string, double>>"
+    return pages.mapInArrow(run, f"image_id string, {', '.join(f'`{f}` {field}' for f in FIELDS)}, lines int, mean_rec_score double")

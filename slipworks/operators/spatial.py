@@ -2,48 +2,47 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slipworks.functions import geometry as G
 from slipworks.functions.text import fold
+from slipworks.sources.tables import by_key
 
 
-def rows_of(lines: Column, tolerance: float = 0.5) -> Column:
-    """Rows of an array of struct<cy, n, cx, h, ...> that is sorted by cy: a line joins the row above if its centre is within
-    ``tolerance`` median heights of the running mean of that row; each row is sorted by cx, then n."""
-    sorted_h = F.array_sort(F.transform(lines, lambda x: x["h"]))
+def row_numbers(lines: Column, tolerance: float = 0.5) -> Column:
+    """The row of each of an array of struct<cy, h, ...> that is sorted by cy, from 0: a line joins the row above if its centre
+    is within ``tolerance`` median heights of the running mean of that row."""
+    heights = F.array_sort(F.transform(lines, lambda x: x["h"]))
     n = F.size(lines)
-    middle = (F.element_at(sorted_h, F.ceil(n / 2).cast("int")) + F.element_at(sorted_h, (F.floor(n / 2) + 1).cast("int"))) / 2
+    middle = (F.element_at(heights, F.ceil(n / 2).cast("int")) + F.element_at(heights, (F.floor(n / 2) + 1).cast("int"))) / 2
     limit = F.greatest(middle, F.lit(1.0)) * tolerance
-    none = F.filter(F.array(lines), lambda _: F.lit(False))
+    start = F.struct(F.lit(-1).alias("row"), F.lit(0.0).alias("sum"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("rows"))
 
-    def add(rows: Column, x: Column) -> Column:
-        last = F.try_element_at(rows, F.lit(-1))
-        centre = F.aggregate(last, F.lit(0.0), lambda s, y: s + y["cy"]) / F.size(last)
-        joins = (F.size(rows) > 0) & (F.abs(x["cy"] - centre) <= limit)
-        head = F.slice(rows, 1, F.greatest(F.size(rows) - 1, F.lit(0)))
-        return F.when(joins, F.concat(head, F.array(F.concat(last, F.array(x))))).otherwise(F.concat(rows, F.array(F.array(x))))
+    def add(a: Column, x: Column) -> Column:
+        joins = (a["n"] > 0) & (F.abs(x["cy"] - a["sum"] / a["n"]) <= limit)
+        row = a["row"] + F.when(joins, 0).otherwise(1)
+        return F.struct(row.alias("row"), (F.when(joins, a["sum"]).otherwise(0.0) + x["cy"]).alias("sum"), (F.when(joins, a["n"]).otherwise(0) + 1).alias("n"), F.concat(a["rows"], F.array(row)).alias("rows"))
 
-    def by_place(row: Column) -> Column:
-        keyed = F.transform(row, lambda x: F.struct(x["cx"].alias("cx"), x["n"].alias("n"), x.alias("x")))
-        return F.transform(F.array_sort(keyed), lambda k: k["x"])
-
-    return F.transform(F.when(n > 0, F.aggregate(lines, none, add)).otherwise(none), by_place)
+    return F.when(n > 0, F.aggregate(lines, start, add, lambda a: a["rows"])).otherwise(F.array().cast("array<int>"))
 
 
 def reading_order(lines: DataFrame) -> DataFrame:
-    """(image_id, row, pos, idx, line_no, text, key, score, cx, height) of each line; key is the folded text; rows, places and the whole order from 0.
+    """(image_id, row, pos, idx, line_no, text, key, score, cx, x0, y0, x1, y1, height) of each line; key is the folded text;
+    rows, places in them and the whole order count from 0. A row is in order of cx, then line_no.
 
-    ``lines`` has image_id, line_no, text, rec_score and polygon. A null score is 0.5; lines without a polygon are left out.
-    A page is one row of a table, so its lines must fit into memory; pages are short.
+    ``lines`` has image_id, line_no, text, rec_score and polygon. A null score is 0.5; lines without a polygon are left out,
+    lines that are the same in all of these count once. A page is one row of a table for a moment, so its lines must fit into
+    memory; pages are short. Rows of a page stay together, so steps by page that follow need no shuffle.
     """
     p = F.col("polygon")
-    shaped = lines.where("polygon is not null and size(polygon) > 0").select("image_id", F.struct(G.mean(G.ys(p)).alias("cy"), F.col("line_no").alias("n"), G.mean(G.xs(p)).alias("cx"), (F.array_max(G.ys(p)) - F.array_min(G.ys(p))).alias("h"), G.text_height(p).alias("height"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("rec_score", F.lit(0.5)).alias("score")).alias("s"))
-    pages = shaped.groupBy("image_id").agg(F.array_sort(F.collect_list("s")).alias("lines")).select("image_id", rows_of(F.col("lines")).alias("rows"))
-    each = pages.select("image_id", F.posexplode("rows").alias("row", "members")).select("image_id", "row", F.posexplode("members").alias("pos", "s"))
-    order = F.row_number().over(Window.partitionBy("image_id").orderBy("row", "pos")) - 1
-    return each.select("image_id", "row", "pos", order.alias("idx"), F.col("s.n").alias("line_no"), "s.text", fold(F.col("s.text")).alias("key"), "s.score", "s.cx", "s.height")
+    b = G.box(p)
+    shaped = lines.where("polygon is not null and size(polygon) > 0").select("image_id", F.struct(G.mean(G.ys(p)).alias("cy"), F.col("line_no").alias("n"), G.mean(G.xs(p)).alias("cx"), (b["y1"] - b["y0"]).alias("h"), G.text_height(p).alias("height"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("rec_score", F.lit(0.5)).alias("score"), *[b[c].alias(c) for c in ("x0", "y0", "x1", "y1")]).alias("s"))
+    pages = by_key(shaped, "image_id").groupBy("image_id").agg(F.array_sort(F.collect_set("s")).alias("lines"))
+    keyed = pages.select("image_id", F.zip_with("lines", row_numbers(F.col("lines")), lambda s, r: F.struct(r.alias("row"), s["cx"].alias("cx"), s["n"].alias("n"), s.alias("s"))).alias("lines"))
+    placed = keyed.select("image_id", F.array_sort("lines").alias("lines")).select("image_id", F.transform("lines", lambda k: k["row"]).alias("rows"), F.posexplode("lines").alias("idx", "k"))
+    pos = F.col("idx") - F.array_position("rows", F.col("k.row")).cast("int") + 1
+    return placed.select("image_id", F.col("k.row").alias("row"), pos.alias("pos"), "idx", F.col("k.n").alias("line_no"), "k.s.text", fold(F.col("k.s.text")).alias("key"), "k.s.score", "k.s.cx", *[f"k.s.{c}" for c in ("x0", "y0", "x1", "y1", "height")])
 
 
 def regions_of(manifest: DataFrame) -> DataFrame:

@@ -124,7 +124,9 @@ def time_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def line_amounts(spark: SparkSession, folder: str) -> DataFrame:
-    return _lines(spark, folder).select("line_id", extract.amounts_in(F.col("text")).alias("amounts")).where("size(amounts) > 0")
+    """Lines that hold amounts; a line without figures is left out before it is folded."""
+    keys = _lines(spark, folder).where(F.col("text").rlike(r"(?U)\d")).select("line_id", text.fold(F.col("text")).alias("key"))
+    return keys.select("line_id", extract.amounts_of(F.col("key")).alias("amounts")).where("size(amounts) > 0")
 
 
 @query("SELECT l_orderkey, l_linenumber, round(greatest(100.0, 0.005 * abs(l_extendedprice)), 6) AS tolerance FROM lineitem")
@@ -248,7 +250,7 @@ def line_boxes(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def reading_rows(spark: SparkSession, folder: str) -> DataFrame:
-    return spatial.reading_order(_lines(spark, folder)).select("image_id", "row", "pos", "idx", "line_no", "text")
+    return spatial.reading_order(table(spark, folder, "ocr_lines")).select("image_id", "row", "pos", "idx", "line_no", "text")
 
 
 _REGIONS = "m AS (SELECT image_id, any_value(regions) AS regions FROM ocr_manifest GROUP BY image_id), g AS (SELECT image_id, unnest(range(0, len(regions))) AS region_id, regions FROM m), regions AS (SELECT image_id, region_id, regions[region_id + 1].label AS label, regions[region_id + 1].role AS role, regions[region_id + 1].text AS text, regions[region_id + 1].bbox AS bbox FROM g)"
@@ -286,7 +288,13 @@ def gradient_hashes(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def extracted_fields(spark: SparkSession, folder: str) -> DataFrame:
-    return extract.extract_fields(spatial.reading_order(_lines(spark, folder)), TODAY)
+    """The five fields of every page with their confidences and rules."""
+    found = _extracted(spark, folder)
+    return found.select("image_id", *[F.col(f"{f}.{part}").alias(f if part == "value" else f"{f}_{part}") for f in extract.FIELDS for part in ("value", "confidence", "rule")])
+
+
+def _extracted(spark: SparkSession, folder: str) -> DataFrame:
+    return extract.extract_fields(spatial.reading_order(table(spark, folder, "ocr_lines")), TODAY)
 
 
 @query(f"""

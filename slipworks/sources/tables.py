@@ -17,8 +17,22 @@ def once(df: DataFrame, *keys: str) -> DataFrame:
     return df.dropDuplicates(list(keys))
 
 
+#: Bytes of input for each core up to which ``spread`` moves rows.
+SMALL = 64 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores, for work that costs much more than moving them; large tables have more parts than that anyway and
-    are left as they are. For rows read from a table: the number of parts behind a shuffle is known only once it has run."""
+    """Rows over all cores, for work that costs much more than moving them.
+
+    A small input is read in fewer parts than there are cores; a larger one isn't, and is left as it is. What counts is the
+    size that the plan estimates from its files, so nothing runs to find it out. The rows are the same either way.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return df.repartition(cores) if size < SMALL * cores else df
+
+
+def by_key(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows of one key together, in as many parts as the session shuffles into, so that later steps by that key need no
+    further shuffle and small tables still use all cores."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

@@ -53,21 +53,46 @@ RECEIPT = [
 ]
 
 
+def _fields(spark, lines, today="2026-01-01"):
+    return extract.extract_fields(spatial.reading_order(_page(spark, lines)), today).first()
+
+
 def test_fields_of_a_receipt(spark):
-    row = extract.extract_fields(spatial.reading_order(_page(spark, RECEIPT)), "2026-01-01").first()
-    assert (row.merchant_name, row.date, row.time, row.total) == ("SIEU THI BACH HOA TONG HOP", "2020-08-14", "21:31:05", "72000")
-    assert row.merchant_address == "Số 5 Đường Cẩm Tây, Phường 3"
-    assert all(0 < row[f"{c}_confidence"] <= 1 for c in ("merchant_name", "date", "time", "total"))
+    row = _fields(spark, RECEIPT)
+    assert (row.merchant_name.value, row.date.value, row.time.value, row.total.value) == ("SIEU THI BACH HOA TONG HOP", "2020-08-14", "21:31:05", "72000")
+    assert row.merchant_address.value == "Số 5 Đường Cẩm Tây, Phường 3" and row.total.rule == "keyword:same_row" and row.lines == 11
+    assert all(0 < row[f].confidence <= 1 for f in extract.FIELDS) and row.mean_rec_score == pytest.approx(0.9)
+    assert row.total.features == {"ocr_conf": 0.9, "agree": 1.0, "key_weight": 3.0, "is_max": 0.0, "n_cands": 1.0, "distinct": 1.0}
+    assert row.date.features == {"ocr_conf": 0.9, "keyword": 1.0, "n_distinct": 1.0, "agree": 1.0} and row.merchant_name.features["brand"] == 1.0
 
 
 @pytest.mark.parametrize("lines, total, rule", [
-    ([("Khách phải trả", 70, 1500), ("585,500", 750, 1540)], 585500, "keyword:next_row"),
-    ([("Coca", 100, 100), ("12,000", 400, 100), ("35,000", 400, 160)], 35000, "fallback:max_amount"),
-    ([("Tổng cộng 45280", 0, 0)], 45280, "keyword:same_line"),
+    ([("Khách phải trả", 70, 1500), ("585,500", 750, 1540)], "585500", "keyword:next_row"), ([("Coca", 100, 100), ("12,000", 400, 100), ("35,000", 400, 160)], "35000", "fallback:max_amount"),
+    ([("Tổng cộng 45280", 0, 0)], "45280", "keyword:same_line"), ([("Tổng cộng giám đốc 50,000", 0, 0)], "50000", "keyword:same_line"), ([("ITEM TOTAL 50,000", 0, 0)], "50000", "keyword:same_line"),
+    ([("Tổng cộng 50,000", 0, 0), ("Tổng tiền đã giảm 100,000", 0, 40)], "50000", "keyword:same_line"), ([("Tổng cộng 50,000", 0, 0), ("Giảm giá 100,000", 0, 40)], "50000", "keyword:same_line"),
+    ([("Tổng cộng 50,000", 0, 0), ("Thành tiền 60,000", 0, 40), ("Tổng 60,000", 0, 80)], "50000", "keyword:same_line"), ([("xin chào", 0, 0)], None, "none"), ([("", 0, 0)], None, "none"),
 ])
 def test_totals(spark, lines, total, rule):
-    row = extract.totals(extract.with_amounts(spatial.reading_order(_page(spark, lines)))).first()
-    assert (row.value, row.rule) == (total, rule)
+    row = _fields(spark, lines)
+    assert (row.total.value, row.total.rule) == (total, rule)
+
+
+# Golden pages of sellers and addresses.
+@pytest.mark.parametrize("lines, name, address", [
+    ([("THỨC", 0, 0, 40), ("COFFEE", 110, 0, 40), ("22 Quang Trung, P10, Gò Vấp", 0, 100)], "THỨC COFFEE", "22 Quang Trung, P10, Gò Vấp"),
+    ([("THỨC", 0, 0, 40), ("COFFEE", 0, 48, 40), ("22 Quang Trung, P10, Gò Vấp", 0, 100)], "THỨC COFFEE", "22 Quang Trung, P10, Gò Vấp"),
+    ([("CO.OPSMILE - A1 KHU B KTX DAI HOC QUOC GIA", 0, 0)], "CO.OPSMILE", None), ([("SHOP - AN BINH", 0, 0)], "SHOP - AN BINH", None),
+    ([("Co.OPMart HAU GIANG", 0, 0), ("188 Hau Giang, P.6, Q.6, TpHCM", 0, 40)], "Co.OPMart", "188 Hau Giang, P.6, Q.6, TpHCM"), ([("Co.OPMart HAU GIANG", 0, 0)], "Co.OPMart HAU GIANG", None),
+    ([("Intel Store BAC NINH", 0, 0), ("Số 5 Bắc Ninh", 0, 40)], "Intel Store", "Số 5 Bắc Ninh"), ([("Trả lại khách", 0, 0), ("ching ward", 0, 40), ("AN BINH", 0, 80, 40)], "AN BINH", None),
+    ([("Tiệm trà", 0, 0), ("AN BINH", 0, 80, 48), ("Số 5 Đường A", 0, 145)], "AN BINH", "Số 5 Đường A"), ([("TEST SHOP", 0, 0), ("Địa chỉ:", 0, 40), ("Phan Huy Chú", 0, 80), ("Tel: 028 1234 5678", 0, 120)], "TEST SHOP", "Phan Huy Chú"),
+    ([("TEST SHOP", 0, 0), ("D/C: 23 Nguyễn Thị Định - Trung Hòa - Cầu Giấy - HN", 0, 40)], "TEST SHOP", "23 Nguyễn Thị Định - Trung Hòa - Cầu Giấy - HN"),
+    *[([("TEST SHOP", 0, 0), ("Địa chỉ:", 0, 40), (t, 0, 80)], "TEST SHOP", None) for t in ("Tel: 028 1234 5678", "Mã số thuế: 0305781492", "Ngày: 14/08/2020", "50,000")],
+    *[([("SIEU THI AN", 0, 0), (t, 0, 40)], "SIEU THI AN", t) for t in ("Số 5 Cẩm Tây", "so 32 Duong A", "P.1, Q.3, TP.HCM", "244/23a Huỳnh Văn Bánh")],
+    ([("SIEU THI AN", 0, 0), ("Mua so luong lon giam gia", 0, 40), ("Cam on quy khach", 0, 80)], "SIEU THI AN", None),
+])
+def test_sellers_and_addresses(spark, lines, name, address):
+    row = _fields(spark, lines)
+    assert (row.merchant_name.value, row.merchant_address.value) == (name, address)
 
 
 @pytest.mark.parametrize("text, expected", [
@@ -80,9 +105,10 @@ def test_amounts(spark, text, expected):
 
 
 def test_no_date_in_the_future_and_no_opening_hours(spark):
-    lines = spatial.reading_order(_page(spark, [("Ngày: 01/01/2030", 0, 0), ("Ngày: 01/01/1990", 0, 50), ("Giờ làm việc: 7:30 đến 22:00", 0, 100)]))
-    found = extract.dates(lines, "2026-01-01")
-    assert found.count() == 0 and extract.times(lines, found).count() == 0
+    row = _fields(spark, [("Ngày: 01/01/2030", 0, 0), ("Ngày: 01/01/1990", 0, 50), ("Giờ làm việc: 7:30 đến 22:00", 0, 100)])
+    assert row.date.value is None and row.time.value is None and row.date.confidence == 0
+    assert _fields(spark, [("Ngày: 02/01/2020", 0, 0), ("10:20", 300, 0), ("11:30", 0, 500)]).time.value == "10:20:00"
+    assert extract.extract_fields(spatial.reading_order(_page(spark, [("x", 0, 0)]).limit(0)), "2026-01-01").count() == 0
 
 
 def test_line_goes_to_the_last_of_equal_regions(spark):
