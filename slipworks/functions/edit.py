@@ -4,23 +4,16 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
-from slipworks.functions.text import VARIANTS
+from slipworks.functions.text import VARIANTS, whole_forms
 
 #: Code points that stand for the distinct words of a pair: one contiguous block of CJK ideographs.
 FIRST, SIZE = 0x4E00, 8192
 
 
-def char_edit(reference: Column, hypothesis: Column, variant: str = "exact") -> tuple[Column, Column]:
-    """(errors, length of the reference) in code points; a missing hypothesis counts as empty, a missing reference as null."""
-    form = VARIANTS[variant]
-    ref = F.when(reference.isNotNull(), form(reference))
-    return F.levenshtein(ref, form(hypothesis)), F.length(ref)
-
-
 def words_apart(a: list[str], b: list[str]) -> int:
     """Edit distance of two lists of words, a row of the table at a time."""
     code: dict[str, int] = {}
@@ -38,14 +31,14 @@ def _word_distance(ref: pd.Series, hyp: pd.Series) -> pd.Series:
     return pd.Series([None if r is None or h is None else words_apart(list(r), list(h)) for r, h in zip(ref, hyp)], dtype="Int32")
 
 
-def word_edit(reference: Column, hypothesis: Column, variant: str = "exact") -> tuple[Column, Column]:
-    """The same in words: each distinct word of the pair becomes one code point, so that the built-in distance applies.
+def word_edit(reference: Column, hypothesis: Column) -> tuple[Column, Column]:
+    """(errors, length of the reference) in words: each distinct word of the pair becomes one code point, so that the built-in
+    distance applies. Both are columns of a table, in one of the forms of ``text.whole_forms``.
 
     Pairs of more than ``SIZE`` distinct words are measured in Arrow-batched Python; no other pair is sent there.
     """
-    form = VARIANTS[variant]
     alphabet = F.lit("".join(map(chr, range(FIRST, FIRST + SIZE))))
-    ref, hyp = (F.filter(F.split(x, " "), lambda w: w != "") for x in (F.when(reference.isNotNull(), form(reference)), form(hypothesis)))
+    ref, hyp = (F.filter(F.split(x, " "), lambda w: w != "") for x in (reference, F.coalesce(hypothesis, F.lit(""))))
     kinds = F.array_distinct(F.concat(ref, hyp))
 
     def coded(words: Column) -> Column:
@@ -56,15 +49,23 @@ def word_edit(reference: Column, hypothesis: Column, variant: str = "exact") ->
     return F.when(many, long).otherwise(F.levenshtein(coded(F.when(~many, ref)), coded(F.when(~many, hyp)))), F.when(ref.isNotNull(), F.size(ref))
 
 
-def score_pair(reference: Column, hypothesis: Column) -> list[Column]:
-    """Errors and lengths in characters and words for each variant, and whether the pair is the same."""
+def with_forms(df: DataFrame, reference: str, hypothesis: str) -> DataFrame:
+    """Adds ref and hyp, structs of the whole texts in each of ``VARIANTS``; a missing hypothesis counts as empty, a missing
+    reference has null forms."""
+    out = df.withColumn("_r", whole_forms(F.col(reference))).withColumn("hyp", whole_forms(F.col(hypothesis)))
+    return out.withColumn("ref", F.when(F.col(reference).isNotNull(), F.col("_r"))).drop("_r")
+
+
+def score_pairs(df: DataFrame, reference: str, hypothesis: str, keep: list[str]) -> DataFrame:
+    """(keep, errors and lengths in characters and words for each variant, exact_match): counts are in code points of the whole
+    texts; all are null for a missing reference."""
+    forms = with_forms(df.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(reference).alias("r"), F.col(hypothesis).alias("h")), "r", "h")
     out = []
     for v in VARIANTS:
-        for unit, edit in (("char", char_edit), ("word", word_edit)):
-            errors, length = edit(reference, hypothesis, v)
+        ref, hyp = F.col(f"ref.{v}"), F.col(f"hyp.{v}")
+        for unit, (errors, length) in (("char", (F.levenshtein(ref, hyp), F.length(ref))), ("word", word_edit(ref, hyp))):
             out += [errors.alias(f"{unit}_err_{v}"), length.alias(f"{unit}_len_{v}")]
-    exact = VARIANTS["exact"]
-    return [*out, F.when(reference.isNotNull(), (exact(reference) == exact(hypothesis)).cast("int")).alias("exact_match")]
+    return forms.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], *out, (F.col("ref.exact") == F.col("hyp.exact")).cast("int").alias("exact_match"))
 
 
 def rate(errors: Column, lengths: Column) -> Column:

@@ -21,20 +21,24 @@ def accent_table() -> tuple[str, str]:
     return letters, bases
 
 
+#: A character of which a composed text may hold another form; Latin letters up to U+02FF and of U+1E00 are as they stay.
+_MAYBE_LOOSE = r"[^\x{0}-\x{2FF}\x{1E00}-\x{1EFF}]"
+
+
 def nfc(text: Column) -> Column:
-    """Composed form; Spark has no built-in, so this is Arrow-batched Python and is kept off plans that don't need it."""
+    """Composed form. Spark has no built-in, so texts that may not be composed go to Arrow-batched Python, and only those."""
 
     @F.pandas_udf("string")
     def compose(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield batch.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))
+            yield batch.map(lambda t: t if t is None else unicodedata.normalize("NFC", t))
 
-    return compose(text)
+    return F.coalesce(compose(F.when(text.rlike(_MAYBE_LOOSE), text)), text)
 
 
 def norm(text: Column) -> Column:
-    """Single blanks, none at either end, '' for null. Text is taken as composed; apply ``nfc`` first where it may not be."""
-    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", " "))
+    """Composed, with single blanks, none at either end, '' for null."""
+    return F.trim(F.regexp_replace(nfc(F.coalesce(text, F.lit(""))), r"(?U)\s+", " "))
 
 
 def strip_diacritics(text: Column) -> Column:
@@ -81,7 +85,8 @@ def whole_forms(text: Column) -> Column:
     return forms(text)
 
 
-VARIANTS = {"exact": norm, "nocase": lambda c: F.lower(norm(c)), "nodiac": lambda c: F.lower(strip_diacritics(norm(c)))}
+#: The forms in which texts are compared: as they are, without case, and without case and marks.
+VARIANTS = ("exact", "nocase", "nodiac")
 
 
 def keyword_pattern(words: list[str]) -> str:

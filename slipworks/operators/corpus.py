@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from slipworks.functions.text import dedup_key, nfc
+from slipworks.functions.text import dedup_key
 from slipworks.functions.values import hamming, parse_date, parse_time, parse_vnd
 from slipworks.session import Workspace
 
@@ -117,7 +117,7 @@ GENERIC_SELLER = ["tên đại lý"]
 def seller_keys(rows: DataFrame) -> DataFrame:
     """(image_id, name, address, any_name) of a manifest: keys of the seller of at least 6 letters and of the address of at
     least 12, null where there is none, and the seller's of any length."""
-    key = lambda c, least: F.nullif(dedup_key(nfc(F.col(f"gt.{c}")), least, GENERIC_SELLER), F.lit(""))
+    key = lambda c, least: F.nullif(dedup_key(F.col(f"gt.{c}"), least, GENERIC_SELLER), F.lit(""))
     return rows.where("image_id is not null").select("image_id", key("merchant_name", 6).alias("name"), key("merchant_address", 12).alias("address"), key("merchant_name", 1).alias("any_name"))
 
 

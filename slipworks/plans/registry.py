@@ -56,7 +56,28 @@ def _lines(spark: SparkSession, folder: str) -> DataFrame:
 # Text
 
 
-@query(f"WITH {_LINES} SELECT line_id, trim(regexp_replace(coalesce(text, ''), '{_BLANKS}', ' ', 'g')) AS norm FROM lines")
+def _sql_norm(column: str) -> str:
+    return f"trim(regexp_replace(nfc_normalize(coalesce({column}, '')), '{_BLANKS}', ' ', 'g'))"
+
+
+def _sql_key(column: str, least: int, generic: list[str]) -> str:
+    """SQL of ``text.dedup_key``."""
+    key = f"trim(regexp_replace(lower({_sql_norm(column)}), '[^\\p{{L}}\\p{{M}}\\p{{N}}\\p{{Pc}} ]', '', 'g'))"
+    return f"CASE WHEN length({key}) >= {least} AND {' AND '.join(f"NOT contains({key}, '{g}')" for g in generic)} THEN {key} END"
+
+
+def _sql_edit(a: str, b: str) -> str:
+    """SQL of the edit distance of two lists: each distinct element becomes a letter of one byte, which DuckDB counts."""
+    kinds = f"list_distinct(list_concat({a}, {b}))"
+    coded = lambda x: f"array_to_string(list_transform({x}, lambda e: chr(33 + list_position({kinds}, e)::INT)), '')"
+    return f"levenshtein({coded(a)}, {coded(b)})"
+
+
+def _sql_chars(column: str) -> str:
+    return f"list_transform(range(1, length({column}) + 1), lambda i: substr({column}, i, 1))"
+
+
+@query(f"WITH {_LINES} SELECT line_id, {_sql_norm('text')} AS norm FROM lines")
 def norm_text(spark: SparkSession, folder: str) -> DataFrame:
     return _lines(spark, folder).select("line_id", text.norm(F.col("text")).alias("norm"))
 
@@ -72,9 +93,7 @@ def keyword_lines(spark: SparkSession, folder: str) -> DataFrame:
     return _lines(spark, folder).groupBy("engine", has.alias("has_total")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""
-    WITH k AS (SELECT image_id, trim(regexp_replace(lower(trim(regexp_replace(coalesce(any_value(gt).merchant_name, ''), '{_BLANKS}', ' ', 'g'))), '[^\\p{{L}}\\p{{M}}\\p{{N}}_ ]', '', 'g')) AS k FROM ocr_manifest GROUP BY image_id)
-    SELECT image_id, CASE WHEN length(k) >= 6 AND {' AND '.join(f"NOT contains(k, '{g}')" for g in GENERIC)} THEN k END AS merchant_key FROM k""")
+@query(f"WITH k AS (SELECT image_id, any_value(gt).merchant_name AS name FROM ocr_manifest GROUP BY image_id) SELECT image_id, {_sql_key('name', 6, GENERIC)} AS merchant_key FROM k")
 def merchant_keys(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "ocr_manifest").dropDuplicates(["image_id"])
     return rows.select("image_id", text.dedup_key(F.col("gt.merchant_name"), 6, GENERIC).alias("merchant_key"))
@@ -85,10 +104,17 @@ def letter_counts(spark: SparkSession, folder: str) -> DataFrame:
     return _lines(spark, folder).where("text is not null").select("line_id", text.letters(F.col("text")).alias("letters"), text.capitals(F.col("text")).alias("capitals"), F.length("text").alias("chars"))
 
 
-@query("WITH d AS (SELECT correction_id, old_text, unnest(range(1, length(old_text) + 1)) AS i FROM label_corrections) SELECT substr(old_text, i, 1) AS char, count(*) AS n, count(DISTINCT correction_id) AS corrections FROM d GROUP BY 1")
+@query(f"""
+    WITH {_LINES}, t AS (SELECT 'l' || line_id AS k, text AS t FROM lines UNION ALL SELECT DISTINCT 'o' || correction_id, old_text FROM label_corrections UNION ALL SELECT DISTINCT 'n' || correction_id, new_text FROM label_corrections),
+    d AS (SELECT k, t, unnest(range(1, length(t) + 1)) AS i FROM t WHERE t IS NOT NULL) SELECT substr(t, i, 1) AS char, count(*) AS n, count(DISTINCT k) AS texts FROM d GROUP BY 1""")
 def charset(spark: SparkSession, folder: str) -> DataFrame:
-    each = table(spark, folder, "label_corrections").select("correction_id", F.explode(text.characters(F.col("old_text"))).alias("char"))
-    return each.groupBy("char").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("correction_id").alias("corrections"))
+    """Every character of all lines and of both texts of all corrections."""
+    lines = _lines(spark, folder).select(F.concat(F.lit("l"), "line_id").alias("k"), F.col("text").alias("t"))
+    fixes = table(spark, folder, "label_corrections").dropDuplicates(["correction_id"])
+    texts = lines.union(fixes.select(F.concat(F.lit("o"), "correction_id"), "old_text")).union(fixes.select(F.concat(F.lit("n"), "correction_id"), "new_text"))
+    each = texts.select(F.explode(text.characters(F.col("t"))).alias("char"), F.col("k"))
+    per_text = each.groupBy("k", "char").agg(F.count(F.lit(1)).alias("n"))
+    return per_text.groupBy("char").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("texts"))
 
 
 @query("SELECT doc_id, sha256(text) AS digest FROM documents WHERE text IS NOT NULL")
@@ -150,59 +176,41 @@ def warmup_schedule(spark: SparkSession, folder: str) -> DataFrame:
 # Edit counts and slices
 
 
-def _corrected(spark: SparkSession, folder: str) -> DataFrame:
-    ascii_only = lambda c: F.regexp_replace(text.fold(text.norm(c)), "[^ -~]", "")
-    rows = table(spark, folder, "label_corrections").dropDuplicates(["correction_id"]).where("new_text is not null")
-    return rows.select("correction_id", "action", "evidence", ascii_only(F.col("new_text")).alias("ref"), ascii_only(F.col("old_text")).alias("hyp"))
+_FORMS = f"""
+    c AS (SELECT correction_id, any_value(action) AS action, any_value(evidence) AS evidence, {_sql_norm('any_value(new_text)')} AS r, {_sql_norm('any_value(old_text)')} AS h, any_value(new_text) IS NULL AS none FROM label_corrections GROUP BY correction_id),
+    v AS (SELECT *, 'exact' AS variant, r AS ref, h AS hyp FROM c UNION ALL SELECT *, 'nocase', lower(r), lower(h) FROM c
+    UNION ALL SELECT *, 'nodiac', lower({_sql_fold('r')}), lower({_sql_fold('h')}) FROM c),
+    words AS (SELECT *, list_filter(string_split(ref, ' '), lambda w: w <> '') AS rw, list_filter(string_split(hyp, ' '), lambda w: w <> '') AS hw, {_sql_chars('ref')} AS rc, {_sql_chars('hyp')} AS hc FROM v),
+    e AS (SELECT correction_id, action, evidence, none, variant, ref, hyp, {_sql_edit('rc', 'hc')} AS errors, length(ref) AS ref_len, {_sql_edit('rw', 'hw')} AS word_errors, len(rw) AS words FROM words)"""
 
 
-_CORRECTED = f"""
-    c AS (SELECT correction_id, any_value(action) AS action, any_value(evidence) AS evidence, any_value(new_text) AS new_text, any_value(old_text) AS old_text FROM label_corrections GROUP BY correction_id),
-    e AS (SELECT correction_id, action, evidence, regexp_replace({_sql_fold(f"trim(regexp_replace(coalesce(new_text, ''), '{_BLANKS}', ' ', 'g'))")}, '[^ -~]', '', 'g') AS ref,
-    regexp_replace({_sql_fold(f"trim(regexp_replace(coalesce(old_text, ''), '{_BLANKS}', ' ', 'g'))")}, '[^ -~]', '', 'g') AS hyp FROM c WHERE new_text IS NOT NULL)"""
+def _edits(spark: SparkSession, folder: str) -> DataFrame:
+    """A row for each correction with a new text and each variant: errors and length in code points of the whole texts."""
+    rows = table(spark, folder, "label_corrections").dropDuplicates(["correction_id"]).where("new_text is not null")
+    forms = edit.with_forms(rows, "new_text", "old_text")
+    each = F.explode(F.array(*[F.struct(F.lit(v).alias("variant"), F.levenshtein(f"ref.{v}", f"hyp.{v}").alias("errors"), F.length(f"ref.{v}").alias("ref_len")) for v in text.VARIANTS]))
+    return forms.select("correction_id", "action", "evidence", each.alias("e")).select("correction_id", "action", "evidence", "e.*")
 
 
-@query(f"WITH {_CORRECTED} SELECT correction_id, levenshtein(trim(regexp_replace(ref, ' +', ' ', 'g')), trim(regexp_replace(hyp, ' +', ' ', 'g'))) AS errors, length(trim(regexp_replace(ref, ' +', ' ', 'g'))) AS ref_len FROM e")
+@query(f"WITH {_FORMS} SELECT correction_id, variant, errors, ref_len FROM e WHERE NOT none")
 def char_edits(spark: SparkSession, folder: str) -> DataFrame:
-    """Of the part of the texts that DuckDB's distance by bytes can state; ``char_edits_whole`` has the whole texts."""
-    errors, length = edit.char_edit(F.col("ref"), F.col("hyp"))
-    return _corrected(spark, folder).select("correction_id", errors.alias("errors"), length.alias("ref_len"))
+    return _edits(spark, folder).select("correction_id", "variant", "errors", "ref_len")
 
 
-@query()
-def pair_scores(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "label_corrections").dropDuplicates(["correction_id"])
-    return rows.select("correction_id", *edit.score_pair(F.col("new_text"), F.col("old_text")))
+_SCORES = ", ".join(f"max({c}) FILTER (variant = '{v}') AS {n}_{v}" for v in text.VARIANTS for c, n in (("errors", "char_err"), ("ref_len", "char_len"), ("word_errors", "word_err"), ("words", "word_len")))
 
 
-@query(f"""
-    WITH {_CORRECTED}, s AS (SELECT *, levenshtein(trim(regexp_replace(ref, ' +', ' ', 'g')), trim(regexp_replace(hyp, ' +', ' ', 'g'))) AS er, length(trim(regexp_replace(ref, ' +', ' ', 'g'))) AS n FROM e)
-    SELECT action, evidence, grouping(action, evidence) AS level, count(*) AS pairs, round(sum(er) / nullif(sum(n), 0), 6) AS rate, round(avg(cast(er = 0 AS INT)), 6) AS exact FROM s
-    GROUP BY GROUPING SETS ((action, evidence), (action), ())""")
-def corpus_rates(spark: SparkSession, folder: str) -> DataFrame:
-    """Of the part of the texts that DuckDB's distance by bytes can state; ``corpus_rates_whole`` has the whole texts."""
-    errors, length = edit.char_edit(F.col("ref"), F.col("hyp"))
-    rows = _corrected(spark, folder).select("action", "evidence", errors.alias("er"), length.alias("n"))
-    out = rows.groupingSets([["action", "evidence"], ["action"], []], "action", "evidence").agg(F.grouping_id().cast("bigint").alias("level"), F.count(F.lit(1)).alias("pairs"), F.round(edit.rate(F.col("er"), F.col("n")), 6).alias("rate"), F.round(F.avg((F.col("er") == 0).cast("int")), 6).alias("exact"))
-    return out.select("action", "evidence", "level", "pairs", "rate", "exact")
-
-
-def _whole_edits(spark: SparkSession, folder: str) -> DataFrame:
-    """A row for each correction and variant, with errors and length in code points of the whole texts."""
+@query(f"WITH {_FORMS} SELECT correction_id, {_SCORES}, max(cast(ref = hyp AS INT)) FILTER (variant = 'exact') AS exact_match FROM e WHERE NOT none GROUP BY 1")
+def pair_scores(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "label_corrections").dropDuplicates(["correction_id"]).where("new_text is not null")
-    forms = rows.select("correction_id", "action", "evidence", text.whole_forms(F.col("new_text")).alias("ref"), text.whole_forms(F.col("old_text")).alias("hyp"))
-    each = F.explode(F.array(*[F.struct(F.lit(v).alias("variant"), F.levenshtein(f"ref.{v}", f"hyp.{v}").alias("errors"), F.length(f"ref.{v}").alias("ref_len")) for v in text.VARIANTS]))
-    return forms.select("correction_id", "action", "evidence", each.alias("e")).select("correction_id", "action", "evidence", "e.*")
+    return edit.score_pairs(rows, "new_text", "old_text", ["correction_id"])
 
 
-@query()
-def char_edits_whole(spark: SparkSession, folder: str) -> DataFrame:
-    return _whole_edits(spark, folder).select("correction_id", "variant", "errors", "ref_len")
-
-
-@query()
-def corpus_rates_whole(spark: SparkSession, folder: str) -> DataFrame:
-    slices = _whole_edits(spark, folder).groupingSets([["variant", "action", "evidence"], ["variant", "action"], ["variant"]], "variant", "action", "evidence")
+@query(f"""
+    WITH {_FORMS} SELECT variant, action, evidence, grouping(variant, action, evidence) AS level, count(*) AS pairs, round(sum(errors) / nullif(sum(ref_len), 0), 6) AS rate, round(avg(cast(errors = 0 AS INT)), 6) AS exact FROM e WHERE NOT none
+    GROUP BY GROUPING SETS ((variant, action, evidence), (variant, action), (variant))""")
+def corpus_rates(spark: SparkSession, folder: str) -> DataFrame:
+    slices = _edits(spark, folder).groupingSets([["variant", "action", "evidence"], ["variant", "action"], ["variant"]], "variant", "action", "evidence")
     out = slices.agg(F.grouping_id().cast("bigint").alias("level"), F.count(F.lit(1)).alias("pairs"), F.round(edit.rate(F.col("errors"), F.col("ref_len")), 6).alias("rate"), F.round(F.avg((F.col("errors") == 0).cast("int")), 6).alias("exact"))
     return out.select("variant", "action", "evidence", "level", "pairs", "rate", "exact")
 
@@ -316,11 +324,15 @@ def near_hashes(spark: SparkSession, folder: str) -> DataFrame:
     return corpus.near_hashes(table(spark, folder, "ocr_manifest"), "image_hash")
 
 
-@query("""
-    WITH r AS (SELECT DISTINCT image_id, gt.transaction_date AS d, gt.transaction_time AS t, gt.total AS s FROM ocr_manifest WHERE gt.transaction_date IS NOT NULL AND gt.transaction_time IS NOT NULL AND gt.total IS NOT NULL),
-    f AS (SELECT d, t, s, min(image_id) AS first FROM r GROUP BY ALL) SELECT DISTINCT image_id AS record, first FROM r JOIN f USING (d, t, s) WHERE image_id <> first""")
+@query(f"""
+    WITH r AS (SELECT DISTINCT image_id, nullif(gt.transaction_date, '') AS d, nullif(gt.transaction_time, '') AS t, nullif(gt.total, 0) AS s, coalesce(nullif({_sql_key('gt.merchant_name', 1, corpus.GENERIC_SELLER)}, ''), '') AS m FROM ocr_manifest),
+    f AS (SELECT d, t, s, m, min(image_id) AS first FROM r WHERE d IS NOT NULL AND t IS NOT NULL AND s IS NOT NULL GROUP BY ALL) SELECT DISTINCT image_id AS record, first FROM r JOIN f USING (d, t, s, m) WHERE image_id <> first""")
 def same_receipts(spark: SparkSession, folder: str) -> DataFrame:
-    return corpus.same_receipt_links(table(spark, folder, "ocr_manifest"), [F.col("gt.transaction_date"), F.col("gt.transaction_time"), F.col("gt.total")], "image_id")
+    """Photographs of one sale: with the same date, time, total and seller, none of the first three missing."""
+    pages = table(spark, folder, "ocr_manifest")
+    of = corpus.seller_keys(pages).select("image_id", "any_name").distinct()
+    sale = pages.select(F.col("image_id").alias("i"), F.nullif("gt.transaction_date", F.lit("")).alias("day"), F.nullif("gt.transaction_time", F.lit("")).alias("clock"), F.nullif("gt.total", F.lit(0)).alias("total")).distinct()
+    return corpus.same_receipt_links(sale.join(of, F.col("i") == F.col("image_id")), [F.col("day"), F.col("clock"), F.col("total"), F.coalesce("any_name", F.lit(""))], "image_id")
 
 
 @query()
@@ -599,14 +611,14 @@ def jsonl_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     return files.read_jsonl(spark, path, rows.schema)
 
 
-@query("SELECT doc_id, i AS place, string_split(replace(text, '|', '/'), chr(10))[i] AS line FROM (SELECT doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents WHERE layout = 'page' AND text IS NOT NULL AND NOT contains(text, chr(13)) AND NOT contains(text, chr(92)))")
+@query("SELECT doc_id, i AS place, string_split(replace(text, chr(10), '|||'), '|||')[i] AS line FROM (SELECT doc_id, text, unnest(range(1, len(string_split(replace(text, chr(10), '|||'), '|||')) + 1)) AS i FROM documents WHERE layout = 'page' AND text IS NOT NULL)")
 def csv_lists(spark: SparkSession, folder: str) -> DataFrame:
-    """Lines of pages are packed into one CSV field with ||| between them, and unpacked again."""
-    pages = table(spark, folder, "documents").where(r"layout = 'page' and text is not null and not contains(text, '\r') and not contains(text, '\\')")
-    packed = pages.select("doc_id", F.concat(F.lit("<"), F.replace(F.replace(F.col("text"), F.lit("|"), F.lit("/")), F.lit("\n"), F.lit("|||")), F.lit(">")).alias("packed"))
+    """Lines of pages are packed into one CSV field with ||| between them, written, read and unpacked again."""
+    pages = table(spark, folder, "documents").where("layout = 'page' and text is not null")
+    packed = pages.select("doc_id", F.replace(F.col("text"), F.lit("\n"), F.lit("|||")).alias("packed"))
     path = _shared(spark, "csv")
     files.write_csv(packed, path)
-    back = files.read_csv(spark, path, packed.schema).select("doc_id", F.expr("substring(packed, 2, length(packed) - 2)").alias("packed"))
+    back = files.read_csv(spark, path, packed.schema)
     return back.select("doc_id", F.posexplode(files.split_lists(F.col("packed"))).alias("p", "line")).select("doc_id", (F.col("p") + 1).cast("bigint").alias("place"), "line")
 
 

@@ -24,12 +24,20 @@ def write_jsonl(df: DataFrame, path: str) -> None:
     guarded.write.mode("errorifexists").option("ignoreNullFields", "false").json(path)
 
 
+# How CSV is written here. Blanks at the ends and empty texts stay as they are, a null is an empty field.
+CSV = {"header": "true", "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "emptyValue": '""', "nullValue": ""}
+
+
 def read_csv(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    return spark.read.schema(schema).option("header", "true").option("multiLine", "true").option("quote", '"').option("escape", '"').option("mode", "FAILFAST").csv(path)
+    """Rows of CSV with a header; fields may hold line ends and quotes. A row that doesn't fit the schema fails the read."""
+    return spark.read.schema(schema).options(**CSV | {"emptyValue": ""}).option("multiLine", "true").option("mode", "FAILFAST").csv(path)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("errorifexists").option("header", "true").option("quote", '"').option("escape", '"').csv(path)
+    """Refuses an existing path. A carriage return would come back as a line feed, so a text with one is refused."""
+    texts = [c for c, kind in df.dtypes if kind == "string"]
+    checked = df.select(*[F.when(F.contains(F.col(c), F.lit("\r")), F.raise_error(F.lit("a carriage return, which CSV can't keep"))).otherwise(F.col(c)).alias(c) if c in texts else F.col(c) for c in df.columns])
+    checked.write.mode("errorifexists").options(**CSV).csv(path)
 
 
 def split_lists(packed: Column, mark: str = "|||") -> Column:

@@ -60,7 +60,7 @@ def _distance(a, b):
 def test_edits_equal_dynamic_programming(spark):
     texts = ["tong tien 100", "tong tien 1000", "", "a b c d", "d c b a", "Tổng", "tổng  cộng", None, "x " * 50]
     pairs = list(itertools.product(texts, texts))
-    rows = spark.createDataFrame([(i, r, h) for i, (r, h) in enumerate(pairs)], "i int, r string, h string").select("i", *edit.score_pair(F.col("r"), F.col("h"))).orderBy("i").collect()
+    rows = edit.score_pairs(spark.createDataFrame([(i, r, h) for i, (r, h) in enumerate(pairs)], "i int, r string, h string"), "r", "h", ["i"]).orderBy("i").collect()
     plain = lambda t: " ".join((t or "").split())
     for (r, h), got in zip(pairs, rows):
         if r is None:
@@ -137,8 +137,8 @@ def test_whole_texts_count_in_every_variant(spark, tmp_path):
     norm = lambda t: " ".join(unicodedata.normalize("NFC", t or "").split())
     forms = {"exact": norm, "nocase": lambda t: norm(t).casefold(), "nodiac": lambda t: plain(norm(t)).casefold()}
     expected = {(i, v): (_distance(f(r), f(h)), len(f(r))) for v, f in forms.items() for i, (r, h) in enumerate(pairs)}
-    assert {(r.correction_id, r.variant): (r.errors, r.ref_len) for r in registry.char_edits_whole(spark, str(tmp_path)).collect()} == expected
-    rates = {r.variant: (r.pairs, r.rate) for r in registry.corpus_rates_whole(spark, str(tmp_path)).collect() if r.action is None}
+    assert {(r.correction_id, r.variant): (r.errors, r.ref_len) for r in registry.char_edits(spark, str(tmp_path)).collect()} == expected
+    rates = {r.variant: (r.pairs, r.rate) for r in registry.corpus_rates(spark, str(tmp_path)).collect() if r.action is None}
     for v in forms:
         errors, length = (sum(e[k] for (_, u), e in expected.items() if u == v) for k in (0, 1))
         assert rates[v] == (len(pairs), pytest.approx(errors / length, abs=1e-6))
