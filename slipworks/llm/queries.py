@@ -98,7 +98,7 @@ def p4_invariants(spark: SparkSession, folder: str) -> DataFrame:
     targets = splits.split_shares(table(spark, folder, "split_targets"))
     of = [F.abs(F.sum((F.col("split") == s).cast("int")) - F.count(F.lit(1)) * w) <= F.greatest(F.count(F.lit(1)) * 0.02, F.sqrt(F.count(F.lit(1)))) for s, w in targets.items()]
     sizes = out.agg(F.count(F.lit(1)).alias("photographs"), F.countDistinct("image_id").alias("distinct_ids"), reduce(lambda a, b: a & b, of).alias("near_shares"))
-    return sizes.join(kept)
+    return sizes.select("*", kept.select("groups").scalar().alias("groups"), kept.select("torn").scalar().alias("torn"))
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
