@@ -50,10 +50,10 @@ def word_edit(reference: Column, hypothesis: Column) -> tuple[Column, Column]:
 
 
 def with_forms(df: DataFrame, reference: str, hypothesis: str) -> DataFrame:
-    """Adds ref and hyp, structs of the whole texts in each of ``VARIANTS``; a missing hypothesis counts as empty, a missing
+    """Adds _ref and _hyp, structs of the whole texts in each of ``VARIANTS``; a missing hypothesis counts as empty, a missing
     reference has null forms."""
-    out = df.withColumn("_r", whole_forms(F.col(reference))).withColumn("hyp", whole_forms(F.col(hypothesis)))
-    return out.withColumn("ref", F.when(F.col(reference).isNotNull(), F.col("_r"))).drop("_r")
+    out = df.withColumn("_r", whole_forms(F.col(reference))).withColumn("_hyp", whole_forms(F.col(hypothesis)))
+    return out.withColumn("_ref", F.when(F.col(reference).isNotNull(), F.col("_r"))).drop("_r")
 
 
 def score_pairs(df: DataFrame, reference: str, hypothesis: str, keep: list[str]) -> DataFrame:
@@ -62,10 +62,10 @@ def score_pairs(df: DataFrame, reference: str, hypothesis: str, keep: list[str])
     forms = with_forms(df.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(reference).alias("r"), F.col(hypothesis).alias("h")), "r", "h")
     out = []
     for v in VARIANTS:
-        ref, hyp = F.col(f"ref.{v}"), F.col(f"hyp.{v}")
+        ref, hyp = F.col(f"_ref.{v}"), F.col(f"_hyp.{v}")
         for unit, (errors, length) in (("char", (F.levenshtein(ref, hyp), F.length(ref))), ("word", word_edit(ref, hyp))):
             out += [errors.alias(f"{unit}_err_{v}"), length.alias(f"{unit}_len_{v}")]
-    return forms.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], *out, (F.col("ref.exact") == F.col("hyp.exact")).cast("int").alias("exact_match"))
+    return forms.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], *out, (F.col("_ref.exact") == F.col("_hyp.exact")).cast("int").alias("exact_match"))
 
 
 def rate(errors: Column, lengths: Column) -> Column:

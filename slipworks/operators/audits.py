@@ -45,12 +45,18 @@ def corrections_state(corrections: DataFrame, key: str) -> DataFrame:
     return joined.withColumn("state", state).drop("_k", "_n")
 
 
+#: Files of which one hash is made.
+MOST_FILES = 5_000_000
+
+
 def tree_hash(rows: DataFrame, path: str, digest: Column) -> DataFrame:
-    """(tree): one hash over all paths and contents in order of the paths; hashes of buckets are hashed again, so that no task
-    gathers all paths."""
-    lines = rows.select(F.col(path).alias("p"), F.concat_ws(":", F.col(path), digest).alias("line"))
-    buckets = lines.groupBy(F.substring(F.sha2("p", 256), 1, 3).alias("b")).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "line"))), lambda s: s["line"]), "\n"), 256).alias("h"))
-    return buckets.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "h"))), lambda s: s["h"]), "\n"), 256).alias("tree"))
+    """(tree): the hash of "path:digest" of all files, a line each, in order of their paths. The order makes it the work of one task,
+    so more files than ``MOST_FILES`` are an error; no files give a null."""
+    lines = rows.select(F.col(path).alias("p"), F.concat(F.col(path), F.lit(":"), digest, F.lit("\n")).alias("line"))
+    if lines.limit(MOST_FILES + 1).count() > MOST_FILES:
+        raise ValueError(f"more than {MOST_FILES} files")
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "line"))), lambda s: s["line"]), "")
+    return lines.agg(F.nullif(whole, F.lit("")).alias("w")).select(F.sha2("w", 256).alias("tree"))
 
 
 def violations(rows: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame:

@@ -122,7 +122,7 @@ def content_hash(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").where("text is not null").select("doc_id", F.sha2("text", 256).alias("digest"))
 
 
-@query()
+@query("SELECT sha256(string_agg(doc_id || ':' || sha256(coalesce(text, '')) || chr(10), '' ORDER BY cast(doc_id AS VARCHAR))) AS tree FROM documents")
 def tree_hash(spark: SparkSession, folder: str) -> DataFrame:
     return audits.tree_hash(table(spark, folder, "documents").select(F.col("doc_id").cast("string").alias("path"), "text"), "path", F.sha2(F.coalesce("text", F.lit("")), 256))
 
@@ -188,7 +188,7 @@ def _edits(spark: SparkSession, folder: str) -> DataFrame:
     """A row for each correction with a new text and each variant: errors and length in code points of the whole texts."""
     rows = table(spark, folder, "label_corrections").dropDuplicates(["correction_id"]).where("new_text is not null")
     forms = edit.with_forms(rows, "new_text", "old_text")
-    each = F.explode(F.array(*[F.struct(F.lit(v).alias("variant"), F.levenshtein(f"ref.{v}", f"hyp.{v}").alias("errors"), F.length(f"ref.{v}").alias("ref_len")) for v in text.VARIANTS]))
+    each = F.explode(F.array(*[F.struct(F.lit(v).alias("variant"), F.levenshtein(f"_ref.{v}", f"_hyp.{v}").alias("errors"), F.length(f"_ref.{v}").alias("ref_len")) for v in text.VARIANTS]))
     return forms.select("correction_id", "action", "evidence", each.alias("e")).select("correction_id", "action", "evidence", "e.*")
 
 
@@ -667,8 +667,12 @@ def flagship(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    from slipworks.plans import reports  # adds its own
+
+    return dict(reports._QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    from slipworks.plans import reports
+
+    return dict(reports._SQL)
