@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -78,6 +80,18 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
+def segment_keys(code: Column, kind: str, bounds: tuple[int, ...], agree: int) -> list[Column]:
+    """A key for each choice of ``agree`` of the segments of 64 bits between ``bounds``, of the kind, the choice and its bits. Two
+    codes that differ in no more bits than there are segments besides ``agree`` share a key."""
+    masks = [((1 << b - a) - 1) << a for a, b in zip(bounds, bounds[1:])]
+    signed = lambda m: m - (1 << 64) if m >> 63 else m
+    return [F.xxhash64(F.lit(f"{kind}{n}"), code.bitwiseAND(F.lit(signed(sum(c))))) for n, c in enumerate(itertools.combinations(masks, agree))]
+
+
+#: Five segments, of which two agree for codes within 3 bits: keys of 25 bits or more.
+FIVE = (0, 13, 26, 39, 52, 64)
+
+
 def warmup_cosine(step: Column, total: int, warmup: float, least: float) -> Column:
     """Factor of the learning rate: linear up to ``warmup`` of all steps, then half a cosine down to ``least``."""
     rise = max(1, round(total * warmup))

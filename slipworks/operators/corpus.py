@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slipworks.functions.text import dedup_key
-from slipworks.functions.values import hamming, parse_date, parse_time, parse_vnd
+from slipworks.functions.values import FIVE, hamming, parse_date, parse_time, parse_vnd, segment_keys
 from slipworks.session import Workspace
 
 #: Groups that a seeded choice on the driver may have.
@@ -26,15 +26,13 @@ BLOCK = 8192
 def near_hashes(hashes: DataFrame, column: str, radius: int = 3) -> DataFrame:
     """(hash_a, hash_b, distance): distinct 64-bit hashes within ``radius`` (at most 3), the smaller first.
 
-    Hashes within 3 bits agree in one of four blocks of 16 bits, so blocks are joined. Copies of a hash are one hash here; the
-    membership stays with the table.
+    Hashes within 3 bits agree in two of five segments, so these pairs of segments are joined. Copies of a hash are one hash
+    here; the membership stays with the table.
     """
     if not 0 <= radius <= 3:
-        raise ValueError("four blocks find hashes within 3 bits")
-    distinct = hashes.select(F.col(column).alias("h")).where("h is not null").distinct()
-    blocks = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.shiftrightunsigned("h", 16 * k).bitwiseAND(0xFFFF).alias("b")) for k in range(4)])).alias("s")
-    keyed = distinct.select("h", blocks).select("h", "s.k", "s.b")
-    pairs = keyed.select("k", "b", F.col("h").alias("hash_a")).join(keyed.select("k", "b", F.col("h").alias("hash_b")), ["k", "b"])
+        raise ValueError("two of five segments find hashes within 3 bits")
+    keyed = hashes.select(F.col(column).alias("h")).where("h is not null").distinct().select("h", F.explode(F.array(*segment_keys(F.col("h"), "", FIVE, 2))).alias("key"))
+    pairs = keyed.select("key", F.col("h").alias("hash_a")).join(keyed.select("key", F.col("h").alias("hash_b")), "key")
     return pairs.where("hash_a < hash_b").select("hash_a", "hash_b", hamming(F.col("hash_a"), F.col("hash_b")).alias("distance")).where(F.col("distance") <= radius).distinct()
 
 

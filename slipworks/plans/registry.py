@@ -638,9 +638,11 @@ def model_stub(spark: SparkSession, folder: str) -> DataFrame:
     return files.infer(_lines(spark, folder).select("line_id", F.coalesce("text", F.lit("")).alias("text")), lambda rows: rows.assign(score=rows["text"].str.len() / 100.0)[["line_id", "score"]], "line_id long, score double", order="line_id")
 
 
-@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 3) AS total FROM events WHERE ts IS NOT NULL GROUP BY ALL")
+@query("""
+    WITH w AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 3) AS total FROM events WHERE ts IS NOT NULL GROUP BY ALL)
+    SELECT w.* FROM w, (SELECT max(ts) - INTERVAL 1 DAY AS mark FROM events) WHERE start + INTERVAL 1 HOUR <= mark""")
 def stream_windows(spark: SparkSession, folder: str) -> DataFrame:
-    """An extension: all that a file source holds, through a streaming query with a watermark."""
+    """An extension: all that a file source holds, through a streaming query with a watermark of a day, as far as it is closed."""
     return windows.drain(spark, f"{folder}/events.parquet", "windows").select("start", "event_type", "n", F.round("total", 3).alias("total"))
 
 

@@ -16,12 +16,18 @@ def windowed(events: DataFrame, width: str = "1 hour", late: str = "1 day") -> D
     return timed.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
 
-def drain(spark: SparkSession, source: str, name: str) -> DataFrame:
-    """Runs all that a file source holds now through the windows and returns the table that the stream has made."""
+def drain(spark: SparkSession, source: str, name: str, files_at_once: int = 1000, late: str = "1 day") -> DataFrame:
+    """Runs all that a file source holds now through the windows and returns the table that the stream has made.
+
+    Windows are appended to a table in the shared folder once the watermark has passed their end, so those of the last
+    ``late`` before the newest event are still open and not in it, and events that come later than that are left out. State is
+    kept for open windows only.
+    """
     schema = spark.read.parquet(source).schema
     folder, _, file = source.rpartition("/")
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", file).parquet(folder)
-    table = f"{name}_{uuid.uuid4().hex[:8]}"
-    query = windowed(stream).writeStream.outputMode("complete").format("memory").queryName(table).option("checkpointLocation", f"{shared_folder(spark)}/{table}").trigger(availableNow=True).start()
+    at = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", file).option("maxFilesPerTrigger", files_at_once).parquet(folder)
+    windows = windowed(stream, late=late)
+    query = windows.writeStream.outputMode("append").format("parquet").option("path", f"{at}/windows").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(table)
+    return spark.read.schema(windows.schema).parquet(f"{at}/windows")

@@ -406,3 +406,20 @@ def test_a_second_run_parses_nothing(spark, data):
     entries = spark.read.parquet(path).count()
     assert {tuple(r) for r in registry.p7_found(spark, data).collect()} == first and first
     assert spark.read.parquet(path).count() == entries
+
+
+def test_a_stream_closes_windows_and_leaves_out_what_is_too_late(spark, tmp_path):
+    from datetime import timedelta
+
+    from slipworks.streaming import windows
+
+    start = datetime(2024, 1, 1)
+    parts = [[(0, 1.0), (30, 2.0), (90, 1.0)], [(60 * 24 * 3, 1.0)], [(60 * 24 * 3 - 60, 7.0)], [(10, 5.0)], [(60 * 24 * 6, 1.0)]]
+    for k, rows in enumerate(parts):  # the third file is late but in time, the fourth belongs to a window that is closed
+        df = spark.createDataFrame([(start + timedelta(minutes=m), "a", v) for m, v in rows] + [(None, "a", 1.0)], "ts timestamp, event_type string, value double")
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "events"))
+        import time
+
+        time.sleep(1.1)  # files are taken in order of their times
+    got = {r.start: (r.n, r.total) for r in windows.drain(spark, str(tmp_path / "events") + "/*.parquet", "t", 1).collect()}
+    assert got == {start: (2, 3.0), start + timedelta(hours=1): (1, 1.0), start + timedelta(hours=71): (1, 7.0), start + timedelta(hours=72): (1, 1.0)}
