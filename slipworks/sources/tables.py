@@ -28,7 +28,7 @@ def spread(df: DataFrame) -> DataFrame:
     size that the plan estimates from its files, so nothing runs to find it out. The rows are the same either way.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(cores) if size < SMALL * cores else df
 
 
