@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import os
+import pickle
 import re
 import tempfile
 import uuid
 from collections import defaultdict
 
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql.types import StructType
 
@@ -52,6 +54,18 @@ def reachable(spark: SparkSession) -> None:
         environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
 
 
+#: Bytes of what goes to every task.
+MOST_SHARED = 512 << 20
+
+
+def to_tasks(spark: SparkSession, value: object) -> Broadcast:
+    """Sends a value to all tasks, if it isn't larger than ``MOST_SHARED`` as it is sent."""
+    size = len(pickle.dumps(value, protocol=pickle.HIGHEST_PROTOCOL))
+    if size > MOST_SHARED:
+        raise ValueError(f"{size} bytes are too many for every task, {MOST_SHARED} may be sent")
+    return spark.sparkContext.broadcast(value)
+
+
 class Workspace:
     """Intermediate tables in the shared folder, so that lineage is cut and a lost executor costs no recomputation.
 
