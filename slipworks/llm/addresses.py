@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from slipworks.llm.lookalike import shape_of
 from slipworks.llm.names import ratio
-from slipworks.session import Workspace
+from slipworks.session import Workspace, to_tasks
 from slipworks.sources.tables import spread
 
 #: Entries of a gazetteer that a task holds; a larger one is refused.
@@ -518,7 +518,7 @@ def places(addresses: DataFrame, column: str = "address", work: Workspace | None
     work = work or Workspace(addresses.sparkSession, "places")
     distinct, _ = work.write(addresses.where(F.col(column).isNotNull()).select(F.col(column).alias("address")).distinct(), "addresses")
     gazetteer, streets = build_gazetteer(distinct, "address", work)
-    shared = addresses.sparkSession.sparkContext.broadcast(gazetteer)
+    shared = to_tasks(addresses.sparkSession, gazetteer)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

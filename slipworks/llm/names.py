@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slipworks.llm.lookalike import shape_of
+from slipworks.session import to_tasks
 from slipworks.sources.tables import spread
 
 SHORTEST = 3
@@ -335,7 +336,7 @@ def with_learnt_trades(names: DataFrame, register: Register, name: str = "name")
     ``ALIAS_ENTITIES`` entities of that trade have it, and they are at least ``ALIAS_SHARE`` of all that do. Texts are counted on
     the cluster; what comes to the driver are the writings that hold, whose number is checked.
     """
-    shared = names.sparkSession.sparkContext.broadcast(register)
+    shared = to_tasks(names.sparkSession, register)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -357,7 +358,7 @@ def linked_names(names: DataFrame, register: Register, keep: tuple[str, ...], na
     as they come, repeats included; other columns than ``keep`` are ignored.
     """
     rows = names.where(F.col(name).isNotNull()).select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(name).alias("name"))
-    shared = names.sparkSession.sparkContext.broadcast(register)
+    shared = to_tasks(names.sparkSession, register)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -10,7 +10,6 @@ alike texts too, but their shingles differ where times and numbers stand.
 
 from __future__ import annotations
 
-import itertools
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -20,6 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from slipworks.functions.values import FIVE, segment_keys
 from slipworks.llm.lookalike import shape_of
 from slipworks.llm.names import ratio
 from slipworks.session import Workspace
@@ -151,16 +151,12 @@ def same_text(a: str, b: str) -> bool:
 
 #: Segments of 64 bits by kind of fingerprint, and how many of them agree within its radius: 3 wrong bits leave 2 of 5 right,
 #: 1 wrong bit leaves 1 of 2.
-SEGMENTS = {"i": ((0, 13, 26, 39, 52, 64), 2), "t": ((0, 13, 26, 39, 52, 64), 2), "w": ((0, 32, 64), 1)}
+SEGMENTS = {"i": (FIVE, 2), "t": (FIVE, 2), "w": ((0, 32, 64), 1)}
 RADIUS = {"i": IMAGE_RADIUS, "t": TEXT_RADIUS, "w": WINDOW_RADIUS}
 
 
 def _keys(code: Column, kind: str) -> list[Column]:
-    """A key for each choice of segments that may agree, of the kind, the choice and their bits."""
-    bounds, agree = SEGMENTS[kind]
-    masks = [((1 << b - a) - 1) << a for a, b in zip(bounds, bounds[1:])]
-    signed = lambda m: m - (1 << 64) if m >> 63 else m
-    return [F.xxhash64(F.lit(f"{kind}{n}"), code.bitwiseAND(F.lit(signed(sum(c))))) for n, c in enumerate(itertools.combinations(masks, agree))]
+    return segment_keys(code, kind, *SEGMENTS[kind])
 
 
 def photographs(lines: DataFrame, manifest: DataFrame, work: Workspace) -> DataFrame:
