@@ -5,20 +5,24 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+@lru_cache
 def accent_table() -> tuple[str, str]:
-    """Precomposed Latin letters and their base letters, from the Unicode data; đ and Đ have no decomposition."""
-    letters, bases = "đĐ", "dD"
-    for code in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]:
-        parts = unicodedata.normalize("NFD", chr(code))
-        if len(parts) > 1 and parts[0].isascii() and all(unicodedata.category(c) == "Mn" for c in parts[1:]):
-            letters, bases = letters + chr(code), bases + parts[0]
-    return letters, bases
+    """Characters that are a base and marks, of any script, and their bases, from the Unicode data; đ and Đ have no
+    decomposition."""
+    letters, bases = ["đ", "Đ"], ["d", "D"]
+    for code in (c for c in range(0xC0, 0x20000) if not 0xAC00 <= c < 0xE000):
+        base, *marks = unicodedata.normalize("NFD", chr(code))
+        if marks and all(unicodedata.category(c) == "Mn" for c in marks):
+            letters.append(chr(code))
+            bases.append(base)
+    return "".join(letters), "".join(bases)
 
 
 #: A character of which a composed text may hold another form; Latin letters up to U+02FF and of U+1E00 are as they stay.

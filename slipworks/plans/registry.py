@@ -39,8 +39,7 @@ def query(sql: str | None = None):
 
 
 def _sql_fold(column: str) -> str:
-    letters, bases = text.accent_table()
-    return f"lower(regexp_replace(translate(coalesce({column}, ''), '{letters}', '{bases}'), '\\p{{Mn}}', '', 'g'))"
+    return f"lower(translate(strip_accents(coalesce({column}, '')), 'đĐ', 'dD'))"
 
 
 _EDGE = "[^\\p{L}\\p{M}\\p{N}\\p{Pc}\\x{200c}\\x{200d}]"  # what Java's Unicode classes don't count as part of a word
