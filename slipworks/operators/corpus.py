@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from slipworks.functions.text import dedup_key
+from slipworks.functions.text import dedup_key, norm
 from slipworks.functions.values import FIVE, hamming, parse_date, parse_time, parse_vnd, segment_keys
 from slipworks.session import Workspace
 
@@ -162,6 +162,38 @@ def sample_weights(rows: DataFrame, group: str, most: float = 3.0) -> DataFrame:
     return joined.withColumn("sample_weight", F.round(F.least(1 / F.sqrt("_n") / mean, F.lit(most)), 4)).drop("_n", "_g")
 
 
+def with_flags(pages: DataFrame) -> DataFrame:
+    """Adds low_quality (under 0.5), complete (a seller, a date and a total are known) and the split after copies are dropped: a copy
+    outside train is ``dropped_dup``. A missing quality is not low."""
+    split = F.lower(F.trim("split"))
+    known = F.col("gt.merchant_name").isNotNull() & F.col("gt.transaction_date").isNotNull() & F.col("gt.total").isNotNull()
+    dropped = F.when(F.col("dup_of").isNotNull() & split.isin("val", "test", "test_seen"), "dropped_dup").otherwise(split)
+    return pages.withColumn("low_quality", F.coalesce(F.col("quality") < 0.5, F.lit(False))).withColumn("complete", F.coalesce(known, F.lit(False))).withColumn("split", dropped)
+
+
+def with_reference(rows: DataFrame, reference: DataFrame, columns: list[str], key: str = "image_id") -> DataFrame:
+    """The rows with ``columns`` as a reference set has them, so that two versions of a corpus are split alike. A row that the
+    reference hasn't got is an error; a reference with several rows of a key that differ is one too."""
+    of = reference.select(F.col(key).alias("_k"), *[F.col(c).alias(f"_{c}") for c in columns]).distinct()
+    twice = of.groupBy("_k").count().where("count > 1").limit(1).collect()
+    if twice:
+        raise ValueError(f"the reference says different things of {twice[0][0]}")
+    plain = rows.drop(*columns)
+    joined = plain.join(of, F.col(key) == F.col("_k"), "left")
+    known = F.when(F.col("_k").isNull(), F.raise_error(F.concat(F.lit("not in the reference: "), F.coalesce(F.col(key).cast("string"), F.lit("null"))))).otherwise(F.col(key))
+    return joined.select(known.alias(key), *[c for c in plain.columns if c != key], *[F.col(f"_{c}").alias(c) for c in columns])
+
+
+def crop_rejections(crops: DataFrame, pages: DataFrame, least_side: int = 8, longest: int = 100, widest: float = 60.0, narrowest: float = 0.3) -> DataFrame:
+    """Adds reason to crops (name, image_id, text, width, height): why a crop isn't used for training, null if it is: a repeated
+    name (the first by text stays), a page that was dropped, a copy, a text or a shape that is out of bounds."""
+    of = pages.select(F.col("image_id").alias("_i"), F.lower(F.trim("split")).alias("_split")).dropDuplicates(["_i"])
+    rows = crops.withColumn("_n", F.row_number().over(Window.partitionBy("name").orderBy("text", "image_id"))).join(of, F.col("image_id") == F.col("_i"), "left")
+    n, shape = F.length(norm(F.col("text"))), F.col("width") / F.greatest("height", F.lit(1))
+    reason = F.when(F.col("_n") > 1, "duplicate_line").when(F.col("_i").isNull(), "image_dropped").when(F.col("_split") == "dropped_dup", "dup_image").when((n == 0) | (n > longest), "bad_text_len").when((F.least("width", "height") < least_side) | (shape > widest) | (shape < narrowest), "bad_crop_shape")
+    return rows.withColumn("reason", reason).drop("_n", "_i", "_split")
+
+
 def width_batches(rows: DataFrame, key: str, width: str, height: str, size: int, work: Workspace | None = None) -> DataFrame:
     """Adds batch: rows in order of width over height (then key), ``size`` to a batch, numbered from 0.
 

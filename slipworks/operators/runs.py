@@ -50,3 +50,22 @@ def publish_run(crops: DataFrame, model: Callable[[pd.DataFrame], pd.DataFrame],
     at = spark._jvm.org.apache.hadoop.fs.Path(part)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
     return spark.read.parquet(path)
+
+
+def probed_both_ways(crops: DataFrame, model: Callable[[pd.DataFrame], pd.DataFrame], key: str = "sample_id") -> DataFrame:
+    """(key, image_id, upright, turned): the score of every crop as it is and turned by 180 degrees; null for a reading without text.
+    What ``corpus.orientation_votes`` decides by."""
+    turned = F.reverse(F.transform(F.split(F.hex("pixels"), "(?<=\\G.{2})"), lambda b: b))
+    both = crops.select(key, "image_id", "width", "height", F.explode(F.array(F.struct(F.lit("upright").alias("way"), F.col("pixels")), F.struct(F.lit("turned").alias("way"), F.unhex(F.array_join(turned, "")).alias("pixels")))).alias("x"))
+    named = both.select(F.struct(key, "image_id", "x.way").alias("probe"), "width", "height", F.col("x.pixels").alias("pixels"))
+    read = recognised(named.withColumn("probe", F.to_json("probe")), model, "probe")
+    of = read.select(F.from_json("probe", f"`{key}` {crops.schema[key].dataType.simpleString()}, image_id string, way string").alias("p"), F.when(F.trim("text") != "", F.col("rec_score")).alias("s"))
+    each = lambda way: F.max(F.when(F.col("p.way") == way, F.col("s"))).alias(way)
+    return of.groupBy(F.col(f"p.{key}").alias(key), F.col("p.image_id").alias("image_id")).agg(each("upright"), each("turned"))
+
+
+def replayed(stored: DataFrame, crops: DataFrame, note: dict, settings: dict, key: str = "sample_id") -> DataFrame:
+    """Probes of an earlier run, if it had the same settings and has one result for each crop; else an error."""
+    if note.get("settings_sha256") != provenance(settings, {})["settings_sha256"]:
+        raise ValueError("the stored run had other settings")
+    return exactly_once(stored, crops, key)

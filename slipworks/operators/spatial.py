@@ -27,15 +27,16 @@ def row_numbers(lines: Column, tolerance: float = 0.5) -> Column:
     return F.when(n > 0, F.aggregate(lines, start, add, lambda a: a["rows"])).otherwise(F.array().cast("array<int>"))
 
 
-def reading_order(lines: DataFrame) -> DataFrame:
+def reading_order(lines: DataFrame, homography: list[list[float]] | None = None) -> DataFrame:
     """(image_id, row, pos, idx, line_no, text, key, score, cx, x0, y0, x1, y1, height) of each line; key is the folded text;
     rows, places in them and the whole order count from 0. A row is in order of cx, then line_no.
 
     ``lines`` has image_id, line_no, text, rec_score and polygon. A null score is 0.5; lines without a polygon are left out,
-    lines that are the same in all of these count once. A page is one row of a table for a moment, so its lines must fit into
+    lines that are the same in all of these count once. With a ``homography`` rows are made, and places given, in the frame that it
+    takes places to, so that pages which were put straight are read as they lie then. A page is one row of a table for a moment, so its lines must fit into
     memory; pages are short. Rows of a page stay together, so steps by page that follow need no shuffle.
     """
-    p = F.col("polygon")
+    p = G.apply_homography(F.col("polygon"), homography) if homography else F.col("polygon")
     b = G.box(p)
     shaped = lines.where("polygon is not null and size(polygon) > 0").select("image_id", F.struct(G.mean(G.ys(p)).alias("cy"), F.col("line_no").alias("n"), G.mean(G.xs(p)).alias("cx"), (b["y1"] - b["y0"]).alias("h"), G.text_height(p).alias("height"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("rec_score", F.lit(0.5)).alias("score"), *[b[c].alias(c) for c in ("x0", "y0", "x1", "y1")]).alias("s"))
     pages = by_key(shaped, "image_id").groupBy("image_id").agg(F.array_sort(F.collect_set("s")).alias("lines"))

@@ -7,10 +7,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slipworks.operators import crops, evaluation, images, integrity, runs, scoring, spatial
+from slipworks.operators import corpus, crops, evaluation, images, integrity, runs, scoring, spatial
 from slipworks.plans.registry import _QUERIES, _REGIONS, _SQL, _extracted, _lines, _manifest, _shared, _sql_norm, query
 from slipworks.session import Workspace
-from slipworks.sources import documents
+from slipworks.sources import documents, files
 from slipworks.sources.tables import table
 
 __all__ = ["_QUERIES", "_SQL"]
@@ -335,3 +335,46 @@ def published_run(spark: SparkSession, folder: str) -> DataFrame:
     stored, _ = Workspace(spark, "crops").write(cut, "crops")
     model = lambda rows: rows.assign(text="w" + rows["width"].astype(str) + "h" + rows["height"].astype(str), rec_score=0.5)
     return runs.publish_run(stored, model, _shared(spark, "run"), {"model": "stand-in"}, {"images": "embeddings"})
+
+
+# Flags, rejections, lists
+
+
+@query("""
+    WITH m AS (SELECT image_id, any_value(quality) AS quality, any_value(gt) AS gt, any_value(dup_of) AS dup_of, lower(trim(any_value(split))) AS s FROM ocr_manifest GROUP BY image_id)
+    SELECT image_id, coalesce(quality < 0.5, false) AS low_quality, gt.merchant_name IS NOT NULL AND gt.transaction_date IS NOT NULL AND gt.total IS NOT NULL AS complete, CASE WHEN dup_of IS NOT NULL AND s IN ('val', 'test', 'test_seen') THEN 'dropped_dup' ELSE s END AS split FROM m""")
+def page_flags(spark: SparkSession, folder: str) -> DataFrame:
+    return corpus.with_flags(_manifest(spark, folder).drop("low_quality", "complete")).select("image_id", "low_quality", "complete", "split")
+
+
+@query(f"""
+    WITH {_CROPS}, r AS (SELECT *, length({_sql_norm('text')}) AS n, width / greatest(height, 1) AS shape FROM crops)
+    SELECT coalesce(CASE WHEN split = 'dropped_dup' THEN 'dup_image' WHEN n = 0 OR n > 100 THEN 'bad_text_len' WHEN least(width, height) < 24 OR shape > 60 OR shape < 0.3 THEN 'bad_crop_shape' END, 'kept') AS reason, count(*) AS n FROM r GROUP BY 1""")
+def crop_rejections(spark: SparkSession, folder: str) -> DataFrame:
+    rows = corpus.crop_rejections(_crops(spark, folder).withColumnRenamed("sample_id", "name"), _manifest(spark, folder), least_side=24)
+    return rows.groupBy(F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("WITH m AS (SELECT image_id, any_value(split) AS split, any_value(group_id) AS group_id FROM ocr_manifest GROUP BY image_id), r AS (SELECT DISTINCT image_id FROM receipts WHERE image_id IS NOT NULL) SELECT r.image_id, split, group_id FROM r JOIN m ON m.image_id = r.image_id")
+def reference_splits(spark: SparkSession, folder: str) -> DataFrame:
+    """The receipts whose photographs are known, split and grouped as the manifest has them."""
+    pages = _manifest(spark, folder)
+    known = table(spark, folder, "receipts").select("image_id").where("image_id is not null").distinct().join(pages.select(F.col("image_id").alias("i")), F.col("image_id") == F.col("i"), "left_semi")
+    return corpus.with_reference(known, pages, ["split", "group_id"])
+
+
+@query("SELECT group_id, count(DISTINCT image_id) AS n FROM ocr_manifest WHERE group_id IS NOT NULL GROUP BY 1 ORDER BY n DESC, group_id LIMIT 8")
+def largest_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """A top-k report: the eight groups with the most photographs."""
+    return _manifest(spark, folder).where("group_id is not null").groupBy("group_id").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "group_id").limit(8)
+
+
+@query(f"WITH {_REGIONS}, s AS (SELECT image_id, any_value(width) AS pw, any_value(height) AS ph FROM ocr_manifest GROUP BY image_id) SELECT r.image_id, region_id::INT AS place, pw::INT AS width, ph::INT AS height, bbox[1]::DOUBLE AS x, bbox[2]::DOUBLE AS y, bbox[3]::DOUBLE AS w, bbox[4]::DOUBLE AS h FROM regions r JOIN s ON r.image_id = s.image_id")
+def csv_polygons(spark: SparkSession, folder: str) -> DataFrame:
+    """Boxes of regions go into a CSV field as a list of dicts in Python's writing, and come back."""
+    one = lambda r: F.concat(F.lit("{'bbox': ["), F.concat_ws(", ", *[r["bbox"][k].cast("string") for k in range(4)]), F.lit("], 'width': "), F.coalesce(F.col("width").cast("string"), F.lit("None")), F.lit(", 'height': "), F.coalesce(F.col("height").cast("string"), F.lit("None")), F.lit("}"))
+    packed = _manifest(spark, folder).where("size(regions) > 0").select("image_id", F.concat(F.lit("["), F.array_join(F.transform("regions", one), ", "), F.lit("]")).alias("polygons"))
+    path = _shared(spark, "polygons")
+    files.write_csv(packed, path)
+    back = files.read_csv(spark, path, packed.schema).select("image_id", F.posexplode(files.python_literal(F.col("polygons"), "array<struct<bbox array<double>, width int, height int>>")).alias("place", "p"))
+    return back.select("image_id", "place", "p.width", "p.height", *[F.col("p.bbox")[k].alias(n) for k, n in enumerate("xywh")])

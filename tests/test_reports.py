@@ -298,3 +298,58 @@ def test_tasks_come_back(spark):
     assert back == [("a", i, label, role, text, b) for i, (label, text, b, role) in enumerate(MINI)]
     with pytest.raises(Exception):
         documents.imported_regions(spark.createDataFrame([("{nonsense",)], "task string")).collect()
+
+
+def test_flags_references_and_rejections(spark):
+    from slipworks.operators import corpus
+
+    gt = "struct<merchant_name string, transaction_date string, total bigint>"
+    rows = spark.createDataFrame([("a", 0.4, ("x", "d", 5), "b", " VAL "), ("b", None, ("x", None, 5), None, "train"), ("c", 0.9, None, "a", "train"), ("d", 0.9, ("x", "d", 0), "a", None)], f"image_id string, quality double, gt {gt}, dup_of string, split string")
+    assert {r.image_id: (r.low_quality, r.complete, r.split) for r in corpus.with_flags(rows).collect()} == {"a": (True, True, "dropped_dup"), "b": (False, False, "train"), "c": (False, False, "train"), "d": (False, True, None)}
+    new = spark.createDataFrame([("a", "old", 1), ("b", "old", 2)], "image_id string, split string, n int")
+    assert {r.image_id: (r.split, r.n) for r in corpus.with_reference(new, rows, ["split"]).collect()} == {"a": (" VAL ", 1), "b": ("train", 2)}
+    with pytest.raises(Exception, match="not in the reference"):
+        corpus.with_reference(new.union(spark.createDataFrame([("z", "old", 3)], new.schema)), rows, ["split"]).collect()
+    with pytest.raises(ValueError):
+        corpus.with_reference(new, rows.union(rows.withColumn("split", F.lit("test"))), ["split"])
+    names = [("k0", "a", "x", 90, 20), ("k1", "b", "text", 90, 20), ("k1", "b", "text", 90, 20), ("k2", "z", "text", 90, 20), ("k3", "b", " ", 90, 20), ("k4", "b", "y" * 101, 90, 20), ("k5", "b", "text", 90, 7), ("k6", "b", "text", 10, 90)]
+    crop = spark.createDataFrame(names, "name string, image_id string, text string, width int, height int")
+    got = sorted((r.name, r.reason or "") for r in corpus.crop_rejections(crop, corpus.with_flags(rows)).collect())
+    assert got == [("k0", "dup_image"), ("k1", ""), ("k1", "duplicate_line"), ("k2", "image_dropped"), ("k3", "bad_text_len"), ("k4", "bad_text_len"), ("k5", "bad_crop_shape"), ("k6", "bad_crop_shape")]
+
+
+def test_orientation_is_probed_both_ways_and_replayed(spark):
+    from slipworks.operators import corpus
+
+    rows = [(f"s{i}", "p" if i < 4 else "q", 2, 1, bytes([1, 9]) if i < 4 else bytes([9, 1])) for i in range(8)] + [("e", "q", 2, 1, bytes([0, 0]))]
+    crop = spark.createDataFrame(rows, "sample_id string, image_id string, width int, height int, pixels binary")
+    model = lambda b: b.assign(text=["" if not any(p) else "t" for p in b["pixels"]], rec_score=[p[0] / 10 for p in b["pixels"]])
+    probes = runs.probed_both_ways(crop, model)
+    got = {r.sample_id: (r.upright, r.turned) for r in probes.collect()}
+    assert got["s0"] == (0.1, 0.9) and got["s5"] == (0.9, 0.1) and got["e"] == (None, None) and len(got) == 9
+    assert {r.image_id: r.degrees for r in corpus.orientation_votes(probes, "image_id", "upright", "turned").collect()} == {"p": 180, "q": 0}
+    note = runs.provenance({"least": 3}, {})
+    assert runs.replayed(probes, crop, note, {"least": 3}).count() == 9
+    for bad in (lambda: runs.replayed(probes, crop, note, {"least": 4}), lambda: runs.replayed(probes.where("sample_id <> 'e'"), crop, note, {"least": 3})):
+        with pytest.raises(ValueError):
+            bad()
+
+
+def test_rows_in_the_frame_of_a_homography(spark):
+    from slipworks.operators import spatial
+
+    rows = [("p", 1, 1, "low", 0.9, _box(0, 0, 20, 10), "x"), ("p", 2, 2, "top", 0.9, _box(0, 50, 20, 10), "x")]
+    lines = spark.createDataFrame(rows, LINES)
+    assert [r.text for r in spatial.reading_order(lines).orderBy("idx").collect()] == ["low", "top"]
+    turned = spatial.reading_order(lines, [[-1.0, 0.0, 99.0], [0.0, -1.0, 99.0], [0.0, 0.0, 1.0]]).orderBy("idx").collect()
+    assert [(r.text, r.x0, r.y0) for r in turned] == [("top", 79.0, 39.0), ("low", 79.0, 89.0)]
+
+
+def test_command_line(spark, data, tmp_path, capsys):
+    from slipworks.__main__ import main
+
+    assert main(["list"]) == 0 and "norm_text" in capsys.readouterr().out.split()
+    assert main(["run", "latencies", data, str(tmp_path / "out"), "--format", "csv"]) == 0
+    assert spark.read.option("header", "true").csv(str(tmp_path / "out")).count() > 0 and "rows in" in capsys.readouterr().out
+    with pytest.raises(SystemExit):
+        main(["run", "nothing", data, str(tmp_path / "x")])
