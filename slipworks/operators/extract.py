@@ -118,8 +118,9 @@ def _words(words: list[str]) -> re.Pattern:
 
 _SELLER_BRAND, _SELLER_NEVER, _ADDRESS_NEVER = _words(SELLER_BRAND), _words(SELLER_NEVER), _words(ADDRESS_NEVER)
 _JOINED_BRAND, _SELLER_TIME, _CONTACT = re.compile(r"\b(?:co\.?op\w*|\w+mart)\b"), re.compile(SELLER_TIME), re.compile(CONTACT)
-_ADDRESS_EACH, _ADDRESS_SHORT, _STREET = [_words([w]) for w in ADDRESS_WORDS], re.compile(ADDRESS_SHORT), re.compile(STREET_NUMBER)
-_LABELLED, _LABEL_ALONE, _MARK, _NAME_END = re.compile(ADDRESS_LABEL), re.compile(LABEL_ALONE), re.compile(ADDRESS_MARK, re.I), re.compile(NAME_END, re.I)
+#: What speaks for an address, and how much.
+_ADDRESS_SIGNS = [*((_words([w]), 3 if w == "dia chi" else 1) for w in ADDRESS_WORDS), (re.compile(STREET_NUMBER), 2), (re.compile(ADDRESS_LABEL), 2)]
+_ADDRESS_SHORT, _LABEL_ALONE, _MARK, _NAME_END = re.compile(ADDRESS_SHORT), re.compile(LABEL_ALONE), re.compile(ADDRESS_MARK, re.I), re.compile(NAME_END, re.I)
 _KIND = re.compile(SELLER_KIND)
 
 
@@ -158,31 +159,34 @@ def total_of(page: list[Line]) -> Found:
 def date_of(page: list[Line], today: str) -> Found:
     """A date from 2000 on up to ``today``; beside a word for dates before others, then the highest on the page. Such words
     count inside others too."""
-    dated = [(any(w in line.key for w in DATE_WORDS), line) for line in page if line.day and "2000-01-01" <= line.day <= today]
+    dated = [line for line in page if line.day and "2000-01-01" <= line.day <= today]
     if not dated:
         return Found()
-    named, line = max(dated, key=lambda d: (d[0], -d[1].row, -d[1].pos))
-    days = Counter(other.day for _, other in dated)
-    return Found(line.day, (0.95 if named else 0.8) * line.score, "date_regex", (line.text,), {"ocr_conf": line.score, "keyword": named, "n_distinct": len(days), "agree": days[line.day]})
+    named = {line.idx for line in dated if any(w in line.key for w in DATE_WORDS)}
+    line = min(dated, key=lambda d: (d.idx not in named, d.row, d.pos))
+    days, beside = Counter(other.day for other in dated), line.idx in named
+    return Found(line.day, (0.95 if beside else 0.8) * line.score, "date_regex", (line.text,), {"ocr_conf": line.score, "keyword": beside, "n_distinct": len(days), "agree": days[line.day]})
 
 
 def time_of(page: list[Line], date_text: str | None) -> Found:
     """A time of day on the line of the date, then in its row, then up to two rows below; of a page without a date, the first.
     The date's line is the first with its text."""
     at = next((line for line in page if date_text and line.text == date_text), None)
-    order = page if at is None else [at, *(line for line in page if at.row <= line.row <= at.row + 2 and line is not at)]
-    for rank, line in enumerate(order):
-        if line.clock and not any(w in line.key for w in TIME_NEVER):
-            return Found(line.clock, (0.75 if rank else 0.9) * line.score, "time_regex", (line.text,), {"ocr_conf": line.score, "same_line": not rank})
-    return Found()
+    able = [line for line in page if line.clock and not any(w in line.key for w in TIME_NEVER) and (at is None or at.row <= line.row <= at.row + 2)]
+    if not able:
+        return Found()
+    line = min(able, key=lambda t: (t is not at, t.idx))
+    there = line is at if at is not None else line.idx == 0
+    return Found(line.clock, (0.9 if there else 0.75) * line.score, "time_regex", (line.text,), {"ocr_conf": line.score, "same_line": there})
 
 
 def address_hits(key: str) -> int:
     """How much a folded line looks like an address: words, short forms, a number before a street, a label."""
     if _CONTACT.search(key) or _LABEL_ALONE.match(key) or _ADDRESS_NEVER.search(key):
         return 0
-    hits = sum(1 for w in _ADDRESS_EACH if w.search(key)) + len(_ADDRESS_SHORT.findall(key)) + 2 * bool(_STREET.search(key)) + 2 * bool(_LABELLED.search(key))
-    return hits + 2 * bool(_ADDRESS_EACH[0].search(key)) + (hits > 0 and any(c.isdigit() for c in key))
+    short = len(_ADDRESS_SHORT.findall(key))
+    signs = [weight for sign, weight in _ADDRESS_SIGNS if sign.search(key)]
+    return sum(signs) + short + bool((signs or short) and any(c.isdigit() for c in key))
 
 
 def _branded(key: str) -> bool:
@@ -212,6 +216,15 @@ def _belong(a: Line, b: Line, one: str, other: str, body: float) -> bool:
     return alike and (any(_KIND.fullmatch(plain_fold(t)) for t in (one, other)) or low >= 1.3 * body and one.isupper() and other.isupper())
 
 
+def _joined(page: list[Line], titles: dict[int, str], at: int, step: int, room: int, body: float) -> int:
+    """How many titles from a line on, in one direction, belong to the one before each; a repeated one doesn't."""
+    for n in range(room):
+        here, there = at + step * n, at + step * (n + 1)
+        if there not in titles or plain_fold(titles[there]) == plain_fold(titles[here]) or not _belong(page[here], page[there], titles[here], titles[there], body):
+            return n
+    return room
+
+
 def seller_of(page: list[Line], top: list[Line], hits: list[int]) -> tuple[Found, int]:
     """The title among the first 8 lines by words for sellers, capitals, recognition score, place and size, with up to two
     neighbours that belong to it; and where it starts, -1 if there is none."""
@@ -230,13 +243,8 @@ def seller_of(page: list[Line], top: list[Line], hits: list[int]) -> tuple[Found
             best, points = line.idx, worth
     if best < 0:
         return Found(), -1
-    first = last = best
-    for step in (-1, 1):
-        while last - first < 2:
-            edge, new = (first, first - 1) if step < 0 else (last, last + 1)
-            if new not in titles or plain_fold(titles[new]) == plain_fold(titles[edge]) or not _belong(page[edge], page[new], titles[edge], titles[new], body):
-                break
-            first, last = min(first, new), max(last, new)
+    above = _joined(page, titles, best, -1, 2, body)
+    first, last = best - above, best + _joined(page, titles, best, 1, 2 - above, body)
     parts = page[first : last + 1]
     name = " ".join(titles[line.idx] for line in parts)
     brand, score = _branded(plain_fold(name)), min(line.score for line in parts)
@@ -246,20 +254,23 @@ def seller_of(page: list[Line], top: list[Line], hits: list[int]) -> tuple[Found
 def address_of(top: list[Line], hits: list[int], seller: int, seller_lines: tuple[str, ...], span: int = 3, near: int = 4) -> Found:
     """The line that looks most like an address, of equals the one nearest to the seller, joined with up to ``span`` - 1 others
     within ``near`` lines, in reading order, without the label. A label alone speaks for the line below it."""
-    looks = {line.idx: h for line, h in zip(top, hits) if line.idx != seller and line.text not in seller_lines}
+    strength = {line.idx: h for line, h in zip(top, hits) if line.idx != seller and line.text not in seller_lines}
     for label, line in zip(top, top[1:]):
-        if _LABEL_ALONE.match(label.key) and line.idx in looks and sum(c.isalpha() for c in line.text) >= 3 and not (_CONTACT.search(line.key) or _SELLER_NEVER.search(line.key) or line.day or line.amounts):
-            looks[line.idx] = max(looks[line.idx], 2)
-    ranked = sorted((i for i, h in looks.items() if h >= 2 or h == 1 and i == seller + 1 >= 1), key=lambda i: (-looks[i], abs(i - seller) if seller >= 0 else i, i))
-    if not ranked:
+        named = sum(c.isalpha() for c in line.text) >= 3 and not (line.day or line.amounts or _CONTACT.search(line.key) or _SELLER_NEVER.search(line.key))
+        if named and line.idx in strength and _LABEL_ALONE.match(label.key):
+            strength[line.idx] = max(strength[line.idx], 2)
+    below = seller + 1 if seller >= 0 else -1
+    able = [line for line in top if strength.get(line.idx, 0) >= (1 if line.idx == below else 2)]
+    if not able:
         return Found()
-    head = ranked[0]
-    chosen = [top[i] for i in sorted([head, *[i for i in ranked[1:] if abs(i - head) <= near][: span - 1]])]
+    able.sort(key=lambda line: (-strength[line.idx], abs(line.idx - max(seller, 0)), line.idx))
+    head = able[0].idx
+    chosen = sorted([line for line in able if abs(line.idx - head) <= near][:span])
     parts = [p for line in chosen if (p := _MARK.sub("", line.text).strip())]
     score = min(line.score for line in chosen)
     if not parts:
         return Found()
-    return Found(" ".join(parts), score * (0.9 if looks[head] >= 3 else 0.7), "address_tokens", tuple(line.text for line in chosen), {"ocr_conf": score, "hits": looks[head], "n_lines": len(chosen)})
+    return Found(" ".join(parts), score * (0.9 if strength[head] >= 3 else 0.7), "address_tokens", tuple(line.text for line in chosen), {"ocr_conf": score, "hits": strength[head], "n_lines": len(chosen)})
 
 
 def fields_of(page: list[Line], today: str, window: int = 12) -> dict[str, Found]:
