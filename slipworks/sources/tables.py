@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -17,19 +19,25 @@ def once(df: DataFrame, *keys: str) -> DataFrame:
     return df.dropDuplicates(list(keys))
 
 
-#: Bytes of input for each core up to which ``spread`` moves rows.
+#: Bytes of input for each core up to which ``spread`` moves rows of which it can't tell the parts.
 SMALL = 64 << 20
+#: Operators behind which the number of parts isn't known before they have run.
+_MOVES = re.compile(r"Aggregate|Join|Sort|Window|Exchange|Limit|Repartition|Cartesian|AdaptiveSparkPlan")
 
 
 def spread(df: DataFrame) -> DataFrame:
     """Rows over all cores, for work that costs much more than moving them.
 
-    A small input is read in fewer parts than there are cores; a larger one isn't, and is left as it is. What counts is the
-    size that the plan estimates from its files, so nothing runs to find it out. The rows are the same either way.
+    Rows that come straight from files in as many parts as there are cores are left as they are, fewer parts are spread. Of
+    rows behind a shuffle only the size is known, as the plan estimates it from files: small ones are spread. Nothing runs to
+    find out, and the rows are the same either way.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < SMALL * cores else df
+    cores, plan = df.sparkSession.sparkContext.defaultParallelism, df._jdf.queryExecution()
+    if _MOVES.search(plan.sparkPlan().toString()):
+        few = int(str(plan.optimizedPlan().stats().sizeInBytes())) < SMALL * cores
+    else:
+        few = df.rdd.getNumPartitions() < cores
+    return df.repartition(cores) if few else df
 
 
 def by_key(df: DataFrame, *keys: str) -> DataFrame:
