@@ -46,6 +46,32 @@ def skipped_regions(spark: SparkSession, folder: str) -> DataFrame:
     return evaluation.skipped_regions(_manifest(spark, folder), 24)
 
 
+_READ = "read AS (SELECT DISTINCT image_id, line_no, coalesce(text, '') AS text, coalesce(rec_score, 0.5) AS score, polygon FROM ocr_lines WHERE len(polygon) > 0)"
+
+
+@query(f"WITH {_READ} SELECT image_id, count(*) AS lines, cast(count(*) AS INT) AS places, true AS rows_in_order FROM read GROUP BY 1")
+def reading_invariants(spark: SparkSession, folder: str) -> DataFrame:
+    """What must hold of the reading order: every line once, places from 0 on without a gap, and rows one after the other, each
+    from its first place on."""
+    read = spatial.reading_order(table(spark, folder, "ocr_lines"))
+    starts = F.count(F.when(F.col("pos") == 0, 1)) == F.max("row") + 1
+    later = F.max(F.col("idx") - F.col("pos")) <= F.max("idx")
+    return read.groupBy("image_id").agg(F.count(F.lit(1)).alias("lines"), (F.max("idx") + 1).alias("places"), (starts & later & (F.countDistinct("idx") == F.count(F.lit(1)))).alias("rows_in_order"))
+
+
+@query(f"WITH {_READ} SELECT image_id, cast(count(*) AS INT) AS lines, round(avg(score), 6) AS mean_rec_score FROM read GROUP BY 1")
+def extracted_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """The pages of which fields were extracted, with how many lines each had and how well they were read."""
+    return _extracted(spark, folder).select("image_id", "lines", F.round("mean_rec_score", 6).alias("mean_rec_score"))
+
+
+@query(f"""
+    WITH {_REGIONS} SELECT image_id, nullif(string_agg(coalesce(text, ''), ' ' ORDER BY region_id) FILTER (label = 'SELLER'), '') AS merchant_name, nullif(string_agg(coalesce(text, ''), ' ' ORDER BY region_id) FILTER (label = 'ADDRESS'), '') AS merchant_address
+    FROM regions WHERE role = 'value' GROUP BY image_id""")
+def ground_truth_names(spark: SparkSession, folder: str) -> DataFrame:
+    return corpus.ground_truth(spatial.regions_of(_manifest(spark, folder))).select("image_id", "merchant_name", "merchant_address")
+
+
 # Evaluation
 
 
