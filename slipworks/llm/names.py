@@ -143,20 +143,21 @@ class Register:
         return [self.suffixes.get(w[-SHORTEST:], _NOBODY) for w in words if len(w) >= SHORTEST]
 
     def candidates(self, name: tuple[str | None, str, tuple[str, ...]]) -> np.ndarray:
-        """Entities that share a suffix which isn't common, or a common one together with other fields of the name."""
+        """Entities that share a suffix which isn't common, or a common one together with so many other fields of the name that few
+        are left, or with all of them. What shares a common suffix and fewer fields is left to ``link``."""
         blocks = self._blocks(name[2])
         trade = self.of_trade.get(name[0])
         found: list[np.ndarray] = []
 
-        def refine(block: np.ndarray, fields: list[np.ndarray], few: int) -> None:
-            if len(block) <= few or not fields:
+        def refine(block: np.ndarray, fields: list[np.ndarray], few: int, all_so_far: bool) -> None:
+            if len(block) <= few or not fields and all_so_far:
                 found.append(block)
                 return
             for i, f in enumerate(fields):
-                refine(np.intersect1d(block, f, assume_unique=True), fields[i + 1 :], COMMON_REFINED)
+                refine(np.intersect1d(block, f, assume_unique=True), fields[i + 1 :], COMMON_REFINED, all_so_far and i == 0)
 
         for i, block in enumerate(blocks):
-            refine(block, [*blocks[:i], *blocks[i + 1 :], *([trade] if trade is not None else [])], COMMON)
+            refine(block, [*([trade] if trade is not None else []), *blocks[:i], *blocks[i + 1 :]], COMMON, True)
         return np.unique(np.concatenate(found)) if found else _NOBODY
 
     def _fit(self, parts: tuple[str | None, str, tuple[str, ...]], entities: Iterable[int]) -> tuple[str | None, bool]:
