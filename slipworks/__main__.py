@@ -8,7 +8,7 @@ import importlib.util
 
 def main(arguments: list[str] | None = None) -> int:
     from slipworks.plans import registry
-    from slipworks.session import local_session, reachable
+    from slipworks.session import clean, local_session, reachable
 
     known = registry.queries()
     if getattr(importlib.util.find_spec("__spark_entry__"), "origin", None):
@@ -32,6 +32,7 @@ def main(arguments: list[str] | None = None) -> int:
     reachable(spark)
     result = known[given.query](spark, given.folder)
     result.write.mode("errorifexists").options(**({"header": "true"} if given.format == "csv" else {})).format(given.format).save(given.out)
+    clean(spark)
     print(f"{given.query}: {spark.read.format(given.format).options(**({'header': 'true'} if given.format == 'csv' else {})).load(given.out).count()} rows in {given.out}")
     return 0
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import pickle
 import re
+import shutil
 import tempfile
 import uuid
 from collections import defaultdict
@@ -14,6 +16,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql.types import StructType
 
 _OWN: dict[str, str] = {}
+_ROOTS: set[str] = set()
 
 
 def local_session(cpus: int = 8, app: str = "slipworks", **conf: str) -> SparkSession:
@@ -41,6 +44,7 @@ def shared_folder(spark: SparkSession) -> str:
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = tempfile.mkdtemp(prefix="slipworks-")
+        atexit.register(shutil.rmtree, _OWN[app], ignore_errors=True)
         spark.sparkContext.setCheckpointDir(_OWN[app])
     return "file://" + os.path.abspath(_OWN[app])
 
@@ -66,6 +70,14 @@ def to_tasks(spark: SparkSession, value: object) -> Broadcast:
     return spark.sparkContext.broadcast(value)
 
 
+def clean(spark: SparkSession) -> None:
+    """Removes the intermediate tables of all queries so far. Call it when their results are stored; a result that is not read yet
+    would read what is gone."""
+    while _ROOTS:
+        at = spark._jvm.org.apache.hadoop.fs.Path(_ROOTS.pop())
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 class Workspace:
     """Intermediate tables in the shared folder, so that lineage is cut and a lost executor costs no recomputation.
 
@@ -74,6 +86,7 @@ class Workspace:
 
     def __init__(self, spark: SparkSession, what: str) -> None:
         self.spark, self.root = spark, f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
+        _ROOTS.add(self.root)
         self.paths: dict[str, str] = {}
         self.schemas: dict[str, StructType] = {}
 
