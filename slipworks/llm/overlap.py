@@ -6,6 +6,10 @@ with a number of a sale, which survive where a page is cut off. Codes are cut in
 other splits that agree in enough segments for their Hamming radius meet in a join: 2 of 5 for radius 3, 1 of 2 for radius 1.
 Photographs come in behind their codes, and what is left is verified by the texts themselves. Two sales of the same goods have
 alike texts too, but their shingles differ where times and numbers stand.
+
+A window of printed phrases or round amounts is on a share of all photographs, so those that meet in it grow with the square of
+the input. Sets of shingles as bits bound how many two texts can have in common; what can't pass the verification is left out
+in the join where photographs meet, before pairs are rows.
 """
 
 from __future__ import annotations
@@ -36,6 +40,8 @@ ALONE_DIGITS, ALONE_AMOUNT = 7, 9
 _ROUND = re.compile(rb"0+(?![0-9])")
 #: Figures and least ratio of lines that tell a sale.
 MARK_DIGITS, MARK_RATIO = 6, 0.8
+#: Bits of a set of shingles, and pairs of photographs that meet in one task.
+SKETCH_BITS, MOST_MET = 1024, 1 << 25
 #: Image hashes with fewer bits of either kind are meaningless.
 LEAST_BITS = 6
 
@@ -113,6 +119,14 @@ def fingerprints(text: str) -> tuple[int | None, list[int]]:
     return whole, np.unique(_codes(sums[end[fit]] - sums[begin[fit]])).tolist()
 
 
+def sketch(text: str) -> tuple[int, np.ndarray]:
+    """How many shingles a text has, and the set of them as ``SKETCH_BITS`` bits: a bit that only one of two texts has is a
+    shingle that only that text has."""
+    bits = np.zeros(SKETCH_BITS, bool)
+    bits[shingle_codes(np.frombuffer(text.encode("utf-32-le"), np.uint32)) % np.uint64(SKETCH_BITS)] = True
+    return len(shingles(text)), bits
+
+
 def shingles(text: str) -> set[str]:
     return {text[i : i + SHINGLE] for i in range(len(text) - SHINGLE + 1)}
 
@@ -203,15 +217,55 @@ def near_codes(codes: DataFrame) -> DataFrame:
     return left.join(right, ["key", "kind"]).where(apart <= radius).select("kind", "p1", "p2").distinct()
 
 
+_SKETCH = [f"s{k}" for k in range(SKETCH_BITS // 64)]
+
+
+def _sketches(photos: DataFrame) -> DataFrame:
+    """(image_id, size, spare, and the words of the sketch): shingles, and how many of them share a bit with others; size and
+    spare are null without a text."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            made = [sketch(t or "") for t in batch["text"]]
+            bits = np.array([b for _, b in made], bool).reshape(-1, SKETCH_BITS)
+            out = pd.DataFrame(np.packbits(bits, axis=1, bitorder="little").view(np.int64), columns=_SKETCH, index=batch.index)
+            size = pd.Series([n for n, _ in made], index=batch.index, dtype="Int64").mask(batch["text"].isna())
+            yield pd.concat([batch[["image_id"]].assign(size=size, spare=size - bits.sum(axis=1)), out], axis=1)
+
+    texts = photos.select("image_id", F.nullif("text", F.lit("|")).alias("text"))
+    return texts.mapInPandas(run, f"image_id string, size long, spare long, {', '.join(f'{c} long' for c in _SKETCH)}")
+
+
+def _may_be_same() -> Column:
+    """Whether the sketches of x and y leave it open that ``Verifier.same`` holds; without a text of either they do."""
+    both = sum((F.bit_count(F.col(f"x.{c}").bitwiseAND(F.col(f"y.{c}"))) for c in _SKETCH), F.lit(0))
+    most, sizes = F.least(F.col("x.spare"), F.col("y.spare")) + both, (F.col("x.size"), F.col("y.size"))
+    may = (most > 0) & (most >= CONTAINED * F.least(*sizes)) & (most >= JACCARD * (sizes[0] + sizes[1] - most))
+    return sizes[0].isNull() | sizes[1].isNull() | may
+
+
 def candidates(photos: DataFrame, work: Workspace | None = None) -> DataFrame:
-    """(a, b, image): photographs of train and of another split that are within the radius of one kind of fingerprint, and
-    whether their images are."""
+    """(a, b, image): photographs of train and of another split that are within the radius of one kind of fingerprint and whose
+    texts may be of one sale, and whether their images are within it.
+
+    A fingerprint of very many photographs is met in parts: those of train are dealt to the parts, the others are in each.
+    """
     work = work or Workspace(photos.sparkSession, "candidates")
     codes, _ = work.write(_codes_of(photos), "codes")
     near, _ = work.write(near_codes(codes), "near")
-    ones = codes.where("train").select("kind", F.col("print").alias("p1"), F.col("image_id").alias("a"))
-    others = codes.where("not train").select("kind", F.col("print").alias("p2"), F.col("image_id").alias("b"))
-    return near.join(ones, ["kind", "p1"]).join(others, ["kind", "p2"]).groupBy("a", "b").agg(F.max(F.col("kind") == "i").alias("image"))
+    sketches, _ = work.write(_sketches(photos), "sketches")
+    ones = codes.where("train").select("kind", F.col("print").alias("p1"), "image_id")
+    others = codes.where("not train").select("kind", F.col("print").alias("p2"), "image_id")
+    left, _ = work.write(near.join(ones, ["kind", "p1"]).select("kind", "p2", "image_id").join(sketches, "image_id"), "left")
+    right, _ = work.write(others.join(near.select("kind", "p2").distinct(), ["kind", "p2"]).join(sketches, "image_id"), "right")
+    count = lambda df, n: df.groupBy("kind", "p2").agg(F.count(F.lit(1)).alias(n))
+    parts = count(left, "n1").join(count(right, "n2"), ["kind", "p2"]).select("kind", "p2", F.ceil(F.col("n1") * F.col("n2") / MOST_MET).cast("int").alias("parts")).where("parts > 1")
+    parts, _ = work.write(parts, "parts")
+    of = F.coalesce("parts", F.lit(1))
+    x = left.join(F.broadcast(parts), ["kind", "p2"], "left").withColumn("part", F.pmod(F.xxhash64("image_id"), of).cast("int")).alias("x")
+    y = right.join(F.broadcast(parts), ["kind", "p2"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), of - 1))).alias("y")
+    met = x.join(y, (F.col("x.kind") == F.col("y.kind")) & (F.col("x.p2") == F.col("y.p2")) & (F.col("x.part") == F.col("y.part")) & _may_be_same())
+    return met.groupBy(F.col("x.image_id").alias("a"), F.col("y.image_id").alias("b")).agg(F.max(F.col("x.kind") == "i").alias("image"))
 
 
 def overlaps(lines: DataFrame, manifest: DataFrame, work: Workspace | None = None) -> DataFrame:

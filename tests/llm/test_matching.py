@@ -311,6 +311,33 @@ def test_no_overlap_of_a_brute_force_comparison_is_lost(spark):
     assert {(r.train_id, r.other_id) for r in overlap.overlaps(lines, manifest).collect()} == brute and len(brute) >= 15
 
 
+@pytest.mark.parametrize("most", [1 << 25, 100])
+def test_a_window_on_all_pages_makes_few_candidates(spark, monkeypatch, most):
+    monkeypatch.setattr(overlap, "MOST_MET", most, raising=False)
+    random.seed(12)
+    pages = {f"{'tv'[n % 2]}{n:02}": [*_receipt(n), "Hotline: 0912 345 678"] for n in range(80)}
+    for n in range(0, 80, 8):  # the same sale again, with its end cut off
+        pages[f"v{n:02}"] = pages[f"t{n:02}"][: -1 - n % 3]
+    lines = spark.createDataFrame(_lines(pages), "image_id string, line_no int, text string, train string, code int").select("image_id", "line_no", "text")
+    manifest = spark.createDataFrame([(i, "train" if i[0] == "t" else "val", None) for i in pages], "image_id string, split string, image_hash bigint")
+    texts = {i: overlap.plain_text("\n".join(p)) for i, p in pages.items()}
+    brute = {(a, b) for a in texts for b in texts if a[0] == "t" and b[0] == "v" and overlap.same_text(texts[a], texts[b])}
+    photos = overlap.photographs(lines, manifest, overlap.Workspace(spark, "test"))
+    got = {(r.a, r.b) for r in overlap.candidates(photos).collect()}
+    assert brute <= got and len(brute) >= 10 and len(got) < 100  # 1 600 have the window in common
+    assert {(r.train_id, r.other_id) for r in overlap.overlaps(lines, manifest).collect()} == brute
+
+
+def test_sketches_bound_what_texts_have_in_common():
+    random.seed(13)
+    for n in range(300):
+        a = "".join(random.choice("ab1|đ語" if n % 3 else "abc12|") for _ in range(random.choice([0, 3, 5, 40, 400, 3000])))
+        b = a[random.randrange(30) :] + "z" * random.randrange(9) if n % 2 else "".join(random.choice("ab1|") for _ in range(200))
+        (n1, x), (n2, y) = overlap.sketch(a), overlap.sketch(b)
+        both = int((x & y).sum())
+        assert len(overlap.shingles(a) & overlap.shingles(b)) <= min(n1 - int(x.sum()), n2 - int(y.sum())) + both and n1 == len(overlap.shingles(a))
+
+
 def test_window_codes_of_radius_one_are_found(spark):
     random.seed(7)
     base = [random.getrandbits(63) for _ in range(30)]
