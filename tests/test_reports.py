@@ -353,3 +353,22 @@ def test_command_line(spark, data, tmp_path, capsys):
     assert spark.read.option("header", "true").csv(str(tmp_path / "out")).count() > 0 and "rows in" in capsys.readouterr().out
     with pytest.raises(SystemExit):
         main(["run", "nothing", data, str(tmp_path / "x")])
+
+
+def test_page_means_halfway_go_up_in_any_order(spark, tmp_path):
+    from decimal import ROUND_HALF_UP, Decimal
+
+    from slipworks.plans import registry
+
+    random.seed(15)
+    rows, exact = [], {}
+    for n in range(60):
+        scores = [random.randrange(600, 1000) for _ in range(16)]
+        scores[0] += 1 - sum(scores) % 2  # an odd sum over 16 ends in 5 beyond the sixth place
+        for turn in range(2):
+            page = f"p{n:02}_{turn}"
+            exact[page] = float((Decimal(sum(scores)) / 16000).quantize(Decimal("0.000001"), ROUND_HALF_UP))
+            rows += [(page, len(rows), k, "x", s / 1000, _box(10, 20 * k, 90, 10), None) for k, s in enumerate(scores[:: 1 - 2 * turn], 1)]
+    spark.createDataFrame(rows, LINES).write.parquet(f"{tmp_path}/ocr_lines.parquet")
+    got = {r.image_id: (r.lines, r.mean_rec_score) for r in registry.queries()["extracted_pages"](spark, str(tmp_path)).collect()}
+    assert got == {k: (16, v) for k, v in exact.items()}
